@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lags"]
+MODULES = ["lags", "cleaning"]
 
 
 def load_all():
