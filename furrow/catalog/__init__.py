@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lags", "cleaning"]
+MODULES = ["lags", "cleaning", "preparation"]
 
 
 def load_all():
