@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lags", "cleaning", "preparation"]
+MODULES = ["lags", "cleaning", "preparation", "evaluation", "tracking"]
 
 
 def load_all():

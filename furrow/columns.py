@@ -39,6 +39,8 @@ NUMERIC_RANGES = {
     "ha": (0.0, None),
     "dia_cosecha": (1.0, 366.0),
     "kg_jr_h": (0.0, None),
+    "h_ef": (0.0, 24.0),
+    "kg_jr": (0.0, None),
 }
 
 # Closed catalogs of the forecast request.
