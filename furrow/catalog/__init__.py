@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lags", "cleaning", "preparation", "evaluation", "tracking", "profiling"]
+MODULES = ["models", "lags", "cleaning", "preparation", "evaluation", "tracking", "profiling"]
 
 
 def load_all():

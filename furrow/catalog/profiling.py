@@ -30,7 +30,7 @@ _GRID = [round(-2 + i * 0.1, 10) for i in range(41)]
 
 
 @query("boxcox_grid", f"""{H}, g AS (SELECT unnest({_GRID}::double[]) AS lam), y AS (SELECT formato, lam, ln(kg_jr_h) AS lx, CASE WHEN abs(lam) < 1e-12 THEN ln(kg_jr_h) ELSE (exp(ln(kg_jr_h) * lam) - 1) / lam END AS y FROM h, g),
-  l AS (SELECT formato, lam, count(*) AS n, (lam - 1) * sum(lx) - count(*) / 2.0 * ln(var_pop(y)) AS ll FROM y GROUP BY ALL), b AS (SELECT formato, max(n) AS n, arg_max(lam, (ll, lam)) AS bl FROM l GROUP BY 1)
+  l AS (SELECT formato, lam, count(*) AS n, (lam - 1) * sum(lx) - count(*) / 2.0 * ln(var_pop(y)) AS ll FROM y GROUP BY formato, lam), b AS (SELECT formato, max(n) AS n, arg_max(lam, (ll, lam)) AS bl FROM l GROUP BY 1)
   SELECT formato, n, bl AS "lambda", CASE WHEN abs(bl - 1) < 0.2 THEN 'ninguna' WHEN abs(bl - 0.5) < 0.2 THEN 'sqrt' WHEN abs(bl) < 0.2 THEN 'log' WHEN abs(bl + 0.5) < 0.2 THEN '1/sqrt' WHEN abs(bl + 1) < 0.2 THEN '1/x' ELSE 'boxcox' END AS advice FROM b""")
 def boxcox_grid(spark, sf):
     return P.boxcox_grid(harvest(spark, sf), "kg_jr_h", ["formato"])
