@@ -59,10 +59,10 @@ def rolling_medians(
         packed, n = F.col(f"_a_{value}"), F.col(f"_n_{value}_{k}")
         if k < longest[value]:
             packed = F.when(F.size(packed) > k, F.slice(packed, -k, k)).otherwise(packed)
-        ranked = F.sort_array(packed)
-        low = F.get(ranked, F.floor((n - 1) / 2).cast("int"))
-        high = F.get(ranked, F.floor(n / 2).cast("int"))
-        return F.when(n >= MIN_PERIODS, (low + high) / 2)
+        # The lambda binds the sorted frame, so that it is sorted once for both middle values.
+        low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+        mid = F.transform(F.array(F.sort_array(packed)), lambda a: (F.get(a, low) + F.get(a, high)) / 2)
+        return F.when(n >= MIN_PERIODS, F.get(mid, F.lit(0)))
 
     return framed.select(
         *df.columns, *(extra or {}), *[middle(v, k).alias(name) for name, (v, k) in columns.items()]
