@@ -200,11 +200,11 @@ def decomposition_kpis(spark, sf):
     return out.withColumns({c: r(c, 4) for c in ("mean_data", "mean_model")})
 
 
-@query("weekly_report", f"""{TR} SELECT formato, count(*) AS n_weeks, {rs('sum(real_sum) * 100 / sum(proj_sum)', 4)} AS compliance, CASE WHEN abs(100 - sum(real_sum) * 100 / sum(proj_sum)) < 10 THEN 'success' ELSE 'warning' END AS compliance_flag,
+@query("weekly_report", f"""{TR}, wr AS (SELECT * REPLACE ({rs('pct_diff')} AS pct_diff) FROM wk) SELECT formato, count(*) AS n_weeks, {rs('sum(real_sum) * 100 / sum(proj_sum)', 4)} AS compliance, CASE WHEN abs(100 - sum(real_sum) * 100 / sum(proj_sum)) < 10 THEN 'success' ELSE 'warning' END AS compliance_flag,
   arg_min(week, (abs(pct_diff), week)) AS best_week, {rs('arg_min(pct_diff, (abs(pct_diff), week))', 4)} AS best_pct, arg_max(week, (abs(pct_diff), week)) AS worst_week, {rs('arg_max(pct_diff, (abs(pct_diff), week))', 4)} AS worst_pct,
-  count(*) FILTER (abs(pct_diff) <= 10) AS n_green, count(*) FILTER (abs(pct_diff) > 10 AND abs(pct_diff) <= 20) AS n_amber, count(*) FILTER (abs(pct_diff) > 20) AS n_red FROM wk GROUP BY 1""")
+  count(*) FILTER (abs(pct_diff) <= 10) AS n_green, count(*) FILTER (abs(pct_diff) > 10 AND abs(pct_diff) <= 20) AS n_amber, count(*) FILTER (abs(pct_diff) > 20) AS n_red FROM wr GROUP BY 1""")
 def weekly_report(spark, sf):
-    weeks = T.weekly_aggregate(_points(spark, sf), ["formato"]).withColumn("pct_diff", F.col("pct_diff"))
+    weeks = T.weekly_aggregate(_points(spark, sf), ["formato"]).withColumn("pct_diff", r("pct_diff"))
     out = T.weekly_report(weeks, ["formato"])
     return out.withColumns({c: r(c, 4) for c in ("compliance", "best_pct", "worst_pct")})
 

@@ -13,6 +13,7 @@ from furrow.functions.stats import melt
 from furrow.operators.groups import attach, quantiles
 from furrow.operators.hypothesis import chi2_goodness
 from furrow.operators.ranks import ks_two_sample
+from furrow.session import cut
 
 # Thresholds of the two PSI rules and of the row report.
 EPS_YEARS, EPS_BATCH = 1e-6, 1e-4
@@ -66,7 +67,8 @@ def year_pairs(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), date:
 def year_drift(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), date: str = DATE) -> DataFrame:
     """PSI and KS p-value of consecutive years, with the worst PSI and its severity."""
     by = list(by)
-    pairs = year_pairs(df, cols, by, date)
+    # Read by the edges, the bins and the running counts.
+    pairs = cut(year_pairs(df, cols, by, date))
     keys = [*by, "variable", "year_a", "year_b"]
     values = psi(pairs, keys, "value", "side")
     ks = ks_two_sample(pairs.withColumn("side", F.when(F.col("side") == "e", "a").otherwise("b")), keys, "value", "side")

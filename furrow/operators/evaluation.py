@@ -12,6 +12,7 @@ from furrow.functions.metrics import metric_columns
 from furrow.functions.scalar import edge_bin_right, half_even, hash_bucket, hash_uniform, poisson_one, width_bin_left
 from furrow.operators.groups import attach, quantiles
 from furrow.operators.ordered import position
+from furrow.session import cut
 
 # Limits of reports and bands.
 VERDICTS = [("alta_confianza", 15.0, 0.10), ("confianza_aceptable", 22.0, 0.18), ("confianza_limitada", 35.0, 0.30)]
@@ -295,9 +296,11 @@ def conformal_bands(df: DataFrame, alpha: float = 0.10, by: Sequence[str] = (),
     by = list(by)
     level = conformal_level(alpha)
     rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull() & ~F.isnan(p)).withColumn("_ae", F.abs(F.col(y) - F.col(p)))
+    # Read several times below, so written once with only the columns it needs.
+    rows = cut(rows.select(*by, farm, date, ROW_ID, "_ae"))
     dated = rows.where(F.col(date).isNotNull())
     n = dated.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    placed = attach(position(dated, by, [F.col(date), F.col(ROW_ID)], "_pos"), n, by)
+    placed = cut(attach(position(dated, by, [F.col(date), F.col(ROW_ID)], "_pos"), n, by))
     enough = F.col("_n") >= BAND_MIN_RECENT
     n_recent = F.greatest(F.lit(BAND_MIN_RECENT), F.bround(F.col("_n") * RECENT_SHARE).cast("bigint"))
     split = F.greatest(F.lit(20), F.bround(F.col("_n") * 0.70).cast("bigint"))

@@ -46,9 +46,9 @@ def ks_two_sample(df: DataFrame, keys: Sequence[str], col: str, side: str, least
     return out.withColumn("ks", F.when(enough, F.col("ks"))).withColumn("ks_p", ks_tail("ks", F.col("n_a").cast("double"), F.col("n_b").cast("double")))
 
 
-def mann_whitney(df: DataFrame, keys: Sequence[str], col: str, side: str, least: int = 3, weight: str | None = None) -> DataFrame:
+def mann_whitney(df: DataFrame, keys: Sequence[str], col: str, side: str, least: int = 3, weight: str | None = None, cum: DataFrame | None = None) -> DataFrame:
     """U of side a, normal p-value with ties and continuity, and Cliff's delta 2U/(nm) - 1."""
-    cum = two_sample(df, keys, col, side, weight)
+    cum = two_sample(df, keys, col, side, weight) if cum is None else cum
     t = F.col("a") + F.col("b")
     rank = F.col("cum_a") + F.col("cum_b") - (t - 1) / 2.0
     out = cum.groupBy(*keys).agg(
@@ -85,11 +85,11 @@ def kruskal_wallis(df: DataFrame, keys: Sequence[str], col: str, group: str, lea
     return out.select(*keys, "n", "k", "h", chi2_tail("h", (F.col("k") - 1).cast("double")).alias("p"))
 
 
-def wasserstein(df: DataFrame, keys: Sequence[str], col: str, side: str, weight: str | None = None) -> DataFrame:
+def wasserstein(df: DataFrame, keys: Sequence[str], col: str, side: str, weight: str | None = None, cum: DataFrame | None = None) -> DataFrame:
     """W1 = integral of |F_a - F_b| over the joint distinct values."""
     from furrow.operators.ordered import row_frames
 
-    cum = two_sample(df, keys, col, side, weight)
+    cum = two_sample(df, keys, col, side, weight) if cum is None else cum
     n = cum.groupBy(*keys).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
     gap = F.abs(F.try_divide(F.col("cum_a"), F.col("n_a")) - F.try_divide(F.col("cum_b"), F.col("n_b")))
     step = {"_next": lambda w: F.lead("value", 1).over(w)}

@@ -15,7 +15,7 @@ from furrow.columns import ROW_ID, VARIETY
 from furrow.functions.scalar import hash_uniform, poisson_one
 from furrow.functions.stats import binomial_tail, melt
 from furrow.operators.groups import attach, quantiles
-from furrow.operators.ranks import holm, mann_whitney, wasserstein
+from furrow.operators.ranks import holm, mann_whitney, two_sample, wasserstein
 from furrow.session import cut
 
 EFFECT_SMALL, EFFECT_MEDIUM, MIN_VALIDATE = 0.33, 0.474, 20
@@ -58,10 +58,12 @@ def pair_values(df: DataFrame, features: Sequence[str], anchors: Sequence[str],
 
 def pair_distances(df: DataFrame, features: Sequence[str], anchors: Sequence[str], key: str = VARIETY) -> DataFrame:
     """Per pair: mean W1, max and mean |Cliff's delta|."""
-    values = cut(pair_values(df, features, anchors, key))
+    values = pair_values(df, features, anchors, key)
     keys = [key, "anchor", "variable"]
-    w1 = wasserstein(values, keys, "value", "side", weight="w").where((F.col("n_a") > 0) & (F.col("n_b") > 0))
-    delta = mann_whitney(values, keys, "value", "side", weight="w").select(*keys, "delta")
+    # Both statistics read the same running counts.
+    cum = cut(two_sample(values, keys, "value", "side", "w"))
+    w1 = wasserstein(values, keys, "value", "side", cum=cum).where((F.col("n_a") > 0) & (F.col("n_b") > 0))
+    delta = mann_whitney(values, keys, "value", "side", cum=cum).select(*keys, "delta")
     return attach(w1, delta, keys).groupBy(key, "anchor").agg(
         F.avg("w1").alias("w1"), F.max(F.abs("delta")).alias("max_cliff"), F.avg(F.abs("delta")).alias("mean_cliff")
     )
