@@ -201,11 +201,41 @@ def log_derived(spark, sf):
     return df.select("row_id", r("kg_ha_std_FF_30").alias("std_log"), r("days_since_last_FF").alias("gap_log"))
 
 
-@query("lag_features")
+_LEVEL_SQL = {"FF": "fundo, formato", "F": "fundo", "FMT": "formato"}
+_BLOCK = {f"{v}_lag_{a}_{k}": _med(v, keys, k) for a, keys in _LEVEL_SQL.items() for v in ("kg_jr_h", "kg_ha") for k in L.WINDOWS}
+_BLOCK.update({
+    "kg_jr_h_lag_FF_seasonal": _season("kg_jr_h", 365),
+    "kg_ha_lag_FF_seasonal": _season("kg_ha", 365),
+    "kg_ha_std_FF_30": _std("kg_ha"),
+    "kg_ha_slope_FF_30": f"CASE WHEN count(kg_ha) {_over('fundo, formato', 30)} >= 3 THEN regr_slope(kg_ha, rn) {_over('fundo, formato', 30)} END",
+    "days_since_last_FF": "cast(fecha - lag(fecha) OVER (PARTITION BY fundo, formato ORDER BY fecha, row_id) AS double)",
+    "tenure_fundo_days": "cast(fecha - min(fecha) OVER (PARTITION BY fundo) AS double)",
+    "_g": _med("kg_ha", "", 30),
+})
+
+
+def _div(num, den):
+    return f"CASE WHEN {den} > 0 THEN {num} / {den} END"
+
+
+_BLOCK_OUT = {n: n for n in _BLOCK if n != "_g"}
+_BLOCK_OUT.update({
+    "kg_ha_ratio_FF_30": _div("kg_ha", "kg_ha_lag_FF_30"),
+    "kg_ha_ratio_FF_90": _div("kg_ha", "kg_ha_lag_FF_90"),
+    "kg_ha_rel_global_30": _div("kg_ha", "_g"),
+    "delta_kg_jr_h_30_90": _div("kg_jr_h_lag_FF_30", "kg_jr_h_lag_FF_90"),
+    "kg_ha_rel_formato_30": _div("kg_ha_lag_F_30", "kg_ha_lag_FMT_30"),
+})
+LAG_SQL = f"""{H}, n AS (SELECT *, row_number() OVER (PARTITION BY fundo, formato ORDER BY fecha, row_id) AS rn FROM h),
+  l AS (SELECT row_id, kg_ha, {', '.join(f'{e} AS {n}' for n, e in _BLOCK.items())} FROM n)
+  SELECT row_id, {', '.join(rs(f"coalesce({e}, {-99999.0 if 'slope' in n else -1.0})", 4) + f' AS {n}' for n, e in _BLOCK_OUT.items())} FROM l"""
+
+
+@query("lag_features", LAG_SQL)
 def lag_features(spark, sf):
     """The whole block: 35 columns, cold starts filled."""
     out = L.lag_features(_slim(spark, sf))
-    return out.select("row_id", *L.lag_columns())
+    return out.select("row_id", *[r(c, 4).alias(c) for c in L.lag_columns()])
 
 
 @query("lag_features_exante")
