@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import chat, langid, pii, quality, tokens, warc
+from furrow.llm import chat, decontam, langid, mixing, neardup, pii, quality, scoring, tokens, warc
 from furrow.session import shared_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,12 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op2_mixture_weights")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "sampled")
+
+
 @query("op3_pii_surrogates")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -67,6 +73,11 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf, "documents"), tokens.load_vocabulary(VOCABULARY))
 
 
+@query("op5_backoff_automaton")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.score(table(spark, sf, "documents"), langid.remainder("doc_id", 5) != 1)
+
+
 OP6 = """
 WITH c AS (SELECT conv_id, count(*) AS n_turns,
     list(struct_pack(t := turn, r := role, x := text) ORDER BY turn, role, text) AS turns
@@ -86,6 +97,16 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return chat.collapse(table(spark, sf, "conversations"))
 
 
+@query("op7_benchmark_leaks")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op8_jaccard_join")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.jaccard_join(table(spark, sf, "documents"))
+
+
 OP9 = """
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, text AS raw,
     regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
