@@ -27,9 +27,8 @@ SEPARATOR = "P*M\x18\0\0\0\0"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 DICTIONARY_BYTES = 1 << 16
-# Records whose bytes train an archive's dictionary, and the payload one archive should hold.
+# Records whose bytes train an archive's dictionary.
 SAMPLE_BYTES = 4 << 20
-ARCHIVE_BYTES = 64 << 20
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -192,19 +191,14 @@ def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Write ``pages`` (page_id, url, html) to a folder of archives, one record per row.
 
     A null html is an empty payload, null ids and urls stay null, repeated rows are repeated
-    records, other columns are not read, an empty table gives no record. An archive holds
-    about ``archive_bytes`` of payload, so its size does not grow with the table.
+    records, other columns are not read, an empty table gives no record. Each partition of
+    the join with the originals becomes one archive, so payloads are shuffled once at most.
     """
-    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    spark = pages.sparkSession
-    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = with_originals(pages, min_bytes)
-    archives = max(floor, -(-size // archive_bytes))
-    rows = rows.repartition(archives, F.xxhash64("page_id", "sha"))
 
     def frames(batches):
         def records():
