@@ -21,7 +21,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go from the texts, and documents that the rules reject go."""
-    return _documents(quality.line_rules(docs.select(*COLUMNS), rewrite=True).where("kept"))
+    return _documents(quality.kept_documents(docs.select(*COLUMNS)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,3 +128,13 @@ def line_rules(
         still = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains("_removed", F.xxhash64(normal_line(x))), F.lit(False)))
         df = df.withColumn(text, F.when(F.col("n_removed_lines") > 0, F.array_join(still, "\n")).otherwise(F.col(text)))
     return df.drop("_t", "_hashed", "_removed", "_gone")
+
+
+def kept_documents(docs: DataFrame, **parameters) -> DataFrame:
+    """Rows of ``docs`` that the rules keep, without their removed lines.
+
+    The row number stands between the verdict and the filter: else the optimiser would move
+    the filter below the rules and repeat their expressions inside it many times over.
+    """
+    judged = line_rules(docs, rewrite=True, **parameters).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where("kept AND _row >= 0").select(*docs.columns)
