@@ -311,7 +311,9 @@ def verified(docs: DataFrame, spots: DataFrame, threshold: float, id_col: str, t
     says that a is linked to n documents of other nodes in one task.
     """
     own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
-    wanted = attach(spots, own, ["_id", "_t"], "inner").select("node", "component", "n_docs", "_text")
+    # Always merged: which texts are wanted grows with the corpus, so a broadcast that happens
+    # to fit at one size would only hide what the join costs.
+    wanted = attach(spots.hint("merge"), own, ["_id", "_t"], "inner").select("node", "component", "n_docs", "_text")
 
     def sets(batches):
         cache = _WordHash()
