@@ -302,11 +302,13 @@ def validate_batch(spark, sf):
     rules = [C.range_rule("kg_ha", 2, 48), C.member_rule("formato", ["A", "N"]), C.range_rule("p_baya", 0.02, 0.08, True)]
     known = table(spark, sf, "part").where("p_size <= 1").select(F.col("p_brand").alias("variedad"))
     df = harvest_full(spark, sf)
-    return C.validate_batch(df, rules, ["variedad", "fecha", "kg_ha"], known, max_rows=10**12)
+    return C.validate_batch(df, rules, ["variedad", "fecha", "kg_ha"], known)
 
 
 @query("validate_batch_oversize", f"""{HF} SELECT '0' AS "row", 'variedad' AS "column", upper(variedad) AS value, count(*) || ' rows exceed the maximum of 2400' AS reason
-  FROM h GROUP BY variedad HAVING count(*) > 2400""")
+  FROM h GROUP BY variedad HAVING count(*) > 2400
+  UNION ALL SELECT row_id, 'kg_ha', cast(kg_ha AS varchar), 'must be between 2 and 48' FROM h WHERE NOT (kg_ha BETWEEN 2 AND 48)
+    AND variedad NOT IN (SELECT variedad FROM h GROUP BY variedad HAVING count(*) > 2400)""")
 def validate_batch_oversize(spark, sf):
     return C.validate_batch(harvest_full(spark, sf), [C.range_rule("kg_ha", 2, 48)], ["variedad"], max_rows=2400)
 

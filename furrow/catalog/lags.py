@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from furrow.catalog.base import H, harvest, query, r, rs
 from furrow.columns import FF
 from furrow.operators import lags as L
+from furrow.plans.chain import LagStep
+from furrow.session import cut
 
 SPLIT_DAY = "2000-01-01"
 
@@ -238,6 +240,14 @@ def lag_features(spark, sf):
     return out.select("row_id", *[r(c, 4).alias(c) for c in L.lag_columns()])
 
 
+@query("chain_training_features", LAG_SQL)
+def chain_training_features(spark, sf):
+    """The fitted lag stage served its own training rows, as a pipeline's transform does."""
+    df = cut(_slim(spark, sf))
+    out = LagStep().fit(df).transform(df.select("*"))
+    return out.select("row_id", *[r(c, 4).alias(c) for c in L.lag_columns()])
+
+
 @query("lag_features_exante")
 def lag_features_exante(spark, sf):
     flags = L.LagFlags(exante=True, simple_lags=True, seasonal_2y=True, log_derived=True)

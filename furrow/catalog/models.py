@@ -144,7 +144,7 @@ def score_batch(spark, sf):
     bands = E.conformal_bands(T.score_batch(df, models, "formato").withColumn("y_true", F.col("kg_jr_h")))
     base = D.drift_baseline(df, ["kg_ha", "dpc"], ["fundo"], "formato")
     out = T.score_batch(df, models, "formato", "h_ef", bands, base)
-    return out.select("row_id", r("y_pred", 4).alias("y_pred"), r("kgjn_pred", 4).alias("kgjn_pred"), r("low", 4).alias("low"), r("high", 4).alias("high"), "confidence", "drift_status")
+    return out.select("row_id", r("y_pred", 4).alias("y_pred"), r("kgjn_pred", 4).alias("kgjn_pred"), r("low", 4).alias("low"), r("high", 4).alias("high"), "confidence", "drift_status", "score_reason")
 
 
 @query("rescore_changed", f"""{H} SELECT row_id, {rs("CASE WHEN formato = 'A' THEN (kg_ha + 1) * 3 ELSE kg_ha * 3 + 0.5 END")} AS y_pred, formato = 'A' AS rescored FROM h""")

@@ -372,7 +372,7 @@ def psi_numeric_fixed(spark, sf):
     from furrow.functions.stats import melt
 
     base, new = _base(spark, sf)
-    out = D.psi_numeric_fixed(melt(new, ["variedad", "batch"], ["kg_jr_h"]), base["numeric"], base["sample"], ["variedad", "batch"], ["variedad"])
+    out = D.psi_numeric_fixed(melt(new, ["variedad", "batch"], ["kg_jr_h"]), base["numeric"], base["counts"], ["variedad", "batch"], ["variedad"])
     return out.select("variedad", "batch", "n_observed", r("psi").alias("psi"))
 
 

@@ -192,13 +192,14 @@ def validate_batch(
     rules: Sequence[Rule] = REQUEST_RULES,
     required: Sequence[str] = REQUIRED,
     varieties: DataFrame | None = None,
-    max_rows: int = MAX_BATCH_ROWS,
+    max_rows: int | None = None,
     row_id: str = ROW_ID,
 ) -> DataFrame:
     """Issue table of a batch.
 
-    Missing columns block everything; varieties with too many rows block the row rules;
-    otherwise every violated rule of every row is listed.
+    Missing columns block everything; otherwise every violated rule of every row is listed.
+    With ``max_rows`` (MAX_BATCH_ROWS for a request) a variety with more rows is listed once
+    and its rows are not; other varieties are not affected.
     """
     spark = df.sparkSession
     df = normalize_batch(df)
@@ -206,6 +207,8 @@ def validate_batch(
     if missing:
         rows = [("0", c, "(absent)", "required column missing") for c in missing]
         return spark.createDataFrame(rows, "row string, column string, value string, reason string")
+    if max_rows is None:
+        return _row_issues(df, rules, varieties, row_id)
     oversized = df.groupBy(VARIETY).count().where(F.col("count") > max_rows)
     blocks = oversized.select(
         F.lit("0").alias("row"),
@@ -213,7 +216,12 @@ def validate_batch(
         F.col(VARIETY).alias("value"),
         F.concat(F.col("count").cast("string"), F.lit(f" rows exceed the maximum of {max_rows}")).alias("reason"),
     )
-    free = oversized.agg(F.count(F.lit(1)).alias("n")).scalar() == 0
+    big = oversized.select(F.col(VARIETY).alias("_big"))
+    free = df.join(big, df[VARIETY].eqNullSafe(big["_big"]), "left_anti")
+    return blocks.unionByName(_row_issues(free, rules, varieties, row_id))
+
+
+def _row_issues(df: DataFrame, rules: Sequence[Rule], varieties: DataFrame | None, row_id: str) -> DataFrame:
     issues = rule_issues(df, rules, row_id)
     if varieties is not None:
         known = varieties.select(F.upper(F.col(VARIETY)).alias(VARIETY)).distinct()
@@ -224,7 +232,7 @@ def validate_batch(
             F.lit("unknown variety").alias("reason"),
         )
         issues = issues.unionByName(unknown)
-    return blocks.unionByName(issues.where(free))
+    return issues
 
 
 def align_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:

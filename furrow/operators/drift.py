@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from furrow.columns import CATEGORICAL_FEATURES, DATE, MISSING, NUMERIC_FEATURES, ROW_ID, VARIETY
 from furrow.functions.scalar import edge_bin_left
-from furrow.functions.stats import melt
+from furrow.functions.stats import ks_tail, melt
 from furrow.operators.groups import attach, quantiles
 from furrow.operators.hypothesis import chi2_goodness
-from furrow.operators.ranks import ks_two_sample
+from furrow.operators.ordered import running
 from furrow.session import cut
 
 # Thresholds of the two PSI rules and of the row report.
 EPS_YEARS, EPS_BATCH = 1e-6, 1e-4
-MIN_SIDE, MIN_BATCH, MIN_HISTORY, MAX_SAMPLE = 50, 30, 30, 50_000
+MIN_SIDE, MIN_BATCH, MIN_HISTORY = 50, 30, 30
 Z_OK, Z_ALERT, RARE_SHARE = 1.0, 3.0, 0.01
 SHARES = [0.05, 0.20, 0.25, 0.25, 0.20, 0.05]
 
@@ -93,7 +93,7 @@ def drift_summary(drift: DataFrame, findings: DataFrame | None = None, by: Seque
 
 
 def drift_baseline(history: DataFrame, numeric: Sequence[str] = NUMERIC_FEATURES, categorical: Sequence[str] = CATEGORICAL_FEATURES, by: str = VARIETY, date: str = DATE, row_id: str = ROW_ID) -> dict[str, DataFrame]:
-    """State tables per variety: ``numeric`` percentiles, ``sample`` values, ``levels``, ``window``."""
+    """State tables per variety: ``numeric`` percentiles, value ``counts``, ``levels``, ``window``."""
     numeric = [c for c in numeric if c in history.columns]
     categorical = [c for c in categorical if c in history.columns]
     long = melt(history, [by, row_id], numeric)
@@ -102,10 +102,8 @@ def drift_baseline(history: DataFrame, numeric: Sequence[str] = NUMERIC_FEATURES
     n = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_samples"))
     stats = attach(q, n, keys).withColumn("scale", F.greatest(F.col("p75") - F.col("p25"), F.lit(1e-9)))
     stats = stats.where(F.col("n_samples") >= MIN_HISTORY)
-    # A hash share keeps about 50,000 values per variable; the sample is part of the baseline's definition.
-    share = F.lit(float(MAX_SAMPLE)) / F.col("n_samples")
-    luck = F.pmod(F.xxhash64(F.col(row_id), F.lit(42)), F.lit(1_000_003)) / 1_000_003.0
-    sample = attach(long, n, keys).where(luck < share).select(*keys, "value")
+    # Every value of the history, as counts.
+    value_counts = long.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
     items = F.array(*[F.struct(F.lit(c).alias("variable"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("level")) for c in categorical])
     cats = history.select(by, F.explode(items).alias("_i")).select(by, "_i.*") if categorical else None
     levels = None
@@ -114,7 +112,7 @@ def drift_baseline(history: DataFrame, numeric: Sequence[str] = NUMERIC_FEATURES
         total = counts.groupBy(by, "variable").agg(F.sum("_c").alias("_t"))
         levels = attach(counts, total, [by, "variable"]).select(by, "variable", "level", (F.col("_c") / F.col("_t")).alias("freq"))
     window = history.groupBy(by).agg(F.min(date).alias("date_from"), F.max(date).alias("date_to"), F.count(F.lit(1)).alias("n_history"))
-    return {"numeric": stats, "sample": sample, "levels": levels, "window": window}
+    return {"numeric": stats, "counts": value_counts, "levels": levels, "window": window}
 
 
 def wide_baseline(stats: DataFrame, numeric: Sequence[str], by: str = VARIETY) -> DataFrame:
@@ -204,11 +202,11 @@ def psi_status(value: Column) -> Column:
     return F.when(value < 0.10, "ok").when(value < 0.25, "warning").otherwise("alert")
 
 
-def psi_numeric_fixed(observed: DataFrame, stats: DataFrame, sample: DataFrame, keys: Sequence[str], base_keys: Sequence[str]) -> DataFrame:
+def psi_numeric_fixed(observed: DataFrame, stats: DataFrame, counts: DataFrame, keys: Sequence[str], base_keys: Sequence[str]) -> DataFrame:
     """PSI on the baseline's 5/25/50/75/95 percentiles.
 
-    ``observed`` and ``sample`` are long (keys or base keys, variable, value). Baseline
-    shares come from the sample, or are the nominal ones when there is none.
+    ``observed`` is long (keys, variable, value), ``counts`` has (base keys, variable, value,
+    n). Baseline shares come from the counts, or are the nominal ones when there are none.
     """
     pts = F.array("p05", "p25", "center", "p75", "p95")
     # Running maximum keeps the edges in order; repeats merge their bins.
@@ -217,13 +215,13 @@ def psi_numeric_fixed(observed: DataFrame, stats: DataFrame, sample: DataFrame,
     edges = stats.select(*on, F.array_distinct(ordered).alias("_e"), "n_samples")
     sized = edges.withColumn("_k", F.size("_e") + 1)
 
-    def count(df, group):
-        return attach(df, sized, on).where(F.col("_k").isNotNull()).groupBy(*group, edge_bin_left(F.col("value"), F.col("_e")).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    def count(df, group, weight):
+        return attach(df, sized, on).where(F.col("_k").isNotNull()).groupBy(*group, edge_bin_left(F.col("value"), F.col("_e")).alias("bin")).agg(F.sum(weight).alias("c"))
 
-    base = count(sample, on)
+    base = count(counts, on, F.col("n"))
     base_total = base.groupBy(*on).agg(F.sum("c").alias("_t"))
     base = attach(base, base_total, on).select(*on, "bin", (F.col("c") / F.col("_t")).alias("_share"))
-    seen = count(observed, [*keys, *[k for k in on if k not in keys]])
+    seen = count(observed, [*keys, *[k for k in on if k not in keys]], F.lit(1))
     group = [*keys, *[k for k in on if k not in keys]]
     n = seen.groupBy(*group).agg(F.sum("c").alias("n_observed"))
     grid = attach(n, sized, on).withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
@@ -255,6 +253,29 @@ def psi_categorical(counts: DataFrame, levels: DataFrame, keys: Sequence[str], b
     return attach(out, total, group).withColumn("psi_status", psi_status(F.col("psi")))
 
 
+def ks_against(observed: DataFrame, counts: DataFrame, keys: Sequence[str], base_keys: Sequence[str], least: int = MIN_HISTORY) -> DataFrame:
+    """KS of each batch against the value counts of its baseline, by looking its values up.
+
+    Between two values of a batch its distribution function is flat, so the largest gap is at
+    one of its values or just before it: the baseline's running counts there are all it takes,
+    and the baseline is not repeated for each batch.
+    """
+    on, group = [*base_keys, "variable"], [*keys, "variable"]
+    own = observed.where(F.col("value").isNotNull()).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("b"))
+    zero = own.select(*on, "value").distinct().withColumn("n", F.lit(0).cast("bigint"))
+    axis = counts.select(*on, "value", "n").unionByName(zero).groupBy(*on, "value").agg(F.sum("n").alias("n"))
+    axis = running(axis, on, [F.col("value")], {"cum_a": F.col("n")})
+    total = counts.groupBy(*on).agg(F.sum("n").alias("n_a"))
+    batch = running(own, group, [F.col("value")], {"cum_b": F.col("b")})
+    size = own.groupBy(*group).agg(F.sum("b").alias("n_b"))
+    met = attach(attach(attach(batch, axis, [*on, "value"]), total, on), size, group)
+    at = F.abs(F.col("cum_a") / F.col("n_a") - F.col("cum_b") / F.col("n_b"))
+    before = F.abs((F.col("cum_a") - F.col("n")) / F.col("n_a") - (F.col("cum_b") - F.col("b")) / F.col("n_b"))
+    out = met.where(F.col("n_a").isNotNull()).groupBy(*group).agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.max(F.greatest(at, before)).alias("ks"))
+    enough = (F.col("n_a") >= least) & (F.col("n_b") >= least)
+    return out.withColumn("ks", F.when(enough, F.col("ks"))).withColumn("ks_p", ks_tail("ks", F.col("n_a").cast("double"), F.col("n_b").cast("double")))
+
+
 def batch_drift(df: DataFrame, baseline: dict[str, DataFrame], numeric: Sequence[str] = NUMERIC_FEATURES, categorical: Sequence[str] = CATEGORICAL_FEATURES, by: str = VARIETY, batch: str = "batch") -> DataFrame:
     """Feature rows (by, batch, variable): PSI with KS or chi-square and the merged status.
 
@@ -266,11 +287,8 @@ def batch_drift(df: DataFrame, baseline: dict[str, DataFrame], numeric: Sequence
     big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_BATCH)
     rows = attach(df, big, keys).where(F.col("_n").isNotNull()).drop("_n")
     long = melt(rows, keys, numeric)
-    p = psi_numeric_fixed(long, baseline["numeric"], baseline["sample"], keys, [by])
-    # The sample meets each batch of its variety once; a side column keeps them apart.
-    batches = long.select(*keys, "variable").distinct()
-    side_a = batches.join(baseline["sample"], [by, "variable"]).select(*keys, "variable", "value", F.lit("a").alias("side"))
-    ks = ks_two_sample(side_a.unionByName(long.select(*keys, "variable", "value").withColumn("side", F.lit("b"))), [*keys, "variable"], "value", "side", MIN_HISTORY)
+    p = psi_numeric_fixed(long, baseline["numeric"], baseline["counts"], keys, [by])
+    ks = ks_against(long, baseline["counts"], keys, [by])
     num = attach(p, ks.select(*keys, "variable", "ks", "ks_p"), [*keys, "variable"])
     num = num.withColumn("status", F.when((F.col("psi_status") == "ok") & (F.col("ks_p") < 0.05), "warning").otherwise(F.col("psi_status")))
     null_d = F.lit(None).cast("double")

@@ -61,7 +61,7 @@ def fit_trees(df: DataFrame, cols: Sequence[str], by: str, seed: int = 42, trees
     share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("_n"))
     chosen = F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(F.xxhash64(F.col(row_id), t, F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0 < share,
+        lambda t: F.xxhash64(F.col(row_id), t, F.lit(seed)).cast("double") < (2 * share - 1) * float(2**63),
     )
     sample = marked.select(by, F.explode(chosen).alias("_tree"), *[F.col(c).cast("double") for c in cols], row_id)
 
@@ -91,7 +91,8 @@ def _paths(x: np.ndarray, tree: dict) -> np.ndarray:
 
 
 def isolation_scores(df: DataFrame, cols: Sequence[str], by: str, seed: int = 42, trees: int = TREES, row_id: str = ROW_ID) -> DataFrame:
-    """Isolation score in (0, 1] of every row; higher is more isolated.
+    """Isolation score in (0, 1] of every row; higher is more isolated. Rows without a
+    group form a group of their own.
 
     Forests travel to the tasks in passes of bounded size: groups beyond the node budget
     are scored in a further pass over their own rows.
@@ -112,7 +113,9 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], by: str, seed: int = 42
     out = None
     for groups in passes:
         held: dict = {}
-        for row in forest.where(F.col(by).isin(groups)).collect():
+        mine = F.col(by).isin([g for g in groups if g is not None])
+        mine = F.coalesce(mine, F.lit(False)) | F.col(by).isNull() if None in groups else mine
+        for row in forest.where(mine).collect():
             held.setdefault(row[by], []).append(
                 {k: np.asarray(row[k]) for k in ("feature", "cut_at", "left", "right", "value")} | {"size": row["_size"]}
             )
@@ -120,8 +123,8 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], by: str, seed: int = 42
         def score(batches, held=held):
             for pdf in batches:
                 result = np.full(len(pdf), np.nan)
-                for name, idx in pdf.groupby(by).indices.items():
-                    forest_of = held.get(name)
+                for name, idx in pdf.groupby(by, dropna=False).indices.items():
+                    forest_of = held.get(None if pd.isna(name) else name)
                     if not forest_of:
                         continue
                     x = pdf.iloc[idx][list(cols)].to_numpy(float)
@@ -130,7 +133,7 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], by: str, seed: int = 42
                     result[idx] = 2.0 ** (-total / usual) if usual > 0 else 1.0
                 yield pdf.assign(iso_score=result)
 
-        part = df.where(F.col(by).isin(groups)).mapInPandas(score, schema)
+        part = df.where(mine).mapInPandas(score, schema)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -432,7 +432,27 @@ def fit_lags(train: DataFrame, flags: LagFlags | None = None, scope: Sequence[st
 
 
 def transform_lags(state: LagState, new: DataFrame) -> DataFrame:
-    """Lags of new rows against the fitted history; their own target is never used."""
+    """Lags of new rows against the fitted history; their own target is never used.
+
+    A row whose id and date are in the history is not new: it gets the features it had in
+    training, so that it never sees itself among earlier rows. Rows without an id are new.
+    """
+    key = [ROW_ID, DATE]
+    ids = state.history.select(*[F.col(c).alias(f"_known_{c}") for c in key]).distinct()
+    same = [new[c] == F.col(f"_known_{c}") for c in key]
+    known = new.join(ids, same, "left_semi")
+    keep = [c for c in new.columns if c != TARGET]
+    names = lag_columns(state.flags)
+    if not known.take(1):
+        return _serve(state, new)
+    own = lag_features(state.history, state.flags, scope=state.scope).dropDuplicates(key)
+    own = own.select(*[F.col(c).alias(f"_known_{c}") for c in key], *names)
+    known = known.drop(*[n for n in names if n in known.columns])
+    served = known.join(own, [known[c] == F.col(f"_known_{c}") for c in key]).select(*keep, *names)
+    return _serve(state, new.join(ids, same, "left_anti")).unionByName(served)
+
+
+def _serve(state: LagState, new: DataFrame) -> DataFrame:
     hidden = new.withColumn(TARGET, F.lit(None).cast("double")).withColumn("_is_new", F.lit(True))
     past = state.history.withColumn("_is_new", F.lit(False))
     # On one day history comes before new rows.

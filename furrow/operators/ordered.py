@@ -24,8 +24,12 @@ def _window(keys: Sequence[str], order: Sequence) -> WindowSpec:
 
 
 def sliced(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
-    """Rows with a fixed ``_slice``: consecutive slices hold consecutive ranges."""
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    """Rows with a fixed ``_slice``: consecutive slices hold consecutive ranges.
+
+    There are enough slices for each to hold about the rows one task may hold.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(least, -(-df.count() // hot_rows(df.sparkSession)), 2)
     by = [*[F.col(k) for k in keys], *order]
     return cut(df.repartitionByRange(n, *by).withColumn("_slice", F.spark_partition_id()))
 

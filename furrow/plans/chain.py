@@ -16,7 +16,7 @@ from furrow.operators import profiling as P
 from furrow.operators.cleaning import quality_metrics
 from furrow.operators.features import ConcurrentDropper, FeatureGenerator
 from furrow.operators.imputing import GroupMedianImputer, MedianImputer, MissingFlagger, OutlierCapper, RareCategoryGrouper, VarianceFilter
-from furrow.operators.lags import LagFlags, LagState, fit_lags, lag_features, transform_lags
+from furrow.operators.lags import LagFlags, LagState, fit_lags, transform_lags
 from furrow.operators.neighbors import KnnImputer, LofScorer
 from furrow.session import cut
 
@@ -29,20 +29,23 @@ class LagStep(Estimator):
         self.flags, self.scope = flags or LagFlags(), tuple(scope)
 
     def _fit(self, dataset):
-        return LagModel(fit_lags(dataset, self.flags, self.scope), dataset)
+        return LagModel(fit_lags(dataset, self.flags, self.scope))
 
 
 class LagModel(Model):
-    def __init__(self, state: LagState, train: DataFrame):
+    """Rows of the training history get their training features, other rows serving ones."""
+
+    def __init__(self, state: LagState):
         super().__init__()
-        self.state, self.train = state, train
+        self.state = state
 
     def _transform(self, dataset):
-        if dataset is self.train:
-            return cut(lag_features(dataset, self.state.flags, scope=self.state.scope))
-        target = dataset.select(ROW_ID, TARGET) if TARGET in dataset.columns else None
-        out = transform_lags(self.state, dataset)
-        return out if target is None else out.join(target, ROW_ID)
+        if TARGET not in dataset.columns:
+            return transform_lags(self.state, dataset)
+        # The target travels under another name: nothing is joined back by row.
+        out = transform_lags(self.state, dataset.withColumn("_target", F.col(TARGET)))
+        added = [c for c in out.columns if c not in dataset.columns and c != "_target"]
+        return cut(out.select(*[F.col("_target").alias(c) if c == TARGET else F.col(c) for c in dataset.columns], *added))
 
 
 def preprocessing_chain(flags: LagFlags | None = None, exante: bool = False, knn: bool = True, lof: bool = True, lof_before_cap: bool = False, cascade: bool = False, group_median: bool = False, rare_min: int | None = None, knn_threshold: float = 0.30, high=None, low=None, scope: Sequence[str] = ()) -> Pipeline:

@@ -317,7 +317,11 @@ def train_all_varieties(df: DataFrame, features: Sequence[str], backends: Sequen
 
 
 def score_batch(df: DataFrame, models: dict[str, Trained | Ensemble], key: str = VARIETY, hours: str | None = None, bands: dict | None = None, baseline: dict | None = None) -> DataFrame:
-    """Predictions of every variety's own model, with daily kilos, bands and row drift."""
+    """Predictions of every variety's own model, with daily kilos, bands and row drift.
+
+    Rows of a variety without a model, or of none, stay with a null prediction; their
+    ``score_reason`` says so.
+    """
     from furrow.operators.drift import row_drift
     from furrow.operators.evaluation import apply_bands
 
@@ -326,7 +330,12 @@ def score_batch(df: DataFrame, models: dict[str, Trained | Ensemble], key: str =
         part = model.predict(df.where(F.col(key) == name), "y_pred")
         if "y_pred_std" not in part.columns:
             part = part.withColumn("y_pred_std", F.lit(None).cast("double"))
+        part = part.withColumn("score_reason", F.lit(None).cast("string"))
         out = part if out is None else out.unionByName(part)
+    rest = df.where(~F.coalesce(F.col(key).isin(list(models)), F.lit(False)))
+    null = F.lit(None).cast("double")
+    rest = rest.select("*", null.alias("y_pred"), null.alias("y_pred_std"), F.lit("no model").alias("score_reason"))
+    out = rest if out is None else out.unionByName(rest, allowMissingColumns=True)
     if hours:
         out = out.withColumn("kgjn_pred", daily_kilos(F.col("y_pred"), F.col(hours)))
     if bands:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -46,9 +48,19 @@ def shared_root(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
     if not _LOCAL_ROOT:
         _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="furrow-"))
+        atexit.register(shutil.rmtree, _LOCAL_ROOT[0], ignore_errors=True)
     return _LOCAL_ROOT[0]
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables this application has written; call it when a job ends.
+
+    Frames built on them can't be read afterwards.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/furrow/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -49,9 +49,12 @@ def stream_validate(stream: DataFrame, rules: Sequence[Rule], good: str, issues:
             ok = ok & F.expr(rule.ok)
 
     def handle(batch: DataFrame, number: int) -> None:
-        clean = normalize_batch(batch)
-        _put(clean.where(ok), good, number)
-        _put(rule_issues(clean, rules, row_id), issues, number)
+        clean = normalize_batch(batch).persist()
+        try:
+            _put(clean.where(ok), good, number)
+            _put(rule_issues(clean, rules, row_id), issues, number)
+        finally:
+            clean.unpersist()
 
     return run_batches(stream, handle, checkpoint)
 

@@ -150,9 +150,9 @@ def test_oversize_batch_is_one_blocking_issue(spark):
     row = ("POP", "2026-01-10", 5000.0, 120.0, 10.0, 30, "GRANEL", "C5")
     cols = "variedad string, fecha string, kg_ha double, dpc double, ha double, dia_cosecha int, formato string, fundo string"
     df = spark.createDataFrame([row] * 1001, cols).withColumn("row_id", F.monotonically_increasing_id())
-    issues = CL.validate_batch(df).collect()
+    issues = CL.validate_batch(df, max_rows=CL.MAX_BATCH_ROWS).collect()
     assert len(issues) == 1 and issues[0]["column"] == "variedad" and "exceed" in issues[0]["reason"]
-    assert CL.validate_batch(df.limit(1000)).count() == 0
+    assert CL.validate_batch(df.limit(1000), max_rows=CL.MAX_BATCH_ROWS).count() == 0
 
 
 def test_empty_replace_is_refused(spark, tmp_path):
