@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +56,32 @@ def poisson_one(u: Column, most: int = 12) -> Column:
     return out
 
 
+# Fixed odd multipliers of the replicate weights; products of 32-bit numbers stay in 63 bits.
+WEIGHT_MIX = (1640531527, 1597334677, 2146121005)
+
+
+def replicate_uniform(x: Column, y: Column, b: Column) -> Column:
+    """Uniform number of a row (two 32-bit hashes) in replicate ``b``, in plain integers."""
+    a, c, d = (F.lit(m).cast("bigint") for m in WEIGHT_MIX)
+    size = F.lit(1 << 32).cast("bigint")
+    h = (x * a + y + b.cast("bigint") * c) % size
+    h = h.bitwiseXOR(F.shiftright(h, 15)) * d % size
+    return (h.bitwiseXOR(F.shiftright(h, 13)) + 0.5) / float(2**32)
+
+
+def replicate_weights(x: np.ndarray, y: np.ndarray, replicates: int, most: int = 12) -> np.ndarray:
+    """Poisson(1) weights of rows (first axis) in replicates 1 and up; ``poisson_one`` of
+    ``replicate_uniform`` for whole arrays."""
+    a, c, d = WEIGHT_MIX
+    mask = np.int64((1 << 32) - 1)
+    b = np.arange(1, replicates + 1, dtype=np.int64) * c
+    h = ((x * a + y)[:, None] + b[None, :]) & mask
+    h = (h ^ (h >> 15)) * d & mask
+    u = ((h ^ (h >> 13)) + 0.5) / float(2**32)
+    edges = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(most)])
+    return np.searchsorted(edges, u.ravel(), side="left").reshape(u.shape).astype(np.float64)
+
+
 def cyclic_date(date: Column, extra: bool = False) -> dict[str, Column]:
     """Month harmonics 1-3, ISO-week harmonic 1 (and 2), year."""
     month, week = F.month(date).cast("double"), F.weekofyear(date).cast("double")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.columns import DATE, FARM, FF, FORMAT, HOURS, MIN_DENOM, MISSING, REAL, REL_FLOOR, ROW_ID, TARGET
 from furrow.functions.metrics import metric_columns
-from furrow.functions.scalar import edge_bin_right, half_even, hash_bucket, hash_uniform, poisson_one, width_bin_left
+from furrow.functions.scalar import edge_bin_right, half_even, hash_bucket, poisson_one, replicate_uniform, replicate_weights, width_bin_left
 from furrow.operators.groups import attach, quantiles
 from furrow.operators.ordered import position
 from furrow.session import cut
@@ -208,11 +210,59 @@ def calibration_bins(df: DataFrame, bins: int = 10, y: str = "y_true", p: str =
     return table.withColumn("bin_diff_pct", diff)
 
 
+# Sums behind the named metrics of a resample, and groups whose sums one task holds at once.
+BOOT_SUMS = ("n", "ae", "ape", "na", "se", "sy", "syy")
+BOOT_GROUPS = 100
+
+
+def _replicate_sums(rows: DataFrame, by: Sequence[str], replicates: int) -> DataFrame:
+    """(by, _b, sums): weighted sums of each replicate, added up inside the tasks.
+
+    A task keeps replicates x 7 numbers per group and sends them on when it has met enough
+    groups, so rows are not repeated for the replicates.
+    """
+    width = len(by)
+
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+
+        def out():
+            names = list(held)
+            arrays = [pa.array([g[i] for g in names for _ in range(replicates)], type=kinds[i]) for i in range(width)]
+            numbers = np.concatenate(list(held.values()))
+            arrays.append(pa.array(np.tile(np.arange(1, replicates + 1, dtype=np.int32), len(names))))
+            arrays += [pa.array(numbers[:, k]) for k in range(len(BOOT_SUMS))]
+            held.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=[*by, "_b", *[f"_{k}" for k in BOOT_SUMS]])
+
+        kinds: list = []
+        for batch in batches:
+            kinds = [batch.column(i).type for i in range(width)]
+            x, y = (batch.column(width + i).to_numpy(zero_copy_only=False) for i in range(2))
+            values = np.column_stack([batch.column(width + 2 + k).to_numpy(zero_copy_only=False).astype(np.float64) for k in range(len(BOOT_SUMS))])
+            labels = list(zip(*(batch.column(i).to_pylist() for i in range(width)), strict=True)) if width else [()] * len(x)
+            places: dict[tuple, list[int]] = {}
+            for i, g in enumerate(labels):
+                places.setdefault(g, []).append(i)
+            for g, at in places.items():
+                total = held.setdefault(g, np.zeros((replicates, len(BOOT_SUMS))))
+                for k in range(0, len(at), 2048):
+                    part = np.array(at[k : k + 2048])
+                    total += replicate_weights(x[part], y[part], replicates).T @ values[part]
+                if len(held) >= BOOT_GROUPS:
+                    yield out()
+        if held:
+            yield out()
+
+    fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by)
+    sums = rows.mapInArrow(run, fields + "_b int, " + ", ".join(f"_{k} double" for k in BOOT_SUMS))
+    return sums.groupBy(*by, "_b").agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in BOOT_SUMS])
+
+
 def bootstrap_ci(
     df: DataFrame,
     metrics: dict[str, Callable[[Column, Column, Column], Column]] | Sequence[str] = ("mae", "mape", "r2"),
     replicates: int = 1000,
-    units: int = 10_000,
     alpha: float = 0.05,
     by: Sequence[str] = (),
     y: str = "y_true",
@@ -220,45 +270,47 @@ def bootstrap_ci(
     row_id: str = ROW_ID,
     seed: int = 42,
 ) -> DataFrame:
-    """Percentile interval per metric by Poisson resampling.
+    """Percentile interval per metric; every row gets a Poisson(1) weight in each replicate.
 
-    Rows are hashed into at most ``units`` resampling units whose sums are taken first, so
-    replicates expand a table of units and not the rows; with fewer rows than units this
-    is close to resampling rows. ``metrics`` may be names, or builders of a weighted
-    aggregate ``f(y, p, weight)`` (then rows themselves are expanded).
+    ``metrics`` may be names, whose sums are added up inside the tasks, or builders of a
+    weighted aggregate ``f(y, p, weight)``; for these each row is repeated per replicate
+    inside a partial aggregate.
     """
     by = list(by)
-    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).withColumn("_u", (hash_bucket(F.col(row_id), seed) % units))
+    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+    rows = rows.withColumns({"_hx": hash_bucket(F.col(row_id), seed), "_hy": hash_bucket(F.col(row_id), seed + 1)})
     if isinstance(metrics, dict):
-        base, names = rows.withColumns({"_y": F.col(y).cast("double"), "_p": F.col(p).cast("double")}), list(metrics)
+        names = list(metrics)
+        base = rows.withColumns({"_y": F.col(y).cast("double"), "_p": F.col(p).cast("double")})
 
         def build(w):
             return {k: f(F.col("_y"), F.col("_p"), w) for k, f in metrics.items()}
+
+        point = base.groupBy(*by).agg(*[c.alias(f"{k}_point") for k, c in build(F.lit(1.0)).items()])
+        drawn = base.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+        drawn = drawn.withColumn("_w", poisson_one(replicate_uniform(F.col("_hx"), F.col("_hy"), F.col("_b"))).cast("double")).where("_w > 0")
+        each = drawn.groupBy(*by, "_b").agg(*[c.alias(k) for k, c in build(F.col("_w")).items()])
     else:
-        err = F.abs(F.col(y) - F.col(p))
-        ok = F.abs(y) >= MIN_DENOM
-        base = rows.groupBy(*by, "_u").agg(
-            F.count(F.lit(1)).alias("_n"), F.sum(err).alias("_ae"), F.sum(F.when(ok, err / F.nullif(F.abs(y), F.lit(0.0)))).alias("_ape"), F.count_if(ok).alias("_na"),
-            F.sum(err * err).alias("_se"), F.sum(y).alias("_sy"), F.sum(F.col(y) * F.col(y)).alias("_syy"),
-        )
         names = list(metrics)
+        err = F.abs(F.col(y) - F.col(p)).cast("double")
+        real = F.col(y).cast("double")
+        ok = F.abs(y) >= MIN_DENOM
+        values = {"n": F.lit(1.0), "ae": err, "ape": F.when(ok, err / F.nullif(F.abs(y), F.lit(0.0))), "na": ok.cast("double"), "se": err * err, "sy": real, "syy": real * real}
+        base = rows.select(*by, "_hx", "_hy", *[F.coalesce(values[k].cast("double"), F.lit(0.0)).alias(f"_{k}") for k in BOOT_SUMS])
 
-        def build(w):
-            s = {k: F.sum(F.coalesce(F.col(f"_{k}"), F.lit(0.0)) * w) for k in ("n", "ae", "ape", "na", "se", "sy", "syy")}
+        def known(s):
             sst = s["syy"] - F.try_divide(s["sy"] * s["sy"], s["n"])
-            known = {
+            found = {
                 "mae": F.try_divide(s["ae"], s["n"]),
                 "mape": F.try_divide(s["ape"], s["na"]) * 100.0,
                 "r2": 1.0 - F.try_divide(s["se"], sst),
                 "rmse": F.sqrt(F.try_divide(s["se"], s["n"])),
             }
-            return {k: known[k] for k in names}
+            return {k: found[k] for k in names}
 
-    point = base.groupBy(*by).agg(*[c.alias(f"{k}_point") for k, c in build(F.lit(1.0)).items()])
-    drawn = base.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    key = F.concat_ws(":", F.col("_u").cast("string"), F.col("_b").cast("string"))
-    drawn = drawn.withColumn("_w", poisson_one(hash_uniform(key, seed)).cast("double")).where("_w > 0")
-    each = drawn.groupBy(*by, "_b").agg(*[c.alias(k) for k, c in build(F.col("_w")).items()])
+        point = base.groupBy(*by).agg(*[c.alias(f"{k}_point") for k, c in known({k: F.sum(f"_{k}") for k in BOOT_SUMS}).items()])
+        each = _replicate_sums(base, by, replicates).where("_n > 0")
+        each = each.select(*by, "_b", *[c.alias(k) for k, c in known({k: F.col(f"_{k}") for k in BOOT_SUMS}).items()])
     # One row per replicate and group.
     spec = {f"{k}_{side}": (k, q) for k in names for side, q in (("low", alpha / 2), ("high", 1 - alpha / 2))}
     limits = quantiles(each, by, spec, hot=False)

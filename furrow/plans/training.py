@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -63,7 +64,7 @@ def register_backend(backend: Backend) -> None:
 
 @dataclass
 class Trained:
-    """Fitted model with its feature list and target transform."""
+    """Fitted model with its feature list, target transform and fitted preprocessing."""
 
     features: list[str]
     model: object
@@ -71,8 +72,13 @@ class Trained:
     linear: object | None = None
     scaler: object | None = None
     n_train: int = 0
+    chain: object | None = None
 
     def predict(self, df: DataFrame, name: str = "y_pred") -> DataFrame:
+        columns = df.columns
+        if self.chain is not None:
+            # The rows as they came travel along, since the chain changes values.
+            df = self.chain.transform(df.withColumn("_given", F.struct(*columns)))
         out = _assemble(df, self.features)
         if self.linear is not None:
             out = self.linear.transform(self.scaler.transform(out)).withColumnRenamed("_linear", "_base")
@@ -80,7 +86,8 @@ class Trained:
         else:
             total = self.model.transform(out).withColumn("_z", F.col("_p"))
         z = F.col("_z")
-        return total.select(*df.columns, (F.greatest(unlog_target(z), F.lit(0.0)) if self.log else z).alias(name))
+        given = columns if self.chain is None else ["_given.*"]
+        return total.select(*given, (F.greatest(unlog_target(z), F.lit(0.0)) if self.log else z).alias(name))
 
     @property
     def n_trees(self) -> int:
@@ -92,9 +99,28 @@ def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=[f"_f_{c}" for c in features], outputCol="_x").transform(numeric)
 
 
-def train(df: DataFrame, features: Sequence[str], backend: str = "gbt", params: dict | None = None, y: str = TARGET, weight: str | None = None, val: str | None = None, log: bool = True) -> Trained:
-    """Fit one model; ``weight`` and the validation marker ``val`` are optional columns."""
+def _numeric(df: DataFrame, but: Sequence[str]) -> list[str]:
+    kinds = ("double", "float", "int", "bigint", "smallint", "tinyint")
+    return [c for c, kind in df.dtypes if (kind in kinds or kind.startswith("decimal")) and c not in but and not c.startswith("_")]
+
+
+def train(df: DataFrame, features: Sequence[str] | None, backend: str = "gbt", params: dict | None = None, y: str = TARGET, weight: str | None = None, val: str | None = None, log: bool = True, preprocessor: Pipeline | None = None) -> Trained:
+    """Fit one model; ``weight`` and the validation marker ``val`` are optional columns.
+
+    An unfitted ``preprocessor`` is fitted on these rows alone and belongs to the model, so a
+    fold's medians, caps and lags never see its test rows. ``features`` may then name columns
+    it makes; None takes every numeric column that comes out of it.
+    """
     params = dict(params or {})
+    chain = None
+    if preprocessor is not None:
+        df = cut(df)
+        chain = preprocessor.fit(df)
+        df = cut(chain.transform(df))
+        # A constant weight may be dropped as a constant column; it has no effect then.
+        weight = weight if weight in df.columns else None
+    if features is None:
+        features = _numeric(df, [y, weight, val])
     rows = df.where(F.col(y).isNotNull())
     if log:
         rows = attach(rows, log_target_state(rows, y)).withColumn("_y", log_target(F.col(y), F.col("y_cap")))
@@ -117,7 +143,7 @@ def train(df: DataFrame, features: Sequence[str], backend: str = "gbt", params:
         est = est.setWeightCol(weight)
     if val and isinstance(est, GBTRegressor):
         est = est.setValidationIndicatorCol(val)
-    return Trained(list(features), est.fit(data), log, linear, scaler, n)
+    return Trained(list(features), est.fit(data), log, linear, scaler, n, chain)
 
 
 def train_gbt(df, features, params=None, **kw) -> Trained:
@@ -145,7 +171,7 @@ def score_frame(df: DataFrame, y: str = TARGET, p: str = "y_pred", metric: str =
     return float("inf") if got is None else float(got)
 
 
-def inner_search(df: DataFrame, features: Sequence[str], backend: str = "gbt", grid: Sequence[dict] | None = None, k: int = 3, metric: str = "mae", y: str = TARGET, weight: str | None = None, std_penalty: float = 0.0, gap_penalty: float = 0.0, base: dict | None = None, seed: int = 7) -> list[dict]:
+def inner_search(df: DataFrame, features: Sequence[str], backend: str = "gbt", grid: Sequence[dict] | None = None, k: int = 3, metric: str = "mae", y: str = TARGET, weight: str | None = None, std_penalty: float = 0.0, gap_penalty: float = 0.0, base: dict | None = None, seed: int = 7, preprocessor: Pipeline | None = None) -> list[dict]:
     """Mean inner-fold score of every candidate, best first."""
     folds = cut(kfold(df, k, seed, name="_inner"))
     out = []
@@ -153,9 +179,9 @@ def inner_search(df: DataFrame, features: Sequence[str], backend: str = "gbt", g
         params = {**(base or {}), **params}
         scores, gaps = [], []
         for f in range(k):
-            fit_rows = folds.where(F.col("_inner") != f)
-            model = train(fit_rows, features, backend, params, y, weight)
-            scores.append(score_frame(model.predict(folds.where(F.col("_inner") == f)), y, "y_pred", metric))
+            fit_rows = folds.where(F.col("_inner") != f).drop("_inner")
+            model = train(fit_rows, features, backend, params, y, weight, preprocessor=preprocessor)
+            scores.append(score_frame(model.predict(folds.where(F.col("_inner") == f).drop("_inner")), y, "y_pred", metric))
             if gap_penalty:
                 gaps.append(max(0.0, scores[-1] - score_frame(model.predict(fit_rows), y, "y_pred", metric)))
         mean = sum(scores) / k
@@ -171,18 +197,18 @@ class NestedResult:
     oof: DataFrame | None = None
 
 
-def nested_cv(df: DataFrame, features: Sequence[str], backend: str = "gbt", grid: Sequence[dict] | None = None, outer: int = 5, inner: int = 3, y: str = TARGET, weight: str | None = None, fold: str | None = None, base: dict | None = None, metric: str = "mae") -> NestedResult:
+def nested_cv(df: DataFrame, features: Sequence[str], backend: str = "gbt", grid: Sequence[dict] | None = None, outer: int = 5, inner: int = 3, y: str = TARGET, weight: str | None = None, fold: str | None = None, base: dict | None = None, metric: str = "mae", preprocessor: Pipeline | None = None) -> NestedResult:
     """Outer folds: search inside, refit, test and train MAE, R2, gap, baseline, OOF rows."""
     rows = cut(df if fold else kfold(df, outer, 42, name="fold_id"))
     fold = fold or "fold_id"
     result = NestedResult()
     for f in range(outer):
-        fit_rows, test = rows.where(F.col(fold) != f), rows.where(F.col(fold) == f)
+        fit_rows, test = rows.where(F.col(fold) != f).drop(fold), rows.where(F.col(fold) == f).drop(fold)
         options = list(grid or BACKENDS[backend].grid)
-        best = {**(base or {}), **options[0]} if len(options) == 1 else inner_search(fit_rows, features, backend, options, inner, metric, y, weight, base=base)[0]["params"]
-        model = train(fit_rows, features, backend, best, y, weight)
+        best = {**(base or {}), **options[0]} if len(options) == 1 else inner_search(fit_rows, features, backend, options, inner, metric, y, weight, base=base, preprocessor=preprocessor)[0]["params"]
+        model = train(fit_rows, features, backend, best, y, weight, preprocessor=preprocessor)
         tested = predict_baseline(model.predict(test), fit_baseline(fit_rows, y), "baseline_y_pred")
-        tested = cut(tested.select(ROW_ID, F.col(y).alias("y_true"), "y_pred", F.col(fold).alias("fold_id"), "baseline_y_pred"))
+        tested = cut(tested.select(ROW_ID, F.col(y).alias("y_true"), "y_pred", F.lit(f).cast("int").alias("fold_id"), "baseline_y_pred"))
         m = metric_columns(F.col("y_true"), F.col("y_pred"))
         got = tested.agg(m["mae"].alias("mae"), m["r2"].alias("r2"), F.avg(F.abs(F.col("y_true") - F.col("baseline_y_pred"))).alias("base")).first()
         train_mae = score_frame(model.predict(fit_rows), y)
@@ -202,19 +228,19 @@ def pick_final_params(result: NestedResult) -> dict:
     return order[len(order) // 2]["params"]
 
 
-def temporal_honesty_check(df: DataFrame, features: Sequence[str], backend: str = "gbt", params: dict | None = None, k: int = 3, min_train_years: int = 2, window_days: int | None = None, y: str = TARGET, weight: str | None = None, date: str = DATE) -> DataFrame:
+def temporal_honesty_check(df: DataFrame, features: Sequence[str], backend: str = "gbt", params: dict | None = None, k: int = 3, min_train_years: int = 2, window_days: int | None = None, y: str = TARGET, weight: str | None = None, date: str = DATE, preprocessor: Pipeline | None = None) -> DataFrame:
     """Fixed parameters on expanding years: pooled error, skill over the baseline, last year."""
     rows = cut(temporal_year_split(df, k, min_train_years, date=date))
     years = [r[0] for r in rows.select("test_year").distinct().orderBy("test_year").collect()]
     oof, maes, bases = None, [], []
     for year in years:
         part = rows.where(F.col("test_year") == year)
-        fit_rows, test = part.where("role = 'train'"), part.where("role = 'test'")
+        fit_rows, test = part.where("role = 'train'").drop("role"), part.where("role = 'test'").drop("role")
         if window_days is not None:
             first = test.agg(F.min(date).alias("d")).scalar()
             fit_rows = fit_rows.where(F.col(date) >= F.date_sub(first, window_days))
-        model = train(fit_rows, features, backend, params, y, weight)
-        tested = predict_baseline(model.predict(test), fit_baseline(fit_rows, y), "_base")
+        model = train(fit_rows.drop("test_year"), features, backend, params, y, weight, preprocessor=preprocessor)
+        tested = predict_baseline(model.predict(test.drop("test_year")), fit_baseline(fit_rows, y), "_base").withColumn("test_year", F.lit(year))
         tested = cut(tested.select(ROW_ID, "test_year", F.col(y).alias("y_true"), "y_pred", "_base"))
         got = tested.agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred"))), F.avg(F.abs(F.col("y_true") - F.col("_base")))).first()
         maes.append(got[0])
@@ -252,21 +278,21 @@ class Ensemble:
         return out.withColumn(f"{name}_std", spread).select(*df.columns, name, f"{name}_std")
 
 
-def ensemble_fit(df: DataFrame, features: Sequence[str], k: int = 5, backend: str = "gbt", params: dict | None = None, y: str = TARGET, weight: str | None = None) -> Ensemble:
+def ensemble_fit(df: DataFrame, features: Sequence[str], k: int = 5, backend: str = "gbt", params: dict | None = None, y: str = TARGET, weight: str | None = None, preprocessor: Pipeline | None = None) -> Ensemble:
     """k refits, each without one fold."""
     if k < 1:
         raise ValueError("k must be at least 1")
     if k == 1:
-        return Ensemble([train(df, features, backend, params, y, weight)])
+        return Ensemble([train(df, features, backend, params, y, weight, preprocessor=preprocessor)])
     folds = cut(kfold(df, k, 42, name="_fold"))
-    return Ensemble([train(folds.where(F.col("_fold") != f), features, backend, params, y, weight) for f in range(k)])
+    return Ensemble([train(folds.where(F.col("_fold") != f).drop("_fold"), features, backend, params, y, weight, preprocessor=preprocessor) for f in range(k)])
 
 
-def final_refit(df: DataFrame, features: Sequence[str], stopped: Trained, params: dict | None = None, y: str = TARGET, weight: str | None = None) -> Trained:
+def final_refit(df: DataFrame, features: Sequence[str], stopped: Trained, params: dict | None = None, y: str = TARGET, weight: str | None = None, preprocessor: Pipeline | None = None) -> Trained:
     """Refit on all rows with the trees found, scaled by the extra rows and capped."""
     n = df.where(F.col(y).isNotNull()).count()
     trees = max(1, min(round(stopped.n_trees * n / max(stopped.n_train, 1)), MAX_TREES))
-    return train(df, features, "gbt", {**(params or {}), "maxIter": trees}, y, weight, log=stopped.log)
+    return train(df, features, "gbt", {**(params or {}), "maxIter": trees}, y, weight, log=stopped.log, preprocessor=preprocessor)
 
 
 def capacity_caps(n: Column) -> dict[str, Column]:

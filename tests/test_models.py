@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from furrow.operators.evaluation import fit_baseline, predict_baseline
 from furrow.plans import training as T
+from furrow.session import cut
 from furrow.streaming import streams as ST
 
 
@@ -60,3 +61,37 @@ def test_late_rows_are_dropped_and_a_restart_adds_nothing(spark, tmp_path):
     put("b", [("x", "2024-01-04T00:00:00"), ("x", "2024-01-30T00:00:00")])
     assert run() == {("x", "2024-01-01"): 2, ("x", "2024-01-15"): 1}
     assert run() == {("x", "2024-01-01"): 2, ("x", "2024-01-15"): 1}
+
+
+def test_preprocessing_is_fitted_on_each_fold_and_leaks_no_target(spark):
+    from furrow.catalog.base import harvest_full
+    from pyspark.ml import Pipeline
+
+    from furrow.operators.imputing import MedianImputer, OutlierCapper
+    from furrow.plans.chain import LagStep
+
+    df = harvest_full(spark, "/root/testdata/sf0.001").select("row_id", "fundo", "formato", "fecha", "kg_ha", "indus_pct", "dpc", "p_baya", "ha", "dia_cosecha", "kg_jr_h").where("fundo < '2'").dropDuplicates(["row_id"])
+    df = cut(df)
+    lagged = LagStep().fit(df).transform(df.select("*"))
+    one = df.orderBy("fecha", "row_id").limit(40).collect()[-1].row_id
+    changed = df.withColumn("kg_jr_h", F.when(F.col("row_id") == one, 9.9e6).otherwise(F.col("kg_jr_h")))
+    other = LagStep().fit(changed).transform(changed.select("*"))
+    names = [c for c in lagged.columns if "_lag_" in c]
+    a, b = (x.where(F.col("row_id") == one).select(*names).first() for x in (lagged, other))
+    assert names and a == b
+    columns = ["kg_ha", "indus_pct", "dpc"]
+    chain = Pipeline(stages=[MedianImputer(columns, 0.0), OutlierCapper(columns, group=["fundo"])])
+    got = T.nested_cv(df, None, "gbt", ({"maxDepth": 2},), 2, 2, base={"maxIter": 1}, preprocessor=chain)
+    assert sorted(r.row_id for r in got.oof.collect()) == sorted(r.row_id for r in df.collect())
+
+
+def test_rows_without_a_model_or_group_stay(spark):
+    from furrow.operators.isolation import isolation_scores
+
+    rows = [(f"r{i}", "a" if i % 3 else None, float(i % 17), float(i % 5), 10.0 + i % 7) for i in range(90)] + [("z", "other", 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "row_id string, variedad string, x double, w double, kg_jr_h double")
+    model = T.train(df.where("variedad = 'a'"), ["x", "w"], "gbt", {"maxIter": 1, "maxDepth": 2})
+    got = T.score_batch(df, {"a": model}).collect()
+    assert len(got) == 91 and sum(r.y_pred is None and r.score_reason == "no model" for r in got) == 31
+    scores = isolation_scores(df, ["x", "w"], "variedad", trees=5).collect()
+    assert len(scores) == 91 and all(r.iso_score is not None for r in scores)
