@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -88,18 +87,16 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
 
 
 def _rake_local(cells: DataFrame, targets: dict[str, DataFrame], total: float) -> DataFrame:
-    frame = cells.toPandas()
+    table = cells.toArrow()
     codes, aims = [], []
     for name, target in targets.items():
-        own = target.toPandas()
-        place = {v if pd.notna(v) else None: i for i, v in enumerate(own["value"])}
+        own = target.toArrow()
+        place = {v: i for i, v in enumerate(own.column("value").to_pylist())}
         # Values without a target share a last place whose target is nothing.
-        codes.append(np.array([place.get(v if pd.notna(v) else None, len(own)) for v in frame[name]], dtype=np.int64))
-        aims.append(np.append(own["share"].to_numpy(dtype=float) * total, 0.0))
-    frame["weight"] = rake(frame["tokens"].to_numpy(dtype=float), codes, aims)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema), "weight double"])
-    rows = [tuple(None if pd.isna(x) else x for x in r) for r in frame.astype(object).itertuples(index=False)]
-    return cells.sparkSession.createDataFrame(rows, schema)
+        codes.append(np.array([place.get(v, own.num_rows) for v in table.column(name).to_pylist()], dtype=np.int64))
+        aims.append(np.append(own.column("share").to_numpy() * total, 0.0))
+    weights = rake(table.column("tokens").to_numpy(), codes, aims)
+    return cells.sparkSession.createDataFrame(table.append_column("weight", pa.array(weights, pa.float64())))
 
 
 def _rake_joined(cells: DataFrame, targets: dict[str, DataFrame], total: float, whole: float) -> DataFrame:
