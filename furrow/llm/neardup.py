@@ -285,15 +285,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that a node is connected with; both of edge ends.
 
     Large-star and small-star steps in turn: neighbours move to the smallest of them until
-    all edges are stars. Minima are combined before the shuffle and joined without a hint.
+    all edges are stars. Minima are combined before the shuffle and written: a join of two
+    tables deals both sides itself, and so can split the partition of a node with many edges.
     """
     edges = cut(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a != b").distinct())
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("a").alias("b"), F.col("b").alias("a")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small_low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        small_low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         joined = large.join(small_low, "a")
         small = joined.select("b", F.col("m")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_low.select("a", F.col("m").alias("b"))).distinct()
         edges, before = cut(small), mark
@@ -362,7 +364,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
     the same shingles, itself included, n_links the other documents with a similarity of the
     threshold or more, copies included. A text without words has no shingles, no link and its
     own id as class. A class without any id has none. Rows that repeat an id and a text count
-    as documents of their own.
+    as documents of their own. An empty table gives no row; other columns are not read.
     """
     rows = cut(features(docs, id_col, text))
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(
@@ -379,7 +381,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
     named = named.join(heads, "component", "left").select(
         "node", "n_docs", F.coalesce("_head", "spot").alias("_head"), (F.col("n_docs") - 1 + F.coalesce("_other", F.lit(0))).alias("n_links")
     )
-    out = rows.select("_id", "_t", "node").join(named, "node", "left")
+    # Written, so that the join deals both sides itself and can split a frequent node.
+    out = rows.select("_id", "_t", "node").join(cut(named), "node", "left")
     alone = F.col("node").isNull()
     return out.select(
         "_id",

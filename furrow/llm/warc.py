@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.session import cut
+
 # Fixed values of the Zstandard and WARC formats.
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
@@ -179,13 +181,15 @@ def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     Of pages with equal payloads of ``min_bytes`` or more, the one with the largest id is
     the original; rows that repeat that id and payload are originals too, and where no page
     of a group has an id all are. Only digests and ids are grouped, combined before the
-    shuffle; the join is left to the engine, which splits the partition of a frequent payload.
+    shuffle and written; the join with that table is left to the engine, which can then split
+    the partition of a frequent payload.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
     groups = rows.where(F.length("payload") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n"))
+    shared = cut(groups.where("_n > 1").select(F.col("sha").alias("_sha"), "_last"))
     return (
-        rows.join(groups.where("_n > 1").select(F.col("sha").alias("_sha"), "_last"), F.col("sha") == F.col("_sha"), "left")
+        rows.join(shared, F.col("sha") == F.col("_sha"), "left")
         .withColumn("refers_to", F.when(~F.coalesce(F.col("_last").eqNullSafe(F.col("page_id")), F.lit(False)), F.col("_last")))
         .select("page_id", "url", "payload", "sha", "refers_to")
     )
