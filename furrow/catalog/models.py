@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from furrow.catalog.base import H, HF, S, harvest, harvest_full, query, r, rs, scored, table
@@ -14,6 +15,7 @@ from furrow.operators import lags as L
 from furrow.operators import routing as RO
 from furrow.operators.cleaning import member_rule, range_rule
 from furrow.operators.groups import attach
+from furrow.operators.imputing import MedianImputer, OutlierCapper
 from furrow.plans import chain as CH
 from furrow.plans import training as T
 from furrow.session import cut, shared_root
@@ -91,6 +93,15 @@ def nested_cv(spark, sf):
     return T.fold_table(df, got)
 
 
+# Folds by hash order, as kfold deals them; each row is predicted once, by a model of the other fold.
+@query("nested_cv_oof", f"""{HF} SELECT row_id, (row_number() OVER (ORDER BY md5('42|' || row_id), row_id) - 1) % 2 AS fold_id, true AS predicted FROM h""")
+def nested_cv_oof(spark, sf):
+    """Out-of-fold rows of a model whose imputer and caps are fitted inside each fold."""
+    chain = Pipeline(stages=[MedianImputer(["kg_ha", "dpc"], 0.0), OutlierCapper(["kg_ha", "dpc"], group=["fundo"])])
+    got = T.nested_cv(_rows(spark, sf), FEATURES, "gbt", ({"maxDepth": 3},), 2, 2, base={"maxIter": 3}, preprocessor=chain)
+    return got.oof.select("row_id", F.col("fold_id").cast("bigint").alias("fold_id"), F.col("y_pred").isNotNull().alias("predicted"))
+
+
 @query("pick_final_params")
 def pick_final_params(spark, sf):
     df = _rows(spark, sf)
@@ -147,6 +158,15 @@ def score_batch(spark, sf):
     return out.select("row_id", r("y_pred", 4).alias("y_pred"), r("kgjn_pred", 4).alias("kgjn_pred"), r("low", 4).alias("low"), r("high", 4).alias("high"), "confidence", "drift_status", "score_reason")
 
 
+@query("score_batch_coverage", f"""{HF} SELECT row_id, formato IN ('A', 'N') AS predicted, CASE WHEN formato NOT IN ('A', 'N') THEN 'no model' END AS score_reason FROM h""")
+def score_batch_coverage(spark, sf):
+    """Every row comes out, with a model's prediction or with the reason why not."""
+    df = cut(_rows(spark, sf))
+    models = {v: T.train(df.where(F.col("formato") == v), FEATURES, "gbt", {"maxIter": 2, "maxDepth": 3}) for v in ("A", "N")}
+    out = T.score_batch(df, models, "formato")
+    return out.select("row_id", F.col("y_pred").isNotNull().alias("predicted"), "score_reason")
+
+
 @query("rescore_changed", f"""{H} SELECT row_id, {rs("CASE WHEN formato = 'A' THEN (kg_ha + 1) * 3 ELSE kg_ha * 3 + 0.5 END")} AS y_pred, formato = 'A' AS rescored FROM h""")
 def rescore_changed(spark, sf):
     h = harvest(spark, sf).select("row_id", "formato", "kg_ha", "h_ef")

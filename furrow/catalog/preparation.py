@@ -87,6 +87,14 @@ def lof_score(spark, sf):
     return N.LofScorer(["kg_ha", "dpc"]).fit(df).transform(df)
 
 
+@query("isolation_scores_cover", f"""{HF} SELECT row_id, CASE WHEN dpc <= 40 THEN tipo END AS tipo, true AS scored FROM h""")
+def isolation_scores_cover(spark, sf):
+    """Every row has a score, those without a group included."""
+    df = harvest_full(spark, sf).select("row_id", F.when(F.col("dpc") <= 40, F.col("tipo")).alias("tipo"), "kg_ha", "kg_jr_h", "dpc")
+    out = ISO.isolation_scores(df, ["kg_ha", "kg_jr_h", "dpc"], "tipo", trees=20)
+    return out.select("row_id", "tipo", ((F.col("iso_score") > 0) & (F.col("iso_score") <= 1)).alias("scored"))
+
+
 @query("isolation_filter")
 def isolation_filter(spark, sf):
     df = harvest_full(spark, sf).select("row_id", "tipo", "kg_ha", "kg_jr_h", "dpc")
