@@ -255,14 +255,14 @@ _HASHED = "('0x' || substr(md5('{}|' || row_id), 1, 8))::bigint"
 
 @query("bootstrap_ci", f"""{S}, un AS (SELECT {_HASHED.format(42)} AS hx, {_HASHED.format(43)} AS hy, 1 AS n, abs(y_true - y_pred) AS ae,
   coalesce(CASE WHEN abs(y_true) >= 1 THEN abs(y_true - y_pred) / abs(y_true) END, 0) AS ape, cast(abs(y_true) >= 1 AS integer) AS na, (y_true - y_pred) ^ 2 AS se, y_true AS sy, y_true ^ 2 AS syy FROM s),
-  d0 AS (SELECT *, (hx * 1640531527 + hy + b * 1597334677) % 4294967296 AS h0 FROM un, (SELECT unnest(range(1::bigint, 101::bigint)) AS b)),
+  d0 AS (SELECT *, (hx * 1640531527 + hy + b * 1597334677) % 4294967296 AS h0 FROM un, (SELECT unnest(range(1::bigint, 1001::bigint)) AS b)),
   d1 AS (SELECT *, (xor(h0, h0 >> 15) * 2146121005) % 4294967296 AS h1 FROM d0),
   dr AS (SELECT *, (xor(h1, h1 >> 13) + 0.5) / 4294967296.0::double AS x FROM d1), wt AS (SELECT *, {W_SQL} AS w FROM dr),
   e AS (SELECT b, sum(ae * w) / sum(n * w) AS mae, sum(ape * w) / sum(na * w) * 100 AS mape, 1 - sum(se * w) / (sum(syy * w) - sum(sy * w) ^ 2 / sum(n * w)) AS r2 FROM wt GROUP BY 1),
   pt AS (SELECT sum(ae) / sum(n) AS mae, sum(ape) / sum(na) * 100 AS mape, 1 - sum(se) / (sum(syy) - sum(sy) ^ 2 / sum(n)) AS r2 FROM un)
   """ + " UNION ALL ".join(f"SELECT '{m}' AS metric, {rs(f'(SELECT {m} FROM pt)', 4)} AS point, {rs(f'quantile_cont({m}, 0.025)', 4)} AS ci_low, {rs(f'quantile_cont({m}, 0.975)', 4)} AS ci_high FROM e" for m in ("mae", "mape", "r2")))
 def bootstrap_ci(spark, sf):
-    out = E.bootstrap_ci(scored(spark, sf), replicates=100)
+    out = E.bootstrap_ci(scored(spark, sf))
     return out.select("metric", *[r(c, 4).alias(c) for c in ("point", "ci_low", "ci_high")])
 
 

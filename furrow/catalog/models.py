@@ -383,7 +383,7 @@ def run_eda_summary(spark, sf):
 
 @query("evaluation_report")
 def evaluation_report(spark, sf):
-    t = CH.evaluation_report(scored(spark, sf), 0.1, replicates=50)
+    t = CH.evaluation_report(scored(spark, sf), 0.1)
     a = t["intervals"].select(F.col("metric").alias("item"), F.col("point").alias("value"))
     b = t["actions"].select(F.col("subject").alias("item"), "value")
     c = t["calibration"].select(F.concat(F.lit("bin"), F.col("bin_idx").cast("string")).alias("item"), F.col("bin_diff_pct").alias("value"))

@@ -98,7 +98,7 @@ def isolation_scores_cover(spark, sf):
 @query("isolation_filter")
 def isolation_filter(spark, sf):
     df = harvest_full(spark, sf).select("row_id", "tipo", "kg_ha", "kg_jr_h", "dpc")
-    return ISO.isolation_filter(df, ["kg_ha", "kg_jr_h", "dpc"], "tipo", trees=50)
+    return ISO.isolation_filter(df, ["kg_ha", "kg_jr_h", "dpc"], "tipo")
 
 
 IQR = "quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo, quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi"
