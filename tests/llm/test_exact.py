@@ -331,6 +331,30 @@ def test_leaks_equal_aligning_everything(spark, docs):
     assert decontam.find_leaks(df, bench.where("false")).count() == 0 and decontam.find_leaks(df.where("false"), bench).count() == 0
 
 
+def test_edited_copies_equal_aligning_everything(spark):
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(12)
+    items = [(r.item_id, decontam.words_of(r.text)) for r in bench.collect()]
+    rng = np.random.default_rng(7)
+    edits = {
+        **{f"every {k}th replaced": (lambda j, w, k=k: ["zzz"] if j % k == k - 1 else [w]) for k in (3, 4, 5, 6)},
+        **{f"random {p}": (lambda j, w, p=p: ["zzz"] if rng.random() < p else [w]) for p in (0.2, 0.3)},
+        "put in after every 2nd": lambda j, w: [w, "zzz"] if j % 2 else [w],
+        "every 4th left out": lambda j, w: [] if j % 4 == 3 else [w],
+    }
+    copies = [[b"before", *(x if isinstance(x, bytes) else x.encode() for j, w in enumerate(words) for x in edit(j, w)), b"after"] for edit in edits.values() for _, words in items]
+    whole = [w for _, w in items]
+    # Exact copies beside edited ones must not change what is found.
+    for texts in (copies, copies + whole):
+        want = {(i, item): s for i, t in enumerate(texts) for item, w in items if (s := decontam.align(np.array(w), np.array(t))[0] / (2 * len(w))) >= decontam.THRESHOLD}
+        df = spark.createDataFrame([(i, b" ".join(t).decode()) for i, t in enumerate(texts)], "doc_id bigint, text string")
+        rows = decontam.find_leaks(df, bench).collect()
+        assert {(r.doc_id, r.item_id): r.score for r in rows} == want and len(want) > 80
+        for r in rows[:20]:
+            part = texts[r.doc_id][r.first_word : r.end_word]
+            words = dict(items)[r.item_id]
+            assert decontam.align(np.array(words), np.array(part)) == (round(r.score * 2 * len(words)), len(part))
+
+
 # 8: near duplicates
 
 
