@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import chat, decontam, langid, mixing, neardup, pii, quality, scoring, tokens, warc
+from furrow.llm import chat, collocations, decontam, fim, langid, mixing, neardup, pii, quality, scoring, tokens, warc
 from furrow.session import shared_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,54 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     held_out = langid.remainder("doc_id", 4) == 2
     model = langid.fit(docs.where(~held_out))
     return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model, ["doc_id", "held_out"])
+
+
+OP12 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(cast(doc_id AS varchar), '')) AS h FROM documents),
+g AS (SELECT doc_id, text, cast(length(text) AS bigint) AS n, ('0x' || substr(h, 1, 8))::bigint AS h1, ('0x' || substr(h, 9, 8))::bigint AS h2,
+    ('0x' || substr(h, 17, 8))::bigint AS h3, ('0x' || substr(h, 25, 8))::bigint AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, substr(text, 1, i) AS a, substr(text, i + 1, j - i) AS b, substr(text, j + 1) AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p"""
+
+
+@query("op12_fill_in_middle", OP12)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    docs = fim.transform(table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select(
+        "doc_id",
+        F.col("n_units").alias("n"),
+        "form",
+        F.col("prefix_units").alias("prefix_chars"),
+        F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP13 = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, cast(sum(len(w)) AS bigint) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+    FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, cast(count(*) AS bigint) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+m AS (SELECT lang, s, max(f) AS m FROM (SELECT lang, f, unnest([g[1:k - 1], g[2:k]]) AS s FROM f WHERE k >= 3) GROUP BY ALL),
+c AS (SELECT f.lang, g, f AS a, k FROM f LEFT JOIN m ON m.lang = f.lang AND m.s = g WHERE k >= 2 AND (m IS NULL OR 100 * m < 80 * f)),
+u AS (SELECT lang, g, a, i, g[1:i] AS x, g[i + 1:k] AS y FROM (SELECT *, unnest(range(1, k)) AS i FROM c)),
+s AS (SELECT u.lang, u.g, u.a, i, b.f AS l, e.f AS r, cast((2000000::hugeint * u.a) // (b.f::hugeint + e.f) AS bigint) AS score
+  FROM u JOIN f b ON b.lang = u.lang AND b.g = x JOIN f e ON e.lang = u.lang AND e.g = y),
+t AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, i) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+@query("op13_collocations", OP13)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents").select("lang", "text"))
