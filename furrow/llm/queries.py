@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import chat, collocations, decontam, fim, langid, mixing, neardup, pii, quality, scoring, tokens, warc
+from furrow.llm import chat, collocations, decontam, fim, langid, mixing, neardup, pii, quality, scoring, tokens, toxicity, warc
 from furrow.session import shared_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,6 +149,15 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model, ["doc_id", "held_out"])
 
 
+@query("op11_toxicity")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = langid.remainder("doc_id", 5) == 0
+    labels = table(spark, sf, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.where(~held_out).join(labels, "doc_id"))
+    return toxicity.score(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+
+
 OP12 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(cast(doc_id AS varchar), '')) AS h FROM documents),
 g AS (SELECT doc_id, text, cast(length(text) AS bigint) AS n, ('0x' || substr(h, 1, 8))::bigint AS h1, ('0x' || substr(h, 9, 8))::bigint AS h2,
