@@ -6,14 +6,16 @@ blocks of text are merged element by element. One merged stripe so gives the ext
 its prefix with their counts, the count of the prefix itself (the sum) and the largest
 extension (the maximum), which decides subsumption.
 
-Levels follow each other: a phrase of k words is only counted where both phrases of k - 1
-words inside it pass a filter, a bitmap of hashed frequent phrases. The filter lets some
-infrequent ones through and never stops a frequent one; counts then decide exactly.
+Three passes read the texts: words, then pairs of words that pass a filter of frequent words,
+then all longer phrases whose pairs pass a filter of frequent pairs. A filter is a bitmap of
+hashes: it lets some infrequent ones through and never stops a frequent one; counts then
+decide exactly.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,10 @@ TOP = 2000
 SUBSUMED = 80  # per cent of the shorter phrase's count
 # Bits of a filter: 16 MB broadcast whatever the corpus.
 FILTER_BITS = 1 << 27
-# A stripe is held in parts by its next words, so that no part of a frequent prefix is hot.
+# A stripe is held in parts by its next words, so that no part of a frequent prefix is hot;
+# parts travel in so many bundles at least.
 PARTS = 16
+BUNDLES = 4096
 BLOCK = 1 << 22
 HELD = 1 << 20
 
@@ -190,40 +194,47 @@ def _prefix(k: int) -> list[str]:
     return [f"w{i}" for i in range(1, k + 1)]
 
 
-def _merge(cols: list[np.ndarray], nxt: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stripes of places: (prefix columns, part, entry offsets, next words, counts)."""
-    part = (nxt >> np.uint64(40)) % np.uint64(PARTS)
-    order = np.lexsort((nxt, part, *cols[::-1]))
-    cols, nxt, part = [c[order] for c in cols], nxt[order], part[order]
-    stripe = np.ones(len(nxt), bool)
-    stripe[1:] = part[1:] != part[:-1]
+def _merge(cols: list[np.ndarray], nxt: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Stripes of places, added up: (prefix columns, next words, counts), sorted by prefix and next word."""
+    order = np.lexsort((nxt, *cols[::-1]))
+    cols, nxt = [c[order] for c in cols], nxt[order]
+    entry = np.ones(len(nxt), bool)
+    entry[1:] = nxt[1:] != nxt[:-1]
     for c in cols:
-        stripe[1:] |= c[1:] != c[:-1]
-    entry = stripe.copy()
-    entry[1:] |= nxt[1:] != nxt[:-1]
+        entry[1:] |= c[1:] != c[:-1]
     at = np.flatnonzero(entry)
-    first = np.flatnonzero(stripe[at])
-    head = at[first]
-    return [c[head] for c in cols], part[head], np.append(first, len(at)), nxt[at], np.diff(np.append(at, len(nxt)))
+    return [c[at] for c in cols], nxt[at], np.diff(np.append(at, len(nxt)))
 
 
-def stripes(docs: DataFrame, k: int, bits: np.ndarray, seed: int, lang: str = "lang", text: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
-    """Merged stripes of prefixes of ``k`` words: (lang, w1..wk, part, total, most, next).
+def stripes(docs: DataFrame, lengths: Sequence[int], bits: np.ndarray, seed: int, lang: str = "lang", text: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
+    """Merged stripes of prefixes of the given lengths: (lang, bundle, w1..wk, total, most, next).
 
-    ``bits`` is the filter of frequent phrases of k words. A task merges the stripes of its
-    own places, at most ``HELD`` at a time; after one shuffle by prefix and part, entries are
-    added up across tasks. ``next`` holds the entries of at least ``min_count``, ``most`` the
-    largest of them. Prefix 0 counts a language's words.
+    Lengths follow each other; ``bits`` is the filter of frequent phrases of the first of
+    them, and a place counts where all such phrases in it pass. Shorter prefixes have 0 in
+    their last columns. A task merges the stripes of its own places, at most ``HELD`` at a
+    time, and packs them into bundles: a row of arrays for all stripe parts of one hash
+    bucket, which travel together. After one shuffle by bundle, entries are added up across
+    tasks. ``next`` holds the entries of at least ``min_count``, ``most`` the largest of them.
+    Where words are the prefixes, prefix 0 counts a language's words.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-    names = [*_prefix(k), "part"]
-    by = ["lang", *names]
-    schema = "lang string, " + ", ".join(f"{n} bigint" for n in names) + ", next array<bigint>, n array<bigint>"
-
-    def batch(name, cols, part, offsets, nxt, n):
-        lists = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x)) for x in (nxt.view(np.int64), n.astype(np.int64))]
-        words = [pa.array(c.view(np.int64)) for c in cols]
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), *words, pa.array(part.astype(np.int64)), *lists], names=[*by, "next", "n"])
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(bits)
+    bundles = max(BUNDLES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    k0, width = lengths[0], lengths[-1]
+    names = _prefix(width)
+    schema = "lang string, bundle bigint, " + ", ".join(f"{n} array<bigint>" for n in [*names, "next", "n"])
+
+    def packed(name, cols, nxt, n):
+        key = cols[0]
+        for c in cols[1:]:
+            key = joined(key, c)
+        bundle = joined(key, _part(nxt)) % np.uint64(bundles)
+        order = np.argsort(bundle, kind="stable")
+        bundle = bundle[order]
+        first = np.flatnonzero(np.append(True, bundle[1:] != bundle[:-1]))
+        offsets = pa.array(np.append(first, len(bundle)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order].view(np.int64))) for x in (*cols, nxt, n)]
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(first), pa.string()), pa.array(bundle[first].view(np.int64)), *lists], names=["lang", "bundle", *names, "next", "n"])
 
     def run(batches):
         filter_, hasher = shared.value, Hasher(seed)
@@ -233,41 +244,58 @@ def stripes(docs: DataFrame, k: int, bits: np.ndarray, seed: int, lang: str = "l
         def flush(name):
             places = np.concatenate(held.pop(name), axis=1)
             sizes[name] = 0
-            return batch(name, *_merge(list(places[:-1]), places[-1]))
+            return packed(name, *_merge(list(places[:-1]), places[-1]))
 
         totals: dict[str, int] = {}
         for name, data in _blocks(batches):
             h, _, _, piece = words_of(data, hasher)
-            m = len(h) - k + 1
             totals[name] = totals.get(name, 0) + len(h)
+            m = len(h) - k0 + 1
             if m < 1:
                 continue
-            good = passes(_keys(h, name, k), filter_) & (piece[:m] == piece[k - 1 :])
-            # The next word counts by itself where the k words that end in it pass too.
-            nxt = np.zeros(m, np.uint64)
-            nxt[:-1] = np.where(good[1:] & (piece[: m - 1] == piece[k:]), h[k:], np.uint64(0))
-            at = np.flatnonzero(good)
-            if not len(at):
-                continue
-            held.setdefault(name, []).append(np.stack([*[h[at + i] for i in range(k)], nxt[at]]))
-            sizes[name] = sizes.get(name, 0) + len(at)
+            good = passes(_keys(h, name, k0), filter_) & (piece[:m] == piece[k0 - 1 :])
+            whole = good
+            for k in lengths:
+                if k > k0:
+                    # The prefix that is a word longer, where the phrase that ends it passes.
+                    whole = whole[:-1] & good[k - k0 :] & (piece[: len(h) - k + 1] == piece[k - 1 :])
+                if not len(whole):
+                    break
+                # The next word counts by itself where the phrase that ends in it passes too.
+                nxt = np.zeros(len(whole), np.uint64)
+                nxt[:-1] = np.where(good[k - k0 + 1 :] & (piece[: len(whole) - 1] == piece[k:]), h[k:], np.uint64(0))
+                at = np.flatnonzero(whole)
+                if len(at):
+                    blank = np.zeros(len(at), np.uint64)
+                    held.setdefault(name, []).append(np.stack([*[h[at + i] if i < k else blank for i in range(width)], nxt[at]]))
+                    sizes[name] = sizes.get(name, 0) + len(at)
             if sum(sizes.values()) > HELD:
                 yield from [flush(x) for x in list(held)]
         yield from [flush(x) for x in list(held)]
-        zero = np.zeros(1, np.uint64)
-        yield from [batch(x, [zero] * k, zero, np.array([0, 1]), zero, np.array([n])) for x, n in totals.items()]
-
-    raw = _source(docs, lang, text).mapInArrow(run, schema)
-    entries = raw.repartition(*by).select(*by, F.explode(F.arrays_zip("next", "n")).alias("e")).select(*by, "e.next", "e.n")
-    merged = entries.groupBy(*by, "next").agg(F.sum("n").alias("n"))
+        if k0 == 1:
+            zero = np.zeros(1, np.uint64)
+            yield from [packed(x, [zero] * width, zero, np.array([n])) for x, n in totals.items()]
+
+    raw = _source(docs, lang, text).mapInArrow(run, schema).repartition("lang", "bundle")
+    at = F.col("i")
+    entries = raw.select("*", F.posexplode("next").alias("i", "following")).select(
+        "lang", "bundle", *[F.get(c, at).alias(c) for c in names], F.col("following").alias("next"), F.get("n", at).alias("n")
+    )
+    merged = entries.groupBy("lang", "bundle", *names, "next").agg(F.sum("n").alias("n"))
     kept = (F.col("next") != 0) & (F.col("n") >= min_count)
-    return merged.groupBy(*by).agg(
+    # A bundle holds whole parts of stripes, so this needs no further shuffle.
+    return merged.groupBy("lang", "bundle", *names).agg(
         F.sum("n").alias("total"),
         F.max(F.when(kept, F.col("n"))).alias("most"),
         F.collect_list(F.when(kept, F.struct("next", "n"))).alias("next"),
     )
 
 
+def _part(nxt: np.ndarray) -> np.ndarray:
+    """Part of a stripe by its next word, so that a frequent prefix is spread over tasks."""
+    return (nxt >> np.uint64(40)) % np.uint64(PARTS)
+
+
 def collocations(
     docs: DataFrame,
     lang: str = "lang",
@@ -300,21 +328,26 @@ def collocations(
     else:
         raise RuntimeError("no hash sets the frequent words apart")
 
-    p, c = F.col("p"), F.col("c")
+    c = F.col("c")
     frequent = words.select("lang", F.col("h").alias("w1"))
-    totals, phrases, larger = [], [], []
-    for k in range(1, max_words):
-        w = F.array(*_prefix(k))
-        held = cut(stripes(docs, k, bitmap(_phrase_keys(frequent, k), filter_bits), seed, lang, text, min_count))
-        totals.append(held.groupBy("lang", w.alias("p")).agg(F.sum("total").alias("f")))
-        grown = held.select("lang", w.alias("p"), F.explode("next").alias("e")).select("lang", "p", F.concat(p, F.array("e.next")).alias("c"), F.col("e.n").alias("a"))
-        phrases.append(grown.select("lang", "c", "a"))
-        if k > 1:
-            larger.append(held.where("most IS NOT NULL").select("lang", w.alias("c"), F.col("most").alias("m")))
-            larger.append(grown.select("lang", F.slice(c, 2, k).alias("c"), F.col("a").alias("m")))
-        frequent = grown.select("lang", *[F.get(c, i).alias(f"w{i + 1}") for i in range(k + 1)])
-    count_of = _union(totals)
+    counts, phrases, larger = [], [], []
+    for lengths in ([1], list(range(2, max_words))):
+        if not lengths:
+            break
+        merged = stripes(docs, lengths, bitmap(_phrase_keys(frequent, lengths[0]), filter_bits), seed, lang, text, min_count)
+        p = F.array_remove(F.array(*_prefix(lengths[-1])), F.lit(0).cast("bigint"))
+        # Longer prefixes are counted as what their own prefixes are followed by.
+        held = cut(merged if lengths == [1] else merged.where("most IS NOT NULL"))
+        grown = held.select(p.alias("p"), "lang", F.explode("next").alias("e")).select("lang", F.concat("p", F.array("e.next")).alias("c"), F.col("e.n").alias("a"))
+        phrases.append(grown)
+        if lengths == [1]:
+            counts.append(held.groupBy("lang", p.alias("p")).agg(F.sum("total").alias("f")))
+            frequent = grown.select("lang", F.get(c, F.lit(0)).alias("w1"), F.get(c, F.lit(1)).alias("w2"))
+        else:
+            larger.append(held.select("lang", p.alias("c"), F.col("most").alias("m")))
+            larger.append(grown.select("lang", F.slice(c, F.lit(2), F.size(c) - 1).alias("c"), F.col("a").alias("m")))
     found = _union(phrases)
+    count_of = _union([*counts, found.where(F.size(c) < max_words).select("lang", F.col("c").alias("p"), F.col("a").alias("f"))])
     if larger:
         most = _union(larger).groupBy("lang", "c").agg(F.max("m").alias("m"))
         found = found.join(most, ["lang", "c"], "left").where(F.col("m").isNull() | (100 * F.col("m") < subsumed * F.col("a"))).drop("m")
@@ -330,7 +363,7 @@ def collocations(
         scored = scored.withColumn("_r", F.rank().over(near)).where(F.col("_r") <= top).drop("_r")
     spelled = scored.select("lang", "c", F.posexplode("c").alias("i", "h")).join(words.select("lang", "h", "word"), ["lang", "h"])
     spelled = spelled.groupBy("lang", "c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x.word), " ").alias("phrase"))
-    sizes = totals[0].where(F.get(p, F.lit(0)) == 0).select("lang", F.col("f").alias("n"))
+    sizes = counts[0].where(F.size("p") == 0).select("lang", F.col("f").alias("n"))
     named = scored.join(spelled, ["lang", "c"]).join(sizes, "lang")
     last = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = named.withColumn("rank", F.row_number().over(last).cast("bigint"))

@@ -46,7 +46,10 @@ EMPTY = -3.0
 # Least log-odds of a word between toxic and clean texts to be a witness.
 ODDS = 1.5
 # Words remembered with their value by a worker before it begins anew.
-MEMO = 1 << 20
+MEMO = 1 << 18
+# Characters of texts, and new tokens, that a worker handles at a time.
+CHUNK = 1 << 20
+TOKENS = 1 << 12
 
 _EDGE = 27
 # Buckets of hashed subsequences: the folded weights take 8 MB.
@@ -212,29 +215,37 @@ class Scorer:
         self.model, self.memo = model, {}
 
     def best(self, texts: Iterable[str | None]) -> tuple[np.ndarray, list[str | None]]:
-        bags = [tokens_of(t) if t else set() for t in texts]
+        values, which, bags, size = [], [], [], 0
+        for t in texts:
+            bags.append(tokens_of(t) if t else ())
+            size += len(t or "")
+            if size >= CHUNK:
+                self._value(bags, values, which)
+                bags, size = [], 0
+        self._value(bags, values, which)
+        return np.array(values, dtype=float), which
+
+    def _value(self, bags: list, values: list[float], which: list[str | None]) -> None:
         if len(self.memo) > MEMO:
             self.memo = {}
-        new = list(set().union(*bags) - self.memo.keys()) if bags else []
-        for start in range(0, len(new), 1 << 15):
-            some = new[start : start + (1 << 15)]
+        memo = self.memo
+        new = list(set().union(*bags) - memo.keys())
+        for start in range(0, len(new), TOKENS):
+            some = new[start : start + TOKENS]
             words, owner = [], []
             for k, t in enumerate(some):
                 mine = words_of_token(t)
                 words += mine
                 owner += [k] * len(mine)
             top = np.full(len(some), EMPTY)
-            np.maximum.at(top, owner, self.model.values(words)) if words else None
-            self.memo.update(zip(some, top.tolist(), strict=True))
-        memo = self.memo
-        out, which = np.full(len(bags), EMPTY), [None] * len(bags)
-        for i, bag in enumerate(bags):
-            if bag:
-                # The least of equal tokens, so that the choice doesn't depend on the order of a set.
-                value = max(map(memo.__getitem__, bag))
-                if value > EMPTY:
-                    out[i], which[i] = value, min(t for t in bag if memo[t] == value)
-        return out, which
+            if words:
+                np.maximum.at(top, owner, self.model.values(words))
+            memo.update(zip(some, top.tolist(), strict=True))
+        for bag in bags:
+            value = max(map(memo.__getitem__, bag), default=EMPTY)
+            values.append(value)
+            # The least of equal tokens, so that the choice doesn't depend on the order of a set.
+            which.append(min(t for t in bag if memo[t] == value) if value > EMPTY else None)
 
 
 def variants(words: list[str], rng: np.random.Generator) -> list[tuple[str, str]]:
@@ -266,8 +277,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", fit_rows:
 
     def words(batches):
         for b in batches:
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                mine = sorted({w for x in tokens_of(t) for w in words_of_token(x)})
+            for y, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                mine = sorted({w for x in tokens_of(t.as_py()) for w in words_of_token(x)})
                 yield pa.RecordBatch.from_arrays([pa.array(mine, pa.string()), pa.array([y] * len(mine), pa.int32())], names=["word", "y"])
 
     counts = sample.mapInArrow(words, "word string, y int").groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
@@ -310,9 +321,9 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", fit_rows:
         def pick(batches, shared=model):
             scorer = Scorer(shared)
             for b in batches:
-                values, which = scorer.best(b.column(1).to_pylist())
+                values, which = scorer.best(x.as_py() for x in b.column(1))
                 out = []
-                for y, v, w in zip(b.column(0).to_pylist(), values.tolist(), which, strict=True):
+                for y, v, w in zip(b.column(0).to_pylist(), values, which, strict=True):
                     if w is not None:
                         mine = words_of_token(w)
                         out.append((y, mine[int(np.argmax(shared.values(mine)))], v))
@@ -337,7 +348,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", fit_rows:
     def top(batches):
         scorer = Scorer(final)
         for b in batches:
-            value, _ = scorer.best(b.column(1).to_pylist())
+            value, _ = scorer.best(x.as_py() for x in b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(value)], names=["y", "v"])
 
     seen = sample.mapInArrow(top, "y int, v double").toPandas()
@@ -398,16 +409,16 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text: st
     def make(columns):
         nonlocal scorer
         model = shared.value
-        texts = columns[0].to_pylist()
+        texts = columns[0]
         if model.weights is None:
             p, which = np.full(len(texts), model.offset), [None] * len(texts)
         else:
             scorer = scorer or Scorer(model)
-            value, which = scorer.best(texts)
+            value, which = scorer.best(t.as_py() for t in texts)
             p = model.probability(value)
         out = [pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(which, pa.string())]
         if sentences:
-            out.append(pa.array([sentence_of(t, w) if w else None for t, w in zip(texts, which, strict=True)], pa.string()))
+            out.append(pa.array([sentence_of(t.as_py(), w) if w else None for t, w in zip(texts, which, strict=True)], pa.string()))
         return out
 
     added = [("score", T.DoubleType()), ("predicted", T.IntegerType()), ("toxic_word", T.StringType())]
