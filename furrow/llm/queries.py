@@ -154,7 +154,7 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     held_out = langid.remainder("doc_id", 5) == 0
     labels = table(spark, sf, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs.where(~held_out).join(labels, "doc_id"))
+    model = toxicity.fit(toxicity.labelled_sample(docs.where(~held_out), labels))
     return toxicity.score(docs.select("doc_id", "text", held_out.alias("held_out")), model)
 
 

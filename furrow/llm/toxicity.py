@@ -46,7 +46,7 @@ EMPTY = -3.0
 # Least log-odds of a word between toxic and clean texts to be a witness.
 ODDS = 1.5
 # Words remembered with their value by a worker before it begins anew.
-MEMO = 1 << 18
+MEMO = 1 << 19
 # Characters of texts, and new tokens, that a worker handles at a time.
 CHUNK = 1 << 20
 TOKENS = 1 << 12
@@ -134,6 +134,46 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, key & (BUCKETS - 1), value / norm[row]
 
 
+_PLACES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of each subsequence, power of its decay) in a word of ``n`` signs, edges included."""
+    if n not in _PLACES:
+        found = [(i, *(i + g for g in gaps), gaps[-1] - ORDER + 1) for *gaps, _ in _GAPS for i in range(n - gaps[-1])]
+        table = np.array(found, dtype=np.int64).reshape(len(found), ORDER + 1)
+        _PLACES[n] = table[:, :-1].T.copy(), table[:, -1]
+    return _PLACES[n]
+
+
+def products(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """Product of each word's normalised feature vector with ``weights``; as from ``features``, word lengths at a time."""
+    out = np.zeros(len(words))
+    lengths = np.array([len(w) for w in words])
+    decay = DECAY ** np.arange(SPAN - ORDER + 1)
+    for n in np.unique(lengths).tolist():
+        places, power = _places(n + 2)
+        if not len(power):
+            continue
+        at = np.flatnonzero(lengths == n)
+        a = np.full((len(at), n + 2), _EDGE, dtype=np.int64)
+        a[:, 1:-1] = np.array([codes(words[i]) for i in at]).reshape(len(at), n)
+        key = a[:, places[0]]
+        for p in places[1:]:
+            key = (key << 6) | a[:, p]
+        key = (key * 0x9E3779B1 >> 12) & (BUCKETS - 1)
+        # Sorted with their powers in the low bits, equal subsequences of a word lie together.
+        packed = np.sort(((key << 4) | power).astype(np.int32), axis=1)
+        key, value = packed >> 4, decay[packed & 15]
+        new = np.ones(key.shape, bool)
+        new[:, 1:] = key[:, 1:] != key[:, :-1]
+        starts = np.flatnonzero(new)
+        squares = np.add.reduceat(value.ravel(), starts) ** 2
+        norm = np.bincount(starts // key.shape[1], squares, len(at))
+        out[at] = (weights[key] * value).sum(axis=1) / np.sqrt(norm)
+    return out
+
+
 def kernel(a: list[str], b: list[str]) -> np.ndarray:
     """Normalised kernel of each word of ``a`` with each of ``b``."""
     row, key, value = features(b)
@@ -190,8 +230,7 @@ class Model:
     alphas: np.ndarray | None = None
 
     def values(self, words: list[str]) -> np.ndarray:
-        row, key, value = features(words)
-        return np.bincount(row, value * self.weights[key], minlength=len(words)) + self.offset
+        return products(words, self.weights) + self.offset
 
     def probability(self, value: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * value + self.shift, -30, 30)))
@@ -260,6 +299,24 @@ def variants(words: list[str], rng: np.random.Generator) -> list[tuple[str, str]
     return out
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(text, label) of about ``fit_rows`` documents of each label, for ``fit``.
+
+    Ids, labels and text hashes are joined first; the texts of the chosen ids, whose number
+    is bounded, are then picked where they lie, so no text is shuffled.
+    """
+    ids = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(f"`{text}`", F.lit("fit")).alias("_h"))
+    marks = labels.where(F.col(f"`{label}`").isNotNull()).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label}`").alias("_y"))
+    both = cut(ids.join(marks, "_id"))
+    sizes = {r["_y"]: r["count"] for r in both.groupBy("_y").count().collect()}
+    share = F.lit(1.0)
+    for value, n in sizes.items():
+        share = F.when(F.col("_y") == value, F.lit(min(1.0, fit_rows / n))).otherwise(share)
+    chosen = both.where(F.pmod(F.col("_h"), F.lit(1 << 30)) < share * (1 << 30)).select("_id", "_y").distinct()
+    picked = docs.join(F.broadcast(chosen), F.col(f"`{id_col}`") == F.col("_id"))
+    return picked.select(F.col(f"`{text}`").alias(text), F.col("_y").alias(label))
+
+
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, n_landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Model:
     """A model from labelled texts (1 is toxic; rows without a label or a text are left out).
 

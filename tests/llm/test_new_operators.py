@@ -188,6 +188,22 @@ def test_folded_weights_equal_the_kernel_with_every_landmark():
     assert np.allclose(model.values(words), want)
 
 
+def test_products_equal_the_feature_vectors():
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdeé"), int(n))) for n in rng.integers(0, 21, 500)]
+    weights = rng.normal(size=toxicity.BUCKETS)
+    row, key, value = toxicity.features(words)
+    assert np.allclose(toxicity.products(words, weights), np.bincount(row, value * weights[key], minlength=len(words)))
+
+
+def test_sampled_labels_are_whole_while_they_fit_and_bounded_beyond(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")).unionByName(spark.createDataFrame([(1, None), (9999, 1)], "doc_id bigint, toxic int"))
+    assert toxicity.labelled_sample(docs, labels).count() == 3000
+    few = toxicity.labelled_sample(docs, labels, fit_rows=200).groupBy("toxic").count().collect()
+    assert all(120 < r["count"] < 300 for r in few) and len(few) == 2
+
+
 def test_spaced_and_marked_letters_are_read_as_words():
     assert "stupid" in toxicity.tokens_of("you s t u p i d one") and "idiot" in toxicity.words_of_token("i.d-i*o.t")
     assert toxicity.words_of_token("st*upid!") == ["stupid"] or "stupid" in toxicity.words_of_token("st*upid!")
@@ -201,7 +217,7 @@ def judged(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
     held_out = langid.remainder("doc_id", 5) == 0
-    model = toxicity.fit(docs.where(~held_out).join(labels, "doc_id"))
+    model = toxicity.fit(toxicity.labelled_sample(docs.where(~held_out), labels))
     return model, docs.withColumn("held_out", held_out).join(labels, "doc_id")
 
 
