@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from furrow.catalog.base import H, HF, S, harvest, harvest_full, query, r, rs, scored, table
@@ -18,6 +18,7 @@ from furrow.operators.groups import attach
 from furrow.operators.imputing import MedianImputer, OutlierCapper
 from furrow.plans import chain as CH
 from furrow.plans import training as T
+from furrow.plans import varieties as V
 from furrow.session import cut, shared_root
 from furrow.streaming import streams as ST
 
@@ -137,10 +138,37 @@ def capacity_caps(spark, sf):
     return n.withColumns(T.capacity_caps(F.col("n")))
 
 
+BY_KEY = ["kg_ha", "dpc", "dia_cosecha", "fundo_freq", "formato_freq"]
+
+
+def _by_variety(spark, sf):
+    """All varieties and both backends with default trees and folds; preprocessing fitted inside each fold."""
+    steps = lambda scope: V.scoped_chain(scope, ["kg_ha", "dpc", "dia_cosecha"])
+    return V.cross_validate(_rows(spark, sf), BY_KEY, "variedad", preprocessor=steps)
+
+
 @query("train_all_varieties")
 def train_all_varieties(spark, sf):
-    results, _ = T.train_all_varieties(_rows(spark, sf), FEATURES, key="formato", base={"maxIter": 2, "maxDepth": 3, "numTrees": 2})
-    return results.drop("elapsed_seconds")
+    return _by_variety(spark, sf)[0]
+
+
+# Folds by hash order inside a variety; each row is predicted once a backend, by models of other folds.
+@query("varieties_oof", f"""{HF}, f AS (SELECT row_id, variedad, (row_number() OVER (PARTITION BY variedad ORDER BY md5('42|' || row_id), row_id) - 1) % 5 AS fold_id, kg_jr_h FROM h WHERE variedad IS NOT NULL AND kg_jr_h IS NOT NULL),
+  m AS (SELECT unnest(['gbt', 'forest']) AS model_type) SELECT row_id, variedad, model_type, fold_id, {rs('kg_jr_h', 4)} AS y_true, true AS predicted, true AS sane FROM f, m""")
+def varieties_oof(spark, sf):
+    """Every row once a backend, and whether its variety's error stays within 1.5 times the baseline's."""
+    results, oof = _by_variety(spark, sf)
+    sane = results.select("variedad", "model_type", (F.col("mae_test") < 1.5 * F.col("baseline_mae")).alias("sane"))
+    out = oof.join(sane, ["variedad", "model_type"])
+    return out.select("row_id", "variedad", "model_type", F.col("fold_id").cast("bigint").alias("fold_id"), r("y_true", 4).alias("y_true"), F.col("y_pred").isNotNull().alias("predicted"), "sane")
+
+
+@query("varieties_search", f"{HF} SELECT formato, 'gbt' AS model_type, 8 AS n_candidates, 36 AS rank_sum FROM h WHERE formato IS NOT NULL GROUP BY formato")
+def varieties_search(spark, sf):
+    """Eight drawn candidates a format over all its rows, halved once: how many came out, and the sum of their ranks."""
+    rows = _rows(spark, sf).where(F.col("formato").isNotNull())
+    table = V.search(rows, ["formato"], ["kg_ha", "dpc", "dia_cosecha"], {"gbt": V.GBT_SPACE.draw(8)}, 2, halving=((0.25, 0.25), (1.0, 1.0)))
+    return table.groupBy("formato", "model_type").agg(F.count(F.lit(1)).alias("n_candidates"), F.sum("rank").alias("rank_sum"))
 
 
 def _two_models(spark, sf, key="formato"):
@@ -268,7 +296,7 @@ def validate_effect_size(spark, sf):
 @query("bootstrap_stability")
 def bootstrap_stability(spark, sf):
     df = harvest_full(spark, sf)
-    return RO.bootstrap_stability(df, RO.assign_to_anchor(_dist(spark, sf)), RF, ANCHORS, replicates=20, grid=64)
+    return RO.bootstrap_stability(df, RO.assign_to_anchor(_dist(spark, sf)), RF, ANCHORS)
 
 
 @query("silhouette")
@@ -366,6 +394,21 @@ def preprocessing_chain(spark, sf):
     return out.select("row_id", "kg_ha", "kg_total", "kg_ha_lag_FF_30", "n_miss_raw", "mes_sin", "t_index_days", "formato__A")
 
 
+@query("saved_chain", f"{HF} SELECT row_id, true AS same FROM h WHERE fecha >= DATE '2000-01-01'")
+def saved_chain(spark, sf):
+    """A fitted chain with lags, written and read back, gives every later row as before."""
+    df = harvest_full(spark, sf).select("row_id", "fundo", "formato", "fecha", "kg_ha", "indus_pct", "dpc", "p_baya", "ha", "dia_cosecha", "kg_jr_h")
+    day = F.lit("2000-01-01").cast("date")
+    model = CH.preprocessing_chain(knn=False, lof=False).fit(cut(df.where(F.col("fecha") < day)))
+    path = f"{shared_root(spark)}/furrow/{spark.sparkContext.applicationId}/chain-{uuid.uuid4().hex}"
+    model.write().save(path)
+    new = df.where(F.col("fecha") >= day)
+    first, again = model.transform(new), PipelineModel.load(path).transform(new)
+    digest = lambda x, name: x.select("row_id", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in first.columns]).alias(name))
+    both = digest(first, "_a").join(digest(again, "_b"), "row_id", "full")
+    return both.select("row_id", F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)).alias("same"))
+
+
 def _eda(spark, sf):
     df = harvest_full(spark, sf)
     return CH.run_eda(df, ["estado"], ["kg_ha", "dpc"], ["formato", "tipo"])

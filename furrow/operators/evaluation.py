@@ -490,7 +490,7 @@ def fit_baseline(train: DataFrame, y: str = TARGET, levels: Sequence[Sequence[st
     rows = _with_missing(train.where(F.col(y).isNotNull()), levels)
     states = []
     for i, level in enumerate([*levels, ()]):
-        keys = [*scope, *level]
+        keys = list(dict.fromkeys([*scope, *level]))
         med = quantiles(rows, keys, {f"_b{i}": (y, 0.5)})
         if level:
             big = rows.groupBy(*keys).agg(F.count(y).alias("_n")).where(F.col("_n") >= least).drop("_n")

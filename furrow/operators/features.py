@@ -12,6 +12,7 @@ from furrow.columns import DATE, FARM, FORMAT, HIGH_SEASON, LOW_SEASON, NUMERIC_
 from furrow.functions.scalar import cyclic_date, season_flags, structural_ratios, trend_index
 from furrow.functions.stats import kurtosis_corrected, skew_corrected
 from furrow.operators.groups import attach, quantiles
+from furrow.operators.saving import Saved
 
 SKEW_LIMIT, KURT_LIMIT, SKEW_MIN_ROWS = 1.5, 50.0, 30
 SEASON_MIN_OBS, SEASON_HIGH, SEASON_LOW = 5, 0.66, 0.33
@@ -75,7 +76,7 @@ def skew_column(col: str, shift: float, kind: str) -> Column:
     return F.log1p(moved) if kind == "log1p" else F.sqrt(moved)
 
 
-class SkewTransformer(Estimator):
+class SkewTransformer(Saved, Estimator):
     """log1p or sqrt of skewed columns with the shift of the training rows."""
 
     def __init__(self, cols: Sequence[str] = tuple(NUMERIC_FEATURES), drop_raw: bool = False):
@@ -88,7 +89,7 @@ class SkewTransformer(Estimator):
         return SkewModel([(r["column"], r["shift"], r["transform"]) for r in rows], self.drop_raw)
 
 
-class SkewModel(Model):
+class SkewModel(Saved, Model):
     def __init__(self, plan, drop_raw=False):
         super().__init__()
         self.plan, self.drop_raw = plan, drop_raw
@@ -98,7 +99,7 @@ class SkewModel(Model):
         return out.drop(*[c for c, _, _ in self.plan]) if self.drop_raw else out
 
 
-class OneHot(Estimator):
+class OneHot(Saved, Estimator):
     """0/1 columns of the training levels in sorted order; unseen levels are all 0.
 
     Several columns joined by ``__`` make the interaction form.
@@ -118,7 +119,7 @@ class OneHot(Estimator):
         return OneHotModel(self, levels)
 
 
-class OneHotModel(Model):
+class OneHotModel(Saved, Model):
     def __init__(self, parent: OneHot, levels: list[str]):
         super().__init__()
         self.how, self.levels = parent, levels
@@ -132,30 +133,32 @@ class OneHotModel(Model):
         return dataset.select("*", *flags)
 
 
-class FrequencyEncoder(Estimator):
-    """Training share of each level; unseen levels 0."""
+class FrequencyEncoder(Saved, Estimator):
+    """Training share of each level; unseen levels 0. With ``scope``, shares within its columns."""
 
-    def __init__(self, cols: Sequence[str] = (FARM, FORMAT)):
+    def __init__(self, cols: Sequence[str] = (FARM, FORMAT), scope: Sequence[str] = ()):
         super().__init__()
-        self.cols = list(cols)
+        self.cols, self.scope = list(cols), list(scope)
 
     def _fit(self, dataset):
         from furrow.session import cut
 
-        n = dataset.count()
-        return FrequencyModel({
-            c: cut(dataset.groupBy(c).agg((F.count(F.lit(1)) / F.lit(float(max(n, 1)))).alias(f"{c}_freq"))) for c in self.cols
-        })
+        sizes = dataset.groupBy(*self.scope).agg(F.greatest(F.count(F.lit(1)), F.lit(1)).cast("double").alias("_all"))
+        states = {}
+        for c in self.cols:
+            n = attach(dataset.groupBy(*dict.fromkeys([*self.scope, c])).agg(F.count(F.lit(1)).alias("_n")), sizes, self.scope)
+            states[c] = cut(n.select(*dict.fromkeys([*self.scope, c]), (F.col("_n") / F.col("_all")).alias(f"{c}_freq")))
+        return FrequencyModel(states, self.scope)
 
 
-class FrequencyModel(Model):
-    def __init__(self, states):
+class FrequencyModel(Saved, Model):
+    def __init__(self, states, scope: Sequence[str] = ()):
         super().__init__()
-        self.states = states
+        self.states, self.scope = states, list(scope)
 
     def _transform(self, dataset):
         for c, state in self.states.items():
-            dataset = attach(dataset, state, [c]).withColumn(f"{c}_freq", F.coalesce(f"{c}_freq", F.lit(0.0)))
+            dataset = attach(dataset, state, list(dict.fromkeys([*self.scope, c]))).withColumn(f"{c}_freq", F.coalesce(f"{c}_freq", F.lit(0.0)))
         return dataset
 
 
@@ -176,7 +179,7 @@ def drop_concurrent(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if is_same_day(c)])
 
 
-class ConcurrentDropper(Transformer):
+class ConcurrentDropper(Saved, Transformer):
     def __init__(self, active: bool = False):
         super().__init__()
         self.active = active
@@ -198,7 +201,7 @@ def unlog_target(z: Column) -> Column:
     return F.expm1(z)
 
 
-class FeatureGenerator(Estimator):
+class FeatureGenerator(Saved, Estimator):
     """Ratios, skew columns, calendar, trend, frequencies and dummies with a fixed column list."""
 
     def __init__(self, date: str = DATE, target: str = TARGET, interaction: bool = True, calendar_extra: bool = False,
@@ -224,7 +227,7 @@ class FeatureGenerator(Estimator):
         return FeatureModel(self, stages, anchor, list(high or HIGH_SEASON), list(low or LOW_SEASON))
 
 
-class FeatureModel(Model):
+class FeatureModel(Saved, Model):
     def __init__(self, how: FeatureGenerator, stages, anchor, high, low):
         super().__init__()
         self.how, self.stages, self.anchor, self.high, self.low = how, stages, anchor, high, low

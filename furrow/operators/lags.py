@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from furrow.columns import COLD, DATE, FARM, FF, FORMAT, ROW_ID, SLOPE_COLD, TARGET, VALUE
 from furrow.functions.scalar import log_positive, log_signed, safe_ratio
@@ -149,9 +153,9 @@ def tenure_days(df, keys, name="tenure_days", date=DATE) -> DataFrame:
     )
 
 
-def serving_tenure(new, first_seen, key=FARM, name="tenure_days", date=DATE) -> DataFrame:
+def serving_tenure(new, first_seen, key: str | Sequence[str] = FARM, name="tenure_days", date=DATE) -> DataFrame:
     """Tenure from the fitted first-seen table; unseen groups get 0."""
-    return attach(new, first_seen, [key]).select(
+    return attach(new, first_seen, [key] if isinstance(key, str) else list(key)).select(
         *new.columns,
         F.coalesce(F.datediff(F.col(date), F.col("first_seen")).cast("double"), F.lit(0.0)).alias(name),
     )
@@ -176,54 +180,129 @@ def seasonal_median(
     """Median in the band ``[date - period - tol, date - period + tol]``.
 
     ``{name: (value column, period in days)}``. Rows are counted, at least three; a null
-    value inside the band makes the result null.
+    value inside the band makes the result null, as does a null date. Groups of all sizes
+    take the same form; ``hot`` has no effect.
     """
-    if hot is None:
-        hot = is_hot(df, keys)
-    if hot:
-        days = df.select(*keys, date).distinct()
-        for name, (value, period) in columns.items():
-            days = attach(
-                days, seasonal_range_join(days, df, keys, value, period, tol, name, date), [*keys, date]
-            )
-        return join_daily(df, days, keys, date)
-    day = F.unix_date(F.col(date))
-    w = Window.partitionBy(*keys).orderBy(day)
-    out = []
-    for name, (value, period) in columns.items():
-        f = w.rangeBetween(-(period + tol), -(period - tol))
-        n, filled = F.count(F.lit(1)).over(f), F.count(value).over(f)
-        out.append(
-            F.when((n >= MIN_PERIODS) & (n == filled), F.percentile(F.col(value), F.lit(0.5)).over(f)).alias(name)
-        )
-    return df.select("*", *out)
+    return join_daily(df, band_medians(df, df, keys, columns, tol, date), keys, date)
 
 
 def seasonal_range_join(
     new, history, keys, value=VALUE, period=PERIOD, tol=TOLERANCE, name="seasonal", date=DATE
 ) -> DataFrame:
-    """Band median of ``history`` for each distinct (keys, day) of ``new``.
+    """Band median of ``history`` for each distinct (keys, day) of ``new`` whose band has a row."""
+    days = band_medians(new, history, keys, {name: (value, period)}, tol, date, counts=True)
+    return days.where("_n > 0").drop("_n")
+
+
+# Days of targets that are handled together; history is copied to the next chunk where bands cross.
+CHUNK_DAYS = 186
+
 
-    History is counted per (keys, day, value) first; each count is sent to the days whose
-    band contains it, so the work is bounded by counts x band width, not by row pairs.
+def band_medians(new, history, keys, columns: dict[str, tuple[str, int]], tol=TOLERANCE, date=DATE, counts=False) -> DataFrame:
+    """(keys, date, names): the band median of ``history`` for each distinct (keys, day) of ``new``.
+
+    History is counted by (keys, day, value). A window slides over the days of a group,
+    adding the counts of days that enter the band and taking those that leave it, so every
+    count is touched twice whatever the band's width. A group is cut into chunks of days; a
+    task holds the distinct values of one chunk. ``counts`` adds ``_n``, the rows of the band.
     """
-    counts = history.groupBy(*keys, date, value).agg(F.count(F.lit(1)).alias("_w"))
-    band = F.sequence(F.date_add(F.col(date), period - tol), F.date_add(F.col(date), period + tol))
-    sent = counts.select(*keys, F.explode(band).alias("_day"), F.col(value).alias("_v"), "_w")
-    targets = new.select(*keys, F.col(date).alias("_day")).distinct()
-    on = [sent[k].eqNullSafe(targets[k]) for k in keys] + [sent["_day"] == targets["_day"]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    hits = sent.join(targets, cond, "left_semi")
-    group = [*keys, "_day"]
-    size = hits.groupBy(*group).agg(
-        F.sum("_w").alias("_n"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_w"))).alias("_filled")
-    )
-    med = quantiles(hits.where(F.col("_v").isNotNull()), group, {"_m": ("_v", 0.5)}, weight="_w")
-    both = attach(size, med, group)
-    ok = (F.col("_n") >= MIN_PERIODS) & (F.col("_n") == F.col("_filled"))
-    return both.select(*keys, F.col("_day").alias(date), F.when(ok, F.col("_m")).alias(name))
+    keys, names = list(keys), list(columns)
+    day = F.unix_date(F.col(date))
+    width = max(CHUNK_DAYS, 2 * tol + 1)
+    none = lambda t: F.lit(None).cast(t)
+    targets = new.where(F.col(date).isNotNull()).select(*keys, day.alias("_day")).distinct()
+    tables = []
+    for i, (value, period) in enumerate(columns.values()):
+        low, high = F.col("_day") + (period - tol), F.col("_day") + (period + tol)
+        seen = history.where(F.col(date).isNotNull()).groupBy(*keys, day.alias("_day"), F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
+        at = F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
+        tables.append(seen.select(*keys, F.lit(i).alias("_c"), at.alias("_chunk"), (F.col("_day") + period).alias("_day"), "_v", "_w"))
+        tables.append(targets.select(*keys, F.lit(i).alias("_c"), F.floor(F.col("_day") / width).alias("_chunk"), "_day", none("double").alias("_v"), F.lit(0).cast("bigint").alias("_w")))
+    rows = tables[0]
+    for t in tables[1:]:
+        rows = rows.unionByName(t)
+    group = [*keys, "_c", "_chunk"]
+    # Days are moved to the band's middle; targets have weight 0 and come first on their day.
+    rows = rows.repartition(*group).sortWithinPartitions(*group, "_day", "_w")
+    k = len(keys)
+    schema = StructType([*[StructField(f"k{i}", new.schema[c].dataType) for i, c in enumerate(keys)], StructField("_c", IntegerType()), StructField("_day", IntegerType()), StructField("_m", DoubleType()), StructField("_n", LongType())])
+
+    def run(batches):
+        held, label = [], None
+        for b in batches:
+            codes = [b.column(i).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for i in range(k + 2)]
+            change = np.zeros(max(b.num_rows - 1, 0), bool)
+            for c in codes:
+                change |= c[1:] != c[:-1]
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                if start == end:
+                    continue
+                own = tuple(b.column(i)[start].as_py() for i in range(k + 2))
+                if label is not None and own != label:
+                    yield out(label, held)
+                    held = []
+                label = own
+                held.append(tuple(b.column(k + i).slice(start, end - start).to_numpy(zero_copy_only=False) for i in (2, 3, 4)))
+        if label is not None:
+            yield out(label, held)
+
+    kinds = [to_arrow_type(new.schema[c].dataType) for c in keys]
+
+    def out(label, held):
+        days, medians, sizes = slide_medians(*(np.concatenate(x) for x in zip(*held, strict=True)), tol)
+        n = len(days)
+        arrays = [pa.array([label[i]] * n, kinds[i]) for i in range(k)]
+        arrays += [pa.array(np.full(n, label[k], np.int32)), pa.array(days.astype(np.int32)), pa.array(medians, mask=(sizes < MIN_PERIODS) | np.isnan(medians)), pa.array(sizes)]
+        return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    found = rows.mapInArrow(run, schema).toDF(*keys, "_c", "_day", "_m", "_n")
+    wide = found.groupBy(*keys, "_day").agg(*[F.max(F.when(F.col("_c") == i, F.col("_m"))).alias(n) for i, n in enumerate(names)], F.max("_n").alias("_n"))
+    return wide.select(*keys, F.date_from_unix_date("_day").alias(date), *names, *(["_n"] if counts else []))
+
+
+def slide_medians(day: np.ndarray, value: np.ndarray, weight: np.ndarray, tol: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(target days, medians, rows in the band) of one group's counts; weight 0 marks a target.
+
+    Values are places in a sorted axis; counts are kept by place and by blocks of places, so
+    a day costs what enters and leaves and one look at about the square root of the axis.
+    """
+    is_target = weight == 0
+    targets = np.unique(day[is_target])
+    order = np.argsort(day[~is_target], kind="stable")
+    day, value, weight = (x[~is_target][order] for x in (day, value, weight))
+    empty = np.isnan(value)
+    axis, place = np.unique(value[~empty], return_inverse=True)
+    place_all = np.full(len(value), -1)
+    place_all[~empty] = place
+    size = max(1, int(np.sqrt(len(axis))))
+    cells, blocks = np.zeros(len(axis), np.int64), np.zeros(len(axis) // size + 1, np.int64)
+    holes = total = 0
+    medians, sizes = np.full(len(targets), np.nan), np.zeros(len(targets), np.int64)
+    enter, leave = np.searchsorted(day, targets + tol, side="right"), np.searchsorted(day, targets - tol, side="left")
+    first = last = 0
+
+    def at(k):
+        c = np.cumsum(blocks)
+        b = int(np.searchsorted(c, k, side="right"))
+        inside = np.cumsum(cells[b * size : (b + 1) * size])
+        return axis[b * size + int(np.searchsorted(inside, k - (c[b - 1] if b else 0), side="right"))]
+
+    for i in range(len(targets)):
+        for a, b, sign in ((last, enter[i], 1), (first, leave[i], -1)):
+            if b > a:
+                p, w = place_all[a:b], sign * weight[a:b]
+                ok = p >= 0
+                np.add.at(cells, p[ok], w[ok])
+                np.add.at(blocks, p[ok] // size, w[ok])
+                total += int(w.sum())
+                holes += int(w[~ok].sum())
+        last, first = max(last, enter[i]), max(first, leave[i])
+        sizes[i] = total
+        if total and not holes:
+            low, high = at((total - 1) // 2), at(total // 2)
+            medians[i] = (low + high) / 2 if low != high else low
+    return targets, medians, sizes
 
 
 def asof_prior_day(new, state, keys, columns: Sequence[str], date=DATE) -> DataFrame:
@@ -427,7 +506,7 @@ def fit_lags(train: DataFrame, flags: LagFlags | None = None, scope: Sequence[st
     cols = [*scope, ROW_ID, FARM, FORMAT, DATE, VALUE, TARGET]
     if f.feature_lags:
         cols += [c for c in f.feature_columns if c not in cols]
-    first = train.groupBy(FARM).agg(F.min(DATE).alias("first_seen"))
+    first = train.groupBy(*scope, FARM).agg(F.min(DATE).alias("first_seen"))
     return LagState(train.select(*cols), first, f, tuple(scope))
 
 
@@ -437,9 +516,10 @@ def transform_lags(state: LagState, new: DataFrame) -> DataFrame:
     A row whose id and date are in the history is not new: it gets the features it had in
     training, so that it never sees itself among earlier rows. Rows without an id are new.
     """
-    key = [ROW_ID, DATE]
+    key = [*state.scope, ROW_ID, DATE]
     ids = state.history.select(*[F.col(c).alias(f"_known_{c}") for c in key]).distinct()
-    same = [new[c] == F.col(f"_known_{c}") for c in key]
+    alike = lambda df, c: df[c].eqNullSafe(F.col(f"_known_{c}")) if c in state.scope else df[c] == F.col(f"_known_{c}")
+    same = [alike(new, c) for c in key]
     known = new.join(ids, same, "left_semi")
     keep = [c for c in new.columns if c != TARGET]
     names = lag_columns(state.flags)
@@ -448,7 +528,7 @@ def transform_lags(state: LagState, new: DataFrame) -> DataFrame:
     own = lag_features(state.history, state.flags, scope=state.scope).dropDuplicates(key)
     own = own.select(*[F.col(c).alias(f"_known_{c}") for c in key], *names)
     known = known.drop(*[n for n in names if n in known.columns])
-    served = known.join(own, [known[c] == F.col(f"_known_{c}") for c in key]).select(*keep, *names)
+    served = known.join(own, [alike(known, c) for c in key]).select(*keep, *names)
     return _serve(state, new.join(ids, same, "left_anti")).unionByName(served)
 
 
@@ -461,6 +541,6 @@ def _serve(state: LagState, new: DataFrame) -> DataFrame:
     )
     out = lag_features(both, state.flags, scope=state.scope).where("_is_new")
     out = out.withColumn(ROW_ID, F.expr(f"substr({ROW_ID}, 3)")).drop("_is_new", "tenure_fundo_days")
-    out = serving_tenure(out, state.first_seen, FARM, "tenure_fundo_days")
+    out = serving_tenure(out, state.first_seen, [*state.scope, FARM], "tenure_fundo_days")
     keep = [c for c in new.columns if c != TARGET]
     return out.select(*keep, *lag_columns(state.flags))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -12,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.columns import ROW_ID, VARIETY
-from furrow.functions.scalar import hash_uniform, poisson_one
+from furrow.functions.scalar import hash_bucket, replicate_weights
 from furrow.functions.stats import binomial_tail, melt
 from furrow.operators.groups import attach, quantiles
+from furrow.operators.ordered import sliced
 from furrow.operators.ranks import holm, mann_whitney, two_sample, wasserstein
 from furrow.session import cut
 
@@ -111,42 +114,122 @@ def validate_effect_size(assigned: DataFrame, sizes: DataFrame, key: str = VARIE
     return out.select(key, "anchor", "n", *[F.when(~few, F.col(c)).alias(c) for c in ("max_cliff", "mean_cliff")], verdict.alias("verdict"))
 
 
-def bootstrap_stability(df: DataFrame, assigned: DataFrame, features: Sequence[str], anchors: Sequence[str], key: str = VARIETY, replicates: int = 100, grid: int = 1024, seed: int = 42, alpha: float = 0.05, row_id: str = ROW_ID) -> DataFrame:
-    """Share of resamples whose nearest anchor (by W1) is the assigned one, tested against chance.
+def bootstrap_distances(df: DataFrame, features: Sequence[str], anchors: Sequence[str], key: str = VARIETY, replicates: int = 100, seed: int = 42, row_id: str = ROW_ID) -> DataFrame:
+    """(key, _rep, anchor, _w1): mean W1 over the features between each resample and each anchor.
 
-    Rows get Poisson weights per replicate and are added up on a common value grid per
-    feature (exact while a feature has at most ``grid`` distinct values), so the expanded
-    rows shrink to bounded tables before any shuffle.
+    A row has one Poisson(1) weight a replicate for all its features. Tasks add the weights of
+    equal values up, as one vector of all replicates; these meet the anchors' value counts on
+    one ordered axis for each variety and feature. The axis is cut into slices; slice totals
+    say where each one begins, so every slice is walked by itself, all replicates at once.
+    Values are exact: nothing is snapped or capped. Nulls and NaN are left out.
     """
-    long = melt(df, [key, row_id], features)
-    spec = {f"_g{i}": ("value", i / grid) for i in range(grid + 1)}
-    points = quantiles(long, ["variable"], spec)
-    edges = points.select("variable", F.sort_array(F.array_distinct(F.array(*[F.col(n) for n in spec]))).alias("_e"))
-    # Each value moves to the largest grid point not above it.
-    placed = attach(long, edges, ["variable"])
-    slot = F.size(F.filter("_e", lambda e: e <= F.col("value"))) - 1
-    placed = cut(placed.select(key, row_id, "variable", slot.alias("_s")))
-    anchor_counts = placed.where(F.col(key).isin(list(anchors))).groupBy(F.col(key).alias("anchor"), "variable", "_s").agg(F.count(F.lit(1)).alias("_b"))
-    own = placed.where(~F.col(key).isin(list(anchors)))
-    key_text = F.concat_ws(":", F.col(row_id), F.col("_rep").cast("string"))
-    drawn = own.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", poisson_one(hash_uniform(key_text, seed)))
-    boot = drawn.groupBy(key, "_rep", "variable", "_s").agg(F.sum("_w").alias("_a"))
-    vec = boot.groupBy(key, "_rep", "variable").agg(F.map_from_entries(F.collect_list(F.struct("_s", "_a"))).alias("_ma"), F.sum("_a").alias("_na"))
-    avec = anchor_counts.groupBy("anchor", "variable").agg(F.map_from_entries(F.collect_list(F.struct("_s", "_b"))).alias("_mb"), F.sum("_b").alias("_nb"))
-    pairs = attach(vec.where("_na > 0").join(avec, "variable"), edges, ["variable"])
-    # Walk the grid once per pair: running difference of the two distribution functions.
-    steps = F.sequence(F.lit(0), F.size("_e") - 2)
-    walk = F.aggregate(
-        steps,
-        F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("w")),
-        lambda acc, i: F.struct(
-            (acc["d"] + F.coalesce(F.try_element_at("_ma", i), F.lit(0)) / F.col("_na") - F.coalesce(F.try_element_at("_mb", i), F.lit(0)) / F.col("_nb")).alias("d"),
-            (acc["w"] + F.abs(acc["d"] + F.coalesce(F.try_element_at("_ma", i), F.lit(0)) / F.col("_na") - F.coalesce(F.try_element_at("_mb", i), F.lit(0)) / F.col("_nb")) * (F.get("_e", i + 1) - F.get("_e", i))).alias("w"),
-        ),
-        lambda acc: acc["w"],
+    anchors, features = list(anchors), list(features)
+    group = [key, "variable"]
+    is_anchor = F.col(key).isin(anchors)
+    rows = df.where(~is_anchor).select(key, hash_bucket(F.col(row_id), seed).alias("_hx"), hash_bucket(F.col(row_id), seed + 1).alias("_hy"), *[F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)])
+    kind = rows.schema[key].dataType.simpleString()
+
+    def draw(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                b = batch.slice(start, 4096)
+                names = b.column(0).dictionary_encode()
+                code = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                weights = replicate_weights(b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False), replicates).astype(np.int32)
+                for i, name in enumerate(features):
+                    x = b.column(3 + i).to_numpy(zero_copy_only=False)
+                    at = np.flatnonzero(~np.isnan(x))
+                    if not len(at):
+                        continue
+                    at = at[np.lexsort((x[at], code[at]))]
+                    first = np.flatnonzero(np.append(True, (x[at][1:] != x[at][:-1]) | (code[at][1:] != code[at][:-1])))
+                    total = np.add.reduceat(weights[at], first, axis=0)
+                    offsets = pa.array(np.arange(0, total.size + 1, replicates, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [names.dictionary.take(pa.array(code[at][first])), pa.array([name] * len(first)), pa.array(x[at][first]), pa.ListArray.from_arrays(offsets, pa.array(total.astype(np.int32).ravel()))],
+                        names=[*group, "x", "w"],
+                    )
+
+    own = cut(rows.mapInArrow(draw, f"`{key}` {kind}, variable string, x double, w array<int>"))
+    counts = melt(df.where(is_anchor), [key], features).groupBy("variable", F.col("value").cast("double").alias("x")).agg(
+        F.array(*[F.count_if(F.col(key) == a).cast("bigint") for a in anchors]).alias("b")
     )
-    w1 = F.when(F.size("_e") > 1, walk).otherwise(F.lit(0.0))
-    dist = pairs.withColumn("_w1", w1).groupBy(key, "_rep", "anchor").agg(F.avg("_w1").alias("_w1"))
+    donors = own.select(*group).distinct().join(counts.where(F.col("x").isNotNull() & ~F.isnan("x")), "variable")
+    none = lambda t: F.lit(None).cast(t)
+    axis = own.select(*group, "x", "w", none("array<bigint>").alias("b")).unionByName(donors.select(*group, "x", none("array<int>").alias("w"), "b"))
+    parts = sliced(axis, group, [F.col("x")])
+
+    # One row a slice and group.
+    sums = {**{f"_w{i}": F.get("w", F.lit(i)) for i in range(replicates)}, **{f"_b{j}": F.get("b", F.lit(j)) for j in range(len(anchors))}}
+    totals = cut(parts.groupBy(*group, "_slice").agg(F.min("x").alias("_first"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()]))
+    whole = Window.partitionBy(*group)
+    order = whole.orderBy("_slice")
+    pick = lambda kind_, how: F.array(*[how(n) for n in sums if n.startswith(kind_)])
+    before = lambda n: F.coalesce(F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    everything = lambda n: F.sum(n).over(whole)
+    marks = totals.select(*group, "_slice", F.lit(0).alias("kind"), F.lead("_first").over(order).alias("x"), pick("_w", before).alias("w"), pick("_b", before).alias("b"), pick("_w", everything).alias("nw"), pick("_b", everything).alias("nb"))
+    data = parts.select(*group, "_slice", F.lit(1).alias("kind"), "x", F.col("w").cast("array<bigint>").alias("w"), "b", none("array<bigint>").alias("nw"), none("array<bigint>").alias("nb"))
+    walk = marks.unionByName(data).repartition(*group, "_slice").sortWithinPartitions(*group, "_slice", "kind", "x")
+    n_anchors = len(anchors)
+
+    def dense(column, width):
+        out = np.zeros((len(column), width))
+        ok = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        if len(ok):
+            out[ok] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        return out
+
+    def area(batches):
+        state = None  # of the slice at hand: labels, end, totals, running counts, last place, areas
+
+        def done(s):
+            label, end, nw, nb, cw, cb, last, sums_ = s
+            if last is not None and end is not None:
+                sums_ += np.abs(cw[:, None] - cb[None, :]) * (end - last)
+            r, a = np.nonzero((nw[:, None] > 0) & (nb[None, :] > 0))
+            k = len(r)
+            return pa.RecordBatch.from_arrays([pa.array([label[0]] * k, label[2]), pa.array([label[1]] * k, pa.string()), pa.array(r.astype(np.int32) + 1), pa.array([anchors[j] for j in a], pa.string()), pa.array(sums_[r, a])], names=[*group, "_rep", "anchor", "_part"])
+
+        for b in batches:
+            kinds = b.column(3).to_numpy()
+            x = b.column(4).to_numpy(zero_copy_only=False)
+            w, c = dense(b.column(5), replicates), dense(b.column(6), n_anchors)
+            edges = [0, *np.flatnonzero(kinds == 0).tolist(), b.num_rows]
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                if start == end:
+                    continue
+                if kinds[start] == 0:
+                    if state is not None:
+                        yield done(state)
+                    nw, nb = (np.array(b.column(i)[start].as_py(), float) for i in (7, 8))
+                    stop = None if np.isnan(x[start]) else float(x[start])
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        cw, cb = np.nan_to_num(w[start] / nw), np.nan_to_num(c[start] / nb)
+                    state = [(b.column(0)[start].as_py(), b.column(1)[start].as_py(), b.column(0).type), stop, nw, nb, cw, cb, None, np.zeros((replicates, n_anchors))]
+                    start += 1
+                if start == end:
+                    continue
+                _, _, nw, nb, cw, cb, last, sums_ = state
+                own_x = x[start:end]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    runs = cw + np.cumsum(np.nan_to_num(w[start:end] / nw), axis=0), cb + np.cumsum(np.nan_to_num(c[start:end] / nb), axis=0)
+                if last is not None:
+                    sums_ += np.abs(cw[:, None] - cb[None, :]) * (own_x[0] - last)
+                step = np.diff(own_x)
+                for j in range(n_anchors):
+                    sums_[:, j] += step @ np.abs(runs[0][:-1] - runs[1][:-1, j : j + 1])
+                state[4], state[5], state[6] = runs[0][-1], runs[1][-1], float(own_x[-1])
+        if state is not None:
+            yield done(state)
+
+    pieces = walk.mapInArrow(area, f"`{key}` {kind}, variable string, _rep int, anchor string, _part double")
+    each = pieces.groupBy(*group, "_rep", "anchor").agg(F.sum("_part").alias("_w1"))
+    return each.groupBy(key, "_rep", "anchor").agg(F.avg("_w1").alias("_w1"))
+
+
+def bootstrap_stability(df: DataFrame, assigned: DataFrame, features: Sequence[str], anchors: Sequence[str], key: str = VARIETY, replicates: int = 100, seed: int = 42, alpha: float = 0.05, row_id: str = ROW_ID) -> DataFrame:
+    """Share of resamples whose nearest anchor (by W1) is the assigned one, tested against chance."""
+    dist = bootstrap_distances(df, features, anchors, key, replicates, seed, row_id)
     nearest = dist.groupBy(key, "_rep").agg(F.min_by("anchor", F.struct("_w1", "anchor")).alias("_near"))
     votes = nearest.groupBy(key, "_near").agg(F.count(F.lit(1)).alias("_c"))
     mine = assigned.select(key, F.col("anchor").alias("_mine"))

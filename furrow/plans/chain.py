@@ -18,10 +18,11 @@ from furrow.operators.features import ConcurrentDropper, FeatureGenerator
 from furrow.operators.imputing import GroupMedianImputer, MedianImputer, MissingFlagger, OutlierCapper, RareCategoryGrouper, VarianceFilter
 from furrow.operators.lags import LagFlags, LagState, fit_lags, transform_lags
 from furrow.operators.neighbors import KnnImputer, LofScorer
+from furrow.operators.saving import Saved
 from furrow.session import cut
 
 
-class LagStep(Estimator):
+class LagStep(Saved, Estimator):
     """History features as a stage: fitted on training rows, served against them."""
 
     def __init__(self, flags: LagFlags | None = None, scope: Sequence[str] = ()):
@@ -32,7 +33,7 @@ class LagStep(Estimator):
         return LagModel(fit_lags(dataset, self.flags, self.scope))
 
 
-class LagModel(Model):
+class LagModel(Saved, Model):
     """Rows of the training history get their training features, other rows serving ones."""
 
     def __init__(self, state: LagState):
