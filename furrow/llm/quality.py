@@ -14,9 +14,8 @@ from furrow.operators.groups import attach
 SPACE = r"[ \t-\r]+"
 SYMBOLS = r"[^#*$%&|<>]+"
 MIN_WORDS = 50
-# A line is boilerplate of its host in more than MAX_DOCS documents and MAX_SHARE of the host's.
+# A line is boilerplate of its host in more than so many documents, whatever the host's size.
 MAX_DOCS = 20
-MAX_SHARE = 0.01
 # A document is depleted when fewer words than MIN_WORDS or than this share of them are left.
 MIN_LEFT = 0.5
 
@@ -76,21 +75,33 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def common_lines(docs: DataFrame, host: str, id_col: str, text: str, max_docs: int, max_share: float) -> DataFrame:
+def common_lines(docs: DataFrame, host: str, text: str, max_docs: int) -> DataFrame:
     """(_host, h) of lines in more documents of a host than allowed.
 
     Documents of one host with the same text count once: exact copies are the business of
-    de-duplication, and must not turn their own lines into boilerplate. Counts are combined
-    before the shuffle, so a line in a third of all documents is one row per task.
+    de-duplication, and must not turn their own lines into boilerplate. The limit is a fixed
+    count of the same units, so that neither copies nor other documents of the host change
+    what is removed. Counts are combined before the shuffle, so a line in a third of all
+    documents is one row per task.
     """
     lines = docs.select(
         F.col(host).alias("_host"),
         F.xxhash64(text).alias("_t"),
         F.explode(F.array_distinct(F.transform(line_hashes(F.col(text)), lambda x: x.h))).alias("h"),
     )
-    often = lines.distinct().groupBy("_host", "h").agg(F.count("*").alias("_n")).where(F.col("_n") > max_docs)
-    sizes = docs.groupBy(F.col(host).alias("_host")).agg(F.count("*").alias("_all"))
-    return attach(often, sizes, ["_host"]).where(F.col("_n") > max_share * F.col("_all")).select("_host", "h")
+    return lines.distinct().groupBy("_host", "h").agg(F.count("*").alias("_n")).where(F.col("_n") > max_docs).select("_host", "h")
+
+
+# Stands before a caller's names that begin with an underscore while the rules run.
+_ASIDE = "\u00b7"
+
+
+def _aside(docs: DataFrame) -> DataFrame:
+    return docs.withColumnsRenamed({c: _ASIDE + c for c in docs.columns if c.startswith("_")})
+
+
+def _back(docs: DataFrame) -> DataFrame:
+    return docs.withColumnsRenamed({c: c[1:] for c in docs.columns if c.startswith(_ASIDE + "_")})
 
 
 def line_rules(
@@ -99,7 +110,6 @@ def line_rules(
     id_col: str = "doc_id",
     text: str = "text",
     max_docs: int = MAX_DOCS,
-    max_share: float = MAX_SHARE,
     min_left: float = MIN_LEFT,
     rewrite: bool = False,
 ) -> DataFrame:
@@ -108,9 +118,12 @@ def line_rules(
     Adds n_left_words, n_removed_lines, depleted and kept to the columns of base_rules; with
     ``rewrite`` the text loses its removed lines. Null ids and hosts are values like others,
     repeated rows get the same verdict, a null text is rejected and stays null, an empty
-    table gives no row. Other columns pass through unless they have a name that is added.
+    table gives no row. Other columns pass through, whatever their names, unless they have a
+    name that is added.
     """
-    common = common_lines(docs, host, id_col, text, max_docs, max_share)
+    docs = _aside(docs)
+    id_col, host, text = (_ASIDE + c if c.startswith("_") else c for c in (id_col, host, text))
+    common = common_lines(docs, host, text, max_docs)
     keyed = docs.withColumns({"_t": F.xxhash64(text), "_hashed": line_hashes(F.col(text))})
     hits = keyed.select(F.col(id_col).alias("_id"), F.col(host).alias("_host"), "_t", F.explode(F.array_distinct(F.transform("_hashed", lambda x: x.h))).alias("h"))
     hits = attach(hits, common.withColumn("_hit", F.lit(True)), ["_host", "h"], "left").where("_hit")
@@ -127,7 +140,7 @@ def line_rules(
     if rewrite:
         still = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains("_removed", F.xxhash64(normal_line(x))), F.lit(False)))
         df = df.withColumn(text, F.when(F.col("n_removed_lines") > 0, F.array_join(still, "\n")).otherwise(F.col(text)))
-    return df.drop("_t", "_hashed", "_removed", "_gone")
+    return _back(df.drop("_t", "_hashed", "_removed", "_gone"))
 
 
 def kept_documents(docs: DataFrame, **parameters) -> DataFrame:
@@ -136,5 +149,5 @@ def kept_documents(docs: DataFrame, **parameters) -> DataFrame:
     The row number stands between the verdict and the filter: else the optimiser would move
     the filter below the rules and repeat their expressions inside it many times over.
     """
-    judged = line_rules(docs, rewrite=True, **parameters).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where("kept AND _row >= 0").select(*docs.columns)
+    judged = _aside(line_rules(docs, rewrite=True, **parameters)).withColumn("_row", F.monotonically_increasing_id())
+    return _back(judged.where("kept AND _row >= 0").drop("_row")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.llm import collocations, fim, langid, toxicity
+from furrow.llm import collocations, fim, langid, quality, toxicity
 
 # 12: fill in the middle
 
@@ -253,3 +253,26 @@ def test_training_without_both_labels(spark):
     assert [r.score for r in toxicity.score(df, none).collect()] == [0.0] * 4
     few = spark.createDataFrame([("only a", 1), ("only b", 0), ("", 1), ("", 0)], "text string, toxic int")
     assert toxicity.score(few, toxicity.fit(few)).where("score BETWEEN 0 AND 1").count() == 4
+
+
+# 9: the limit of a host's lines
+
+
+def test_footers_stay_removed_when_copies_join_the_host(spark):
+    footer = "all rights reserved by the host"
+    rows = [(i, "h", " ".join(f"d{i}w{k}" for k in range(60)) + "\n" + footer) for i in range(60)]
+    copies = [(1000 + i, "h", "one other text " + " ".join(f"c{k}" for k in range(60))) for i in range(7000)]
+    for extra in ([], copies):
+        df = spark.createDataFrame(rows + extra, "doc_id bigint, source string, text string")
+        got = quality.line_rules(df, max_docs=50).where("doc_id < 1000").agg(F.sum("n_removed_lines"), F.count_if("kept")).first()
+        assert tuple(got) == (60, 60)
+        assert quality.line_rules(df, max_docs=60).where("n_removed_lines > 0").isEmpty()
+
+
+def test_names_of_the_caller_come_through_the_line_rules(spark):
+    names = "_t _hashed _gone _removed _w _h1 _h3 _lines _sorted _row _host h".split()
+    df = spark.createDataFrame([(1, "h", "a b c\n" * 3, *range(len(names)))], ["doc_id", "source", "text", *names])
+    row = quality.line_rules(df).first()
+    assert [row[n] for n in names] == list(range(len(names)))
+    assert quality.kept_documents(df).columns == df.columns
+    assert quality.line_rules(df.withColumnRenamed("doc_id", "_id").withColumnRenamed("source", "_s"), host="_s", id_col="_id").first()["_id"] == 1
