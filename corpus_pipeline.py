@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from furrow.llm import decontam, mixing, neardup, pii, quality
-from furrow.llm.queries import PII_KEY
+from furrow.llm.queries import HOST_LIMIT, PII_KEY
 from furrow.session import shared_root
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,7 +21,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go from the texts, and documents that the rules reject go."""
-    return _documents(quality.kept_documents(docs.select(*COLUMNS)))
+    return _documents(quality.kept_documents(docs.select(*COLUMNS), max_docs=HOST_LIMIT))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
