@@ -167,7 +167,7 @@ def varieties_oof(spark, sf):
 def varieties_search(spark, sf):
     """Eight drawn candidates a format over all its rows, halved once: how many came out, and the sum of their ranks."""
     rows = _rows(spark, sf).where(F.col("formato").isNotNull())
-    table = V.search(rows, ["formato"], ["kg_ha", "dpc", "dia_cosecha"], {"gbt": V.GBT_SPACE.draw(8)}, 2, halving=((0.25, 0.25), (1.0, 1.0)))
+    table = V.search(rows, ["formato"], ["kg_ha", "dpc", "dia_cosecha"], {"gbt": V.GBT_SPACE.draw(8)}, 2, halving=((0.25, 0.25), (1.0, 0.5)))
     return table.groupBy("formato", "model_type").agg(F.count(F.lit(1)).alias("n_candidates"), F.sum("rank").alias("rank_sum"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from furrow.catalog.base import H, HF, harvest, harvest_full, query, r, rs, table
@@ -229,6 +230,17 @@ def interaction_one_hot(spark, sf):
     return model.transform(df).select("row_id", *model.names())
 
 
+@query("sparse_one_hot", f"""{HF}, {TRAIN}, l AS (SELECT variedad || '__' || formato AS level, row_number() OVER (ORDER BY variedad || '__' || formato) AS place FROM t WHERE variedad IS NOT NULL AND formato IS NOT NULL GROUP BY 1)
+  SELECT row_id, coalesce(place, 0) AS place, cast(l.level IS NOT NULL AS integer) AS n_set FROM h LEFT JOIN l ON l.level = variedad || '__' || formato""")
+def sparse_one_hot(spark, sf):
+    """Place of the one entry that is set (0 for none) and the number of entries."""
+    df = harvest_full(spark, sf)
+    model = FE.SparseOneHot(["variedad", "formato"], "v").fit(_train(df))
+    values = vector_to_array("v")
+    out = model.transform(df).select("row_id", F.array_position(values, 1.0).alias("place"), F.size(F.filter(values, lambda x: x != 0)).alias("n_set"))
+    return out
+
+
 @query("frequency_encode", f"""{H}, t AS (SELECT * FROM h WHERE formato <> 'R'), a AS (SELECT fundo, count(*) / (SELECT count(*) FROM t)::double AS f FROM t GROUP BY 1),
   b AS (SELECT formato, count(*) / (SELECT count(*) FROM t)::double AS f FROM t GROUP BY 1)
   SELECT row_id, {rs('coalesce(a.f, 0)')} AS fundo_freq, {rs('coalesce(b.f, 0)')} AS formato_freq FROM h LEFT JOIN a USING (fundo) LEFT JOIN b USING (formato)""")

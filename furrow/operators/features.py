@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from furrow.functions.scalar import cyclic_date, season_flags, structural_ratios
 from furrow.functions.stats import kurtosis_corrected, skew_corrected
 from furrow.operators.groups import attach, quantiles
 from furrow.operators.saving import Saved
+from furrow.session import cut
 
 SKEW_LIMIT, KURT_LIMIT, SKEW_MIN_ROWS = 1.5, 50.0, 30
 SEASON_MIN_OBS, SEASON_HIGH, SEASON_LOW = 5, 0.66, 0.33
@@ -133,6 +135,50 @@ class OneHotModel(Saved, Model):
         return dataset.select("*", *flags)
 
 
+class SparseOneHot(Saved, Estimator):
+    """One sparse vector column of the training levels, for columns with any number of them.
+
+    Levels (several columns joined by ``__`` make the interaction form) are numbered in sorted
+    order in a table that is joined to the rows; none of them passes the driver. Unseen levels
+    and nulls have an empty vector. ``least`` leaves out levels with fewer training rows.
+    """
+
+    def __init__(self, col: str | Sequence[str], output: str | None = None, least: int = 1):
+        super().__init__()
+        self.cols = [col] if isinstance(col, str) else list(col)
+        self.output, self.least = output or "_".join(self.cols) + "__levels", least
+
+    def key(self) -> Column:
+        parts = [F.col(c).cast("string") for c in self.cols]
+        return F.concat(*[x for c in parts for x in (F.lit("__"), c)][1:])
+
+    def _fit(self, dataset):
+        from furrow.operators.ordered import position
+
+        levels = dataset.select(self.key().alias("_level")).where("_level IS NOT NULL").groupBy("_level").count().where(F.col("count") >= self.least)
+        numbered = cut(position(levels.select("_level"), [], [F.col("_level")], "_at").withColumn("_at", F.col("_at") - 1))
+        return SparseOneHotModel(self, numbered, numbered.count())
+
+
+class SparseOneHotModel(Saved, Model):
+    def __init__(self, how: SparseOneHot, levels: DataFrame, size: int):
+        super().__init__()
+        self.how, self.levels, self.size = how, levels, size
+
+    def names(self) -> DataFrame:
+        """(place, name) of every entry of the vector."""
+        return self.levels.select(F.col("_at").alias("place"), F.concat(F.lit("_".join(self.how.cols) + "__"), F.col("_level")).alias("name"))
+
+    def _transform(self, dataset):
+        spark = dataset.sparkSession
+        placed = attach(dataset.withColumn("_level", self.how.key()), self.levels, ["_level"])
+        placed = placed.withColumn("_at", F.coalesce(F.col("_at"), F.lit(self.size)).cast("double"))
+        # An index beyond the last level is the invalid one, which has no entry.
+        encoder = OneHotEncoder(inputCols=["_at"], outputCols=[self.how.output], handleInvalid="keep")
+        fitted = encoder.fit(spark.range(1).select(F.lit(float(max(self.size - 1, 0))).alias("_at")))
+        return fitted.transform(placed).drop("_level", "_at")
+
+
 class FrequencyEncoder(Saved, Estimator):
     """Training share of each level; unseen levels 0. With ``scope``, shares within its columns."""
 

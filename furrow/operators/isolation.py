@@ -139,7 +139,11 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], by: str, seed: int = 42
 
 
 def isolation_filter(df: DataFrame, cols: Sequence[str], by: str, contamination: float = 0.05, least: int = 5, seed: int = 42, trees: int = TREES) -> DataFrame:
-    """Drop the most isolated share of each group; groups under ``least`` rows stay whole."""
+    """Drop the most isolated share of each group; groups under ``least`` rows stay whole.
+
+    Complete cases only, as the model has it: a row with a null feature is dropped too. Use
+    ``isolation_scores`` to keep such rows.
+    """
     from furrow.session import cut
 
     complete = df.dropna(subset=list(cols))

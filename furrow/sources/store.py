@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,21 +81,75 @@ def list_history(df, variety: str, limit: int = 100, offset: int = 0) -> DataFra
     return list_page(df, {"variety": variety}, [F.desc("fecha"), F.desc("id")], limit, offset)
 
 
+PENDING = "_pending-"
+COMMIT = "_COMMIT"
+
+
+def _folders(spark: SparkSession, path: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    child = lambda *parts: spark._jvm.org.apache.hadoop.fs.Path("/".join([root.toString(), *parts]))
+    names = lambda p: sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+    return root, fs, child, names
+
+
+def recover(spark: SparkSession, path: str) -> int:
+    """Finish deletes that were interrupted after they were decided, and drop those that weren't.
+
+    A decided delete lists the partitions it replaces; those whose new files still wait are
+    put in place, those without any are removed. Returns how many deletes were finished.
+    """
+    root, fs, child, names = _folders(spark, path)
+    done = 0
+    for pending in [n for n in names(root) if n.startswith(PENDING)]:
+        if fs.exists(child(pending, COMMIT)):
+            staged = set(names(child(pending, "rows")))
+            # One name a partition; a partition that has been put in place has no waiting files.
+            for line in spark.read.text(child(pending, COMMIT).toString()).collect():
+                kind, _, name = line[0].partition(" ")
+                if kind == "empty":
+                    fs.delete(child(name), True)
+                elif name in staged:
+                    fs.delete(child(name), True)
+                    fs.rename(child(pending, "rows", name), child(name))
+            done += 1
+        fs.delete(child(pending), True)
+    return done
+
+
 def delete_rows(spark: SparkSession, path: str, filters: dict) -> int:
-    """Rewrite a table without the matching rows; returns how many were removed.
+    """Delete the matching rows of a table in partitions by ``variety``; returns how many.
 
-    The kept rows are first written to the shared folder, so the table can be rebuilt
-    if the overwrite is interrupted.
+    Only partitions with a match are written anew, beside the table; a list of them is the
+    decision, after which their folders are exchanged. Files of other partitions stay as they
+    are. If the job dies before the decision nothing has changed, and after it the next
+    delete, or ``recover``, finishes the exchange.
     """
+    recover(spark, path)
     stored = spark.read.parquet(path)
     hit = F.lit(True)
     for col, want in filters.items():
         hit = hit & F.coalesce(F.col(col) == F.lit(want), F.lit(False))
-    removed = stored.where(hit).count()
-    if removed:
-        kept = cut(stored.where(~hit))
-        kept.write.mode("overwrite").partitionBy("variety").parquet(path)
-    return removed
+    # One row a partition with a match.
+    touched = stored.where(hit).groupBy("variety").agg(F.count(F.lit(1)).alias("n"), F.any_value("_metadata.file_path").alias("at")).collect()
+    if not touched:
+        return 0
+    _, fs, child, names = _folders(spark, path)
+    pending = f"{PENDING}{uuid.uuid4().hex}"
+    mine = F.lit(False)
+    for t in touched:
+        mine = mine | F.col("variety").eqNullSafe(F.lit(t["variety"]))
+    rows = child(pending, "rows").toString()
+    stored.where(mine & ~hit).write.partitionBy("variety").parquet(rows)
+    staged = [n for n in names(child(pending, "rows")) if n.startswith("variety=")]
+    uri = spark._jvm.java.net.URI
+    every = {spark._jvm.org.apache.hadoop.fs.Path(uri(t["at"])).getParent().getName() for t in touched}
+    lines = [f"rows {n}" for n in staged] + [f"empty {n}" for n in sorted(every - set(staged))]
+    decided = child(pending, COMMIT + "-draft")
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(decided.toString())
+    fs.rename(decided, child(pending, COMMIT))
+    recover(spark, path)
+    return sum(t["n"] for t in touched)
 
 
 def delete_forecasts(spark, path, **filters) -> int:

@@ -100,3 +100,52 @@ def test_values_of_every_kind_survive():
         encode(object(), [])
     with pytest.raises(ValueError):
         decode({"$data": "os:stat_result", "state": {}}, None)
+
+
+def test_deletes_touch_only_partitions_with_a_match(spark, tmp_path, monkeypatch):
+    import glob
+
+    from furrow.sources import store
+
+    path = str(tmp_path / "table")
+    rows = [(i, ["POP", "a b%c", None, "x=1"][i % 4], i % 5) for i in range(40)]
+    spark.createDataFrame(rows, "id int, variety string, day int").write.partitionBy("variety").parquet(path)
+    stamp = lambda: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/*/*.parquet")}
+    ids = lambda: sorted(r.id for r in spark.read.parquet(path).select("id").collect())
+    before = stamp()
+    assert store.delete_rows(spark, path, {"id": 5}) == 1 and ids() == [i for i in range(40) if i != 5]
+    after = stamp()
+    assert all(after.get(f) == t for f, t in before.items() if "a b" not in f) and any(f not in after for f in before)
+    assert store.delete_rows(spark, path, {"id": 999}) == 0 and stamp() == after
+    # A whole partition, by its own name.
+    assert store.delete_history(spark, path, "x=1") == 10 and ids() == [i for i in range(40) if i % 4 != 3 and i != 5]
+
+    # Interrupted after the decision: readable, and finished by the next call.
+    whole = store.recover
+    calls = []
+    monkeypatch.setattr(store, "recover", lambda s, p: whole(s, p) if not calls and not calls.append(1) else 0)
+    assert store.delete_rows(spark, path, {"day": 0}) > 0
+    left = [i for i in range(40) if i % 4 != 3 and i != 5]
+    assert ids() == left
+    monkeypatch.undo()
+    assert store.recover(spark, path) == 1 and ids() == [i for i in left if i % 5]
+    # Interrupted before it: nothing happens.
+    os.makedirs(f"{path}/{store.PENDING}x/rows/variety=POP")
+    assert store.recover(spark, path) == 0 and ids() == [i for i in left if i % 5] and not glob.glob(f"{path}/{store.PENDING}*")
+
+
+def test_thousands_of_levels_make_one_sparse_column(spark, tmp_path):
+    from pyspark.ml.functions import vector_to_array
+
+    from furrow.operators.features import SparseOneHot, SparseOneHotModel
+
+    df = spark.range(9000).select(F.concat(F.lit("lv"), F.lpad((F.col("id") % 4000).cast("string"), 5, "0")).alias("k"), (F.col("id") % 2).cast("string").alias("s"))
+    model = SparseOneHot("k").fit(df)
+    model.write().save(str(tmp_path / "m"))
+    again = SparseOneHotModel.load(str(tmp_path / "m"))
+    assert model.size == 4000 and again.names().where("place = 17").first()["name"] == "k__lv00017"
+    new = spark.createDataFrame([("lv00017",), ("never",), (None,)], "k string")
+    got = [r.v for r in again.transform(new).select(vector_to_array("k__levels").alias("v")).collect()]
+    assert [len(v) for v in got] == [4000] * 3 and got[0][17] == 1.0 and [sum(v) for v in got] == [1.0, 0.0, 0.0]
+    both = SparseOneHot(["k", "s"], "pair", least=3).fit(df.where("k < 'lv00003'").unionByName(df.limit(0)))
+    assert both.size == 3 and both.transform(df).columns == ["k", "s", "pair"]
