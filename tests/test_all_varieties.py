@@ -124,9 +124,9 @@ def harvest(spark):
 
 
 def test_every_row_is_predicted_once_by_a_model_of_other_folds(spark, harvest):
-    candidates = {"gbt": (B.TreeParams(8, 2, 0.3), B.TreeParams(12, 3, 0.3)), "forest": (B.TreeParams(5, 4, average=True),)}
+    candidates = {"gbt": (B.TreeParams(3, 2, 0.7), B.TreeParams(4, 3, 0.7)), "forest": (B.TreeParams(3, 4, average=True),)}
     features = ["kg_ha", "dpc", "fundo_freq", "formato_freq"]
-    results, oof = V.cross_validate(harvest, features, candidates=candidates, outer=3, inner=2, preprocessor=lambda s: V.scoped_chain(s, ["kg_ha", "dpc"], rare_min=5))
+    results, oof = V.cross_validate(harvest, features, candidates=candidates, outer=2, inner=2, preprocessor=lambda s: V.scoped_chain(s, ["kg_ha", "dpc"], rare_min=5))
     got = oof.toPandas()
     assert len(got) == 2 * 900 and not got.duplicated(["row_id", "model_type"]).any() and got["y_pred"].notna().all()
     table = results.toPandas()
@@ -134,14 +134,14 @@ def test_every_row_is_predicted_once_by_a_model_of_other_folds(spark, harvest):
     # Changing a row's target changes no prediction of its own fold's models for it.
     fold = got[got["row_id"] == "00007"]["fold_id"].iloc[0]
     moved = harvest.withColumn("kg_jr_h", F.when(F.col("row_id") == "00007", F.lit(500.0)).otherwise(F.col("kg_jr_h")))
-    _, other = V.cross_validate(moved, features, candidates=candidates, outer=3, inner=2, preprocessor=lambda s: V.scoped_chain(s, ["kg_ha", "dpc"], rare_min=5))
+    _, other = V.cross_validate(moved, features, candidates=candidates, outer=2, inner=2, preprocessor=lambda s: V.scoped_chain(s, ["kg_ha", "dpc"], rare_min=5))
     both = got.merge(other.toPandas(), on=["row_id", "model_type"])
     same = both[(both["variedad_x"] != "BIANCA") | (both["fold_id_x"] == fold)]
     assert np.allclose(same["y_pred_x"], same["y_pred_y"]) and not np.allclose(both["y_pred_x"], both["y_pred_y"])
 
 
 def test_final_models_are_searched_on_all_rows(spark, harvest):
-    space = V.Space({"depth": ("int", 1, 4), "step": ("log", 0.05, 0.5), "ridge": ("float", 0.0, 1.0)}, given={"trees": 6}, when={"ridge": ("loss", "squared")})
+    space = V.Space({"depth": ("int", 1, 4), "step": ("log", 0.05, 0.5), "ridge": ("float", 0.0, 1.0)}, given={"trees": 3}, when={"ridge": ("loss", "squared")})
     drawn = space.draw(4)
     assert drawn == space.draw(6)[:4] and drawn != space.draw(4, seed=1) and all(1 <= p.depth <= 4 and 0.05 <= p.step <= 0.5 for p in drawn)
     plain = V.Space({"ridge": ("float", 0.5, 1.0)}, given={"loss": "absolute"}, when={"ridge": ("loss", "squared")})
