@@ -17,7 +17,7 @@ ORACLE: dict[str, str] = {}
 # Where the vocabulary of the token count lies, and the key of the surrogates.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 # Documents of a host that may share a line.
-HOST_LIMIT = 100
+HOST_LIMIT = 20
 PII_KEY = b"rotate this key for each release"
 
 
@@ -125,7 +125,7 @@ b AS (SELECT d.doc_id, source, raw, cast(len(w) AS bigint) AS n_words,
 l AS (SELECT doc_id, source, raw, unnest(list_transform(lines, lambda x: struct_pack(
     k := trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')),
     n := len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))))) AS u FROM d),
-f AS (SELECT source, u.k AS k FROM l GROUP BY ALL HAVING count(DISTINCT raw) > 100),
+f AS (SELECT source, u.k AS k FROM l GROUP BY ALL HAVING count(DISTINCT raw) > 20),
 gone AS (SELECT doc_id, count(*) AS c, sum(u.n) AS n FROM l JOIN f ON f.source = l.source AND f.k = l.u.k GROUP BY doc_id),
 v AS (SELECT b.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     cast(coalesce(gone.c, 0) AS bigint) AS n_removed_lines,
