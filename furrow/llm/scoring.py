@@ -1,341 +1,392 @@
 """Language-model scores from a weighted backoff automaton trained on the corpus.
 
-States are the contexts of frequent n-grams, arcs carry smoothed log-probabilities, failure
-arcs the backoff weights. A document is read once, left to right. What the automaton holds
-is bounded by shares of the corpus: n-grams that make up GRAM_SHARE of all tokens or more,
-and words that make up WORD_SHARE, of which there can be 1 / share at most. Every other
-word is looked up by a join with the whole vocabulary, so no count is left out.
+States are the contexts of n-grams, arcs carry smoothed log-probabilities, failure arcs the
+backoff weights; a document is read once, left to right. Every n-gram that occurs LEAST times
+is learned whatever the size of the corpus, so the model grows with it and is never held
+whole: its states are tables. Texts become chunks of word hashes once. A chunk asks the
+tables for the n-grams it contains, compiles the part of the automaton that its own texts can
+reach, and traverses them with it.
+
+Words and n-grams go by 64-bit hashes. N-grams are counted length by length, and one counts
+only where its two parts, shorter by a word, pass a filter of frequent ones: a bitmap that
+lets some others through and never stops a frequent one, so counts stay exact.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import repeat
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.operators.groups import attach
+from furrow.llm.collocations import FILTER_BITS, Hasher, bitmap, joined, passes
 from furrow.session import cut
 
 ORDER = 3
-WORD_SHARE = 5e-7
-GRAM_SHARE = 1e-6
-LEAST = 2
+LEAST = 10
 DISCOUNT = 0.5
 SMOOTHING = 0.5
-END = b""
-# Words a task counts before it sends them on; tokens that are searched for candidates at once.
-HELD_WORDS = 300_000
-CHUNK_TOKENS = 3_000_000
-CANDIDATES = 4_000_000
+END = np.uint64(1)
+SEED = 5
+# Bytes hashed at once, tokens of a chunk (whole texts), entries a task merges or answers.
+BLOCK_BYTES = 1 << 22
+CHUNK_TOKENS = 1 << 21
+BUCKET_TOKENS = 1 << 21
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def hashed(texts: list[bytes], hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts, each text closed by END; tokens of each text)."""
+    data = np.frombuffer(b"\n".join([*texts, b""]).lower(), dtype=np.uint8)
+    inside = np.concatenate([[False], ~_BLANK[data], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    limits = np.cumsum([len(t) + 1 for t in texts])
+    text = np.searchsorted(limits, starts, side="right")
+    out = np.full(len(starts) + len(texts), END)
+    out[np.arange(len(starts)) + text] = hasher(data, starts, ends)
+    return out, np.bincount(text, minlength=len(texts)) + 1
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a text with A-Z in lower case; the end of the text is not among them."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over a one-column table of texts; each text adds one END."""
+def sequences(rows: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """Chunks of whole texts of a table (_id, _train, _text): ids, flags and sizes of the texts,
+    the distinct word hashes and, compressed, the place of each token's word among them."""
+    kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches):
-        held: Counter = Counter()
+        from pyspark import TaskContext
+
+        hasher, pack = Hasher(SEED), zstandard.ZstdCompressor(level=1)
+        task, number = TaskContext.get().partitionId(), 0
+        tokens: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        ids: list[pa.Array] = []
+        flags: list[pa.Array] = []
+
+        def chunk():
+            nonlocal number
+            number += 1
+            words, at = np.unique(np.concatenate(tokens), return_inverse=True)
+            own, flag = pa.concat_arrays(ids), pa.concat_arrays(flags)
+            size = np.concatenate(sizes)
+            learned = int(size[flag.to_numpy(zero_copy_only=False)].sum())
+            at = at.astype(np.uint32)
+            # Low and high halves apart: the high ones are nearly constant.
+            seq = pack.compress(at.view(np.uint16).reshape(-1, 2).T.tobytes())
+            ends = lambda n: pa.array(np.array([0, n], np.int32))
+            columns = [pa.array([task << 32 | number]), pa.array([len(at)]), pa.array([learned]), pa.ListArray.from_arrays(ends(len(own)), own), pa.ListArray.from_arrays(ends(len(flag)), flag)]
+            columns += [_lists(np.array([0, len(x)]), x) for x in (size.astype(np.int64), words.view(np.int64))]
+            for x in (tokens, sizes, ids, flags):
+                x.clear()
+            return pa.RecordBatch.from_arrays([*columns, pa.array([seq], pa.binary())], names=["chunk", "tokens", "learned", "ids", "train", "sizes", "words", "seq"])
+
+        held = 0
         for b in batches:
-            for t in b.column(0):
-                held.update(words_of(t.as_py()))
-                held[END] += 1
-                if len(held) > HELD_WORDS:
-                    yield batch(held)
-                    held = Counter()
-        if held:
-            yield batch(held)
-
-    def batch(held):
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-
-    return texts.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def gram_keys(ids: np.ndarray, order: int, size: int) -> np.ndarray:
-    """Keys of the n-grams of a sequence in which 0 is an unlisted word: base ``size`` + 1."""
-    n = len(ids) - order + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.int64)
-    key = np.zeros(n, dtype=np.int64)
-    whole = np.ones(n, dtype=bool)
-    for k in range(order):
-        part = ids[k : k + n]
-        key = key * (size + 1) + part
-        whole &= part > 0
-    # The end of one text is no context of the next.
-    for k in range(order - 1):
-        whole &= ids[k : k + n] != 1
-    return key[whole]
-
-
-def _sequences(batches, vocabulary, limit=CHUNK_TOKENS):
-    """Ids of whole texts one after another, in chunks of about ``limit`` tokens."""
-    parts, size = [], 0
-    for b in batches:
-        for t in b.column(0):
-            words = words_of(t.as_py())
-            ids = np.empty(len(words) + 1, dtype=np.int64)
-            ids[:-1] = np.fromiter(map(vocabulary.get, words, repeat(0)), dtype=np.int64, count=len(words))
-            ids[-1] = 1
-            parts.append(ids)
-            size += len(ids)
-            if size >= limit:
-                yield np.concatenate(parts)
-                parts, size = [], 0
-    if parts:
-        yield np.concatenate(parts)
-
-
-def _columns(df: DataFrame) -> dict[str, np.ndarray]:
-    """Numbers of a table of bounded size as arrays; no row objects are made."""
-    rows = df.toArrow()
-    return {c: rows.column(c).to_numpy() for c in rows.column_names}
-
-
-def frequent_grams(texts: DataFrame, vocabulary, order: int, size: int, total: int, share: float = GRAM_SHARE) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """{length: (keys, counts)} of n-grams of listed words that make up ``share`` of all tokens.
-
-    An n-gram with that share of the corpus has it in some chunk; those that do in a chunk
-    are candidates, and candidates are counted over the whole corpus, so counts are exact.
-    Candidates are counted in blocks of bounded size.
-    """
-    spark = texts.sparkSession
-    lengths = range(2, order + 1)
-
-    def propose(batches):
-        for ids in _sequences(batches, vocabulary.value):
-            for k in lengths:
-                keys, n = np.unique(gram_keys(ids, k, size), return_counts=True)
-                keys = keys[n >= share * len(ids)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, dtype=np.int8)), pa.array(keys)], names=["k", "key"])
-
-    candidates = cut(texts.mapInArrow(propose, "k byte, key bigint").distinct())
-    blocks = max(1, -(-candidates.count() // CANDIDATES))
-    found: dict[int, list] = {k: [] for k in lengths}
-    for block in range(blocks):
-        mine = candidates if blocks == 1 else candidates.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block)
-        rows = _columns(mine)
-        wanted = {k: np.sort(rows["key"][rows["k"] == k]) for k in lengths}
-        shared = spark.sparkContext.broadcast(wanted)
-
-        def count(batches, shared=shared):
-            sums = {k: np.zeros(len(v), dtype=np.int64) for k, v in shared.value.items()}
-            for ids in _sequences(batches, vocabulary.value, 1 << 20):
-                for k, keys in shared.value.items():
-                    if not len(keys):
-                        continue
-                    own = gram_keys(ids, k, size)
-                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                    sums[k] += np.bincount(at[keys[at] == own], minlength=len(keys))
-            for k, n in sums.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, dtype=np.int8)), pa.array(shared.value[k][at]), pa.array(n[at])], names=["k", "key", "n"])
-
-        counted = texts.mapInArrow(count, "k byte, key bigint, n bigint").groupBy("k", "key").agg(F.sum("n").alias("n"))
-        kept = _columns(counted.where(F.col("n") >= max(LEAST, share * total)))
-        for k in lengths:
-            own = kept["k"] == k
-            found[k].append((kept["key"][own], kept["n"][own]))
-    out = {}
-    for k, parts in found.items():
-        keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        by = np.argsort(keys)
-        out[k] = (keys[by], n[by])
+            at = 0
+            while at < len(b):
+                texts, size, first = [], 0, at
+                while at < len(b) and size < min(BLOCK_BYTES, 8 * chunk_tokens):
+                    texts.append(b.column(2)[at].as_py())
+                    size += len(texts[-1])
+                    at += 1
+                t, n = hashed(texts, hasher)
+                tokens.append(t)
+                sizes.append(n)
+                ids.append(b.column(0).slice(first, len(texts)))
+                flags.append(b.column(1).slice(first, len(texts)))
+                held += len(t)
+                if held >= chunk_tokens:
+                    yield chunk()
+                    held = 0
+        if tokens:
+            yield chunk()
+
+    schema = f"chunk bigint, tokens bigint, learned bigint, ids array<{kind}>, train array<boolean>, sizes array<bigint>, words array<bigint>, seq binary"
+    return rows.select("_id", "_train", "_text").mapInArrow(run, schema)
+
+
+def _places(seq: bytes, tokens: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(seq), np.uint16)
+    return np.ascontiguousarray(raw.reshape(2, tokens).T).view(np.uint32).ravel()
+
+
+def gram_keys(tokens: np.ndarray, order: int) -> list[np.ndarray]:
+    """Keys of the n-grams from each place on, of lengths 1 to ``order``: a key joins those of
+    the two parts that are shorter by a word. What runs over the end of a text is included."""
+    keys = [tokens]
+    for _ in range(order - 1):
+        keys.append(joined(keys[-1][:-1], keys[-1][1:]) if len(keys[-1]) else keys[-1])
+    return keys
+
+
+def inner(tokens: np.ndarray, k: int) -> np.ndarray:
+    """Whether the n-gram of length ``k`` from each place on stays within a text."""
+    n = max(len(tokens) - k + 1, 0)
+    out = np.ones(n, bool)
+    for i in range(k - 1):
+        out &= tokens[i : i + n] != END
     return out
 
 
-class Automaton:
-    """A deterministic machine over word ids 1..size, of which 1 is the end of a text.
+def _dealt(bucket: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[pa.Array]]:
+    """Entries as one row of lists for each bucket; ``bucket`` is in order."""
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
+    offsets = np.append(first, len(bucket))
+    return bucket[first], [_lists(offsets, c) for c in columns]
+
 
-    State 0 is the empty context and has an arc for each listed word. ``arcs`` maps
-    state * (size + 1) + word to an arc, which has a log10 probability and a next state: the
-    longest suffix of what was read that is a context. ``fail`` leads to the next shorter
-    context at the price ``backoff``.
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return pa.chunked_array([c.flatten() for c in column.chunks], column.type.value_type).to_numpy()
+
+
+def count_grams(chunks: DataFrame, k: int, filter_, buckets: int, least: int) -> DataFrame:
+    """(key, head, tail, n) of the n-grams of length ``k`` that occur ``least`` times in training
+    texts. ``head`` and ``tail`` are the keys of its parts, which must pass ``filter_``.
+
+    A chunk sends each of its n-grams once, with its count, so a frequent one is no hot key.
     """
 
-    def __init__(self, counts: np.ndarray, total: int, distinct: int, grams: dict[int, tuple[np.ndarray, np.ndarray]], discount: float = DISCOUNT):
-        self.size = size = len(counts) - 1
-        base = size + 1
-        self.denominator = total + SMOOTHING * (distinct + 1)
-        self.root = np.zeros(base)
-        self.root[1:] = np.log10((counts[1:] + SMOOTHING) / self.denominator)
-        # Contexts in order of length: those of the n-grams one word longer.
-        contexts: list[np.ndarray] = [np.unique(keys // base) for keys, _ in (grams[k] for k in sorted(grams))]
-        self.first, states = [], 1
-        for own in contexts:
-            self.first.append(states)
-            states += len(own)
-        self.contexts = contexts
-        self.fail = np.zeros(states, dtype=np.int64)
-        self.backoff = np.zeros(states)
-        self.keys, self.logp, self.next = (np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=np.int64))
-        listed = {1: (np.arange(base, dtype=np.int64), counts)}
-        shorter: dict[int, np.ndarray] = {}
-        probability = 10.0**self.root
-        for k in sorted(grams):
-            keys, n = grams[k]
-            own = contexts[k - 2]
-            context_of, word = keys // base, keys % base
-            ctx_keys, ctx_n = listed[k - 1]
-            seen = ctx_n[np.searchsorted(ctx_keys, own)] if len(own) else np.empty(0)
-            at = np.searchsorted(own, context_of)
-            p = (n - discount) / seen[at] if len(keys) else np.empty(0)
-            # What the shorter context gives to the same words.
-            less = keys % base ** (k - 1)
-            below = probability[less] if k == 2 else shorter[k - 1][np.searchsorted(grams[k - 1][0], less)]
-            left = 1 - np.bincount(at, p, minlength=len(own))
-            room = 1 - np.bincount(at, below, minlength=len(own))
-            ids = self.first[k - 2] + np.arange(len(own))
-            self.backoff[ids] = np.log10(np.maximum(left, 1e-12) / np.maximum(room, 1e-12))
-            self.fail[ids] = self.state_of(own % base ** (k - 2), k - 2)
-            shorter[k] = p
-            listed[k] = (keys, n)
-            self.keys = np.concatenate([self.keys, (self.first[k - 2] + at) * base + word])
-            self.logp = np.concatenate([self.logp, np.log10(p)])
-            self.next = np.concatenate([self.next, self.state_of(keys, k)])
-        self.root_next = self.state_of(np.arange(base, dtype=np.int64), 1)
-
-    def state_of(self, keys: np.ndarray, length: int) -> np.ndarray:
-        """State of the longest suffix of each sequence of ``length`` words that is a context."""
-        base = self.size + 1
-        out = np.zeros(len(keys), dtype=np.int64)
-        open_ = np.ones(len(keys), dtype=bool)
-        for k in range(min(length, len(self.contexts)), 0, -1):
-            own = self.contexts[k - 1]
-            if not len(own):
-                continue
-            suffix = keys % base**k
-            at = np.minimum(np.searchsorted(own, suffix), len(own) - 1)
-            hit = open_ & (own[at] == suffix)
-            out[hit] = self.first[k - 1] + at[hit]
-            open_ &= ~hit
-        return out
-
-    def ready(self) -> Automaton:
-        """Plain lists and a dictionary of arcs, built once in a worker."""
-        if not hasattr(self, "arcs"):
-            self.arcs = dict(zip(self.keys.tolist(), range(len(self.keys)), strict=True))
-            self.lists = tuple(x.tolist() for x in (self.logp, self.next, self.fail, self.backoff, self.root, self.root_next))
-        return self
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("arcs", "lists")}
-
-    def score(self, ids: list[int]) -> float:
-        """log10 probability of the listed words of a text. An unlisted word (0) costs the
-        backoff down to the empty context here; its own probability is added by the caller."""
-        logp, following, fail, backoff, root, root_next = self.lists
-        get, base, state, total = self.arcs.get, self.size + 1, 0, 0.0
-        for w in ids:
-            if w:
-                while state:
-                    arc = get(state * base + w)
-                    if arc is not None:
-                        total += logp[arc]
-                        state = following[arc]
-                        break
-                    total += backoff[state]
-                    state = fail[state]
-                else:
-                    total += root[w]
-                    state = root_next[w]
+    def run(batches):
+        for b in batches:
+            for train, sizes, words, seq, n in zip(b.column(0), b.column(1), b.column(2), b.column(3), b.column(4).to_pylist(), strict=True):
+                tokens = words.values.to_numpy().view(np.uint64)[_places(seq.as_py(), n)]
+                keep = np.repeat(train.values.to_numpy(zero_copy_only=False), sizes.values.to_numpy())[: max(n - k + 1, 0)] & inner(tokens, k)
+                keys = gram_keys(tokens, k)
+                if k > 1:
+                    good = passes(keys[k - 2], filter_.value)
+                    keep &= good[:-1] & good[1:]
+                at = np.flatnonzero(keep)
+                key, first, count = np.unique(keys[k - 1][at], return_index=True, return_counts=True)
+                first = at[first]
+                head, tail = (keys[k - 2][first], keys[k - 2][first + 1]) if k > 1 else (key, key)
+                bucket = key.view(np.int64) % buckets
+                order = np.lexsort((tail, head, bucket))
+                columns = [head, tail, count] if k > 1 else [key, count]
+                mine, lists = _dealt(bucket[order], [c[order].view(np.int64) for c in columns])
+                yield pa.RecordBatch.from_arrays([pa.array(mine), *lists], names=["bucket", *names])
+
+    names = ["head", "tail", "n"] if k > 1 else ["head", "n"]
+    sent = chunks.select("train", "sizes", "words", "seq", "tokens").mapInArrow(run, "bucket bigint, " + ", ".join(f"{c} array<bigint>" for c in names))
+
+    def merge(table: pa.Table) -> pa.Table:
+        head, n = _flat(table["head"]).view(np.uint64), _flat(table["n"])
+        tail = _flat(table["tail"]).view(np.uint64) if k > 1 else head
+        key, first, at = np.unique(joined(head, tail) if k > 1 else head, return_index=True, return_inverse=True)
+        sums = np.bincount(at, n, minlength=len(key)).astype(np.int64)
+        keep = sums >= least
+        first = first[keep]
+        return pa.table({"key": key[keep].view(np.int64), "head": head[first].view(np.int64), "tail": tail[first].view(np.int64), "n": sums[keep]})
+
+    return sent.groupBy("bucket").applyInArrow(merge, "key bigint, head bigint, tail bigint, n bigint")
+
+
+def train(chunks: DataFrame, buckets: int, order: int = ORDER, least: int = LEAST) -> tuple[DataFrame, list, int, int]:
+    """(states, filters, N, V) of the training texts of ``chunks``.
+
+    A state or arc is a row (level, key, value, backoff): the count of a word at level 1, the
+    log10 probability of the last word of an n-gram above; ``backoff`` is the weight (log10) of
+    its failure arc where the n-gram is the context of another one, else null. ``filters`` are
+    broadcast bitmaps of the keys of levels 2 to ``order``.
+    """
+    context = chunks.sparkSession.sparkContext
+    level = cut(count_grams(chunks, 1, None, buckets, 1))
+    total, distinct = level.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    denominator = total + SMOOTHING * (distinct + 1)
+    # What is known of the n-grams that are one word shorter.
+    shorter = level.where(F.col("n") >= least).select("key", "n", ((F.col("n") + SMOOTHING) / denominator).alias("p"))
+    values = [level.select("key", F.col("n").cast("double").alias("value"))]
+    backoffs, filters = [], []
+    filter_ = context.broadcast(bitmap(shorter.select("key"), FILTER_BITS))
+    for k in range(2, order + 1):
+        grams = cut(count_grams(chunks, k, filter_, buckets, least))
+        heads = shorter.select(F.col("key").alias("head"), F.col("n").alias("seen"))
+        tails = shorter.select(F.col("key").alias("tail"), F.col("p").alias("less"))
+        joint = cut(grams.join(heads, "head").join(tails, "tail").select("key", "head", "n", ((F.col("n") - DISCOUNT) / F.col("seen")).alias("p"), "less"))
+        left, room = (F.greatest(1 - F.sum(c), F.lit(1e-12)) for c in ("p", "less"))
+        backoffs.append(joint.groupBy(F.col("head").alias("key")).agg(F.log10(left / room).alias("backoff")))
+        values.append(joint.select("key", F.log10("p").alias("value")))
+        shorter = joint.select("key", "n", "p")
+        filter_ = context.broadcast(bitmap(shorter.select("key"), FILTER_BITS))
+        filters.append(filter_)
+    states = None
+    for k, v in enumerate(values, 1):
+        whole = v.join(backoffs[k - 1], "key", "left") if k < order else v.withColumn("backoff", F.lit(None).cast("double"))
+        one = whole.select(F.lit(k).alias("level"), "key", "value", "backoff")
+        states = one if states is None else states.unionAll(one)
+    return states, filters, total, distinct
+
+
+def answers(chunks: DataFrame, states: DataFrame, filters: list, buckets: int) -> DataFrame:
+    """(chunk, level, key, value, backoff), lists: what the states say of the n-grams of each chunk.
+
+    A chunk asks once for each distinct n-gram. Requests and states meet by bucket of keys.
+    """
+
+    def ask(batches):
+        for b in batches:
+            for chunk, words, seq, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3).to_pylist(), strict=True):
+                tokens = words.values.to_numpy().view(np.uint64)[_places(seq.as_py(), n)]
+                for k, keys in enumerate(gram_keys(tokens, len(filters) + 1), 1):
+                    if k > 1:
+                        keys = keys[inner(tokens, k)]
+                        keys = keys[passes(keys, filters[k - 2].value)]
+                    own = np.unique(keys).view(np.int64)
+                    bucket = own % buckets
+                    order = np.argsort(bucket, kind="stable")
+                    mine, (lists,) = _dealt(bucket[order], [own[order]])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), chunk)), pa.array(np.full(len(mine), k, np.int32)), pa.array(mine), lists], names=["chunk", "level", "bucket", "keys"])
+
+    def tell(asked: pa.Table, known: pa.Table) -> pa.Table:
+        own = known["key"].to_numpy()
+        order = np.argsort(own)
+        own, value, backoff = own[order], known["value"].to_numpy()[order], known["backoff"].cast(pa.float64()).to_numpy()[order]
+        keys, sizes = _flat(asked["keys"]), pc.list_value_length(asked["keys"]).to_numpy()
+        at = np.minimum(np.searchsorted(own, keys), max(len(own) - 1, 0))
+        hit = own[at] == keys if len(own) else np.zeros(len(keys), bool)
+        row = np.repeat(np.arange(len(sizes)), sizes)[hit]
+        offsets = np.append(0, np.cumsum(np.bincount(row, minlength=len(sizes))))
+        at = at[hit]
+        return pa.table({"chunk": asked["chunk"], "level": asked["level"], "key": _lists(offsets, keys[hit]), "value": _lists(offsets, value[at]), "backoff": _lists(offsets, backoff[at])})
+
+    requests = chunks.select("chunk", "words", "seq", "tokens").mapInArrow(ask, "chunk bigint, level int, bucket bigint, keys array<bigint>")
+    dealt = states.withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    schema = "chunk bigint, level int, key array<bigint>, value array<double>, backoff array<double>"
+    return requests.groupBy("level", "bucket").cogroup(dealt.groupBy("level", "bucket")).applyInArrow(tell, schema)
+
+
+class Automaton:
+    """The part of the machine that texts over some words can reach.
+
+    Words are places in the sorted array ``words`` of hashes; ``known[k]`` holds the sorted keys,
+    values and backoffs (NaN where no context) of the n-grams of length k that the model has.
+    State 0 is the empty context, which has an arc for each word. ``arcs`` maps state *
+    len(words) + word to an arc, which has a log10 probability and a next state: the longest
+    suffix of what was read that is a context. ``fail`` leads to the next shorter context at
+    the price ``backoff``.
+    """
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], denominator: float):
+        size, order = len(words), max(known)
+        at, hit = self._find(known[1][0], words)
+        self.counts = np.where(hit, known[1][1][at], 0.0) if len(known[1][0]) else np.zeros(size)
+        self.root = np.log10((self.counts + SMOOTHING) / denominator)
+        states, backoffs, fails = 1, [np.zeros(1)], [np.zeros(1, np.int64)]
+        # State of each n-gram of the level below where it is a context itself, else of its longest suffix.
+        below_keys, below_state = np.empty(0, np.uint64), np.empty(0, np.int64)
+        below_proper = np.empty(0, np.int64)
+        arc_keys, arc_logp, arc_next = [], [], []
+        hashes = tokens_keys = words[tokens]
+        for k in range(1, order + 1):
+            if k == 1:
+                keys, first = words, None
+                tail_state = np.zeros(size, np.int64)
+            else:
+                n = len(tokens) - k + 1
+                tokens_keys = joined(tokens_keys[:-1], tokens_keys[1:]) if len(tokens_keys) else tokens_keys
+                place = np.flatnonzero(inner(hashes, k)) if n > 0 else np.empty(0, np.int64)
+                _, hit = self._find(known[k][0], tokens_keys[place])
+                keys, own = np.unique(tokens_keys[place[hit]], return_index=True)
+                first = place[hit][own]
+                head, tail = previous[first], previous[first + 1]
+                tail_state = below_state[self._find(below_keys, tail)[0]] if len(first) else np.empty(0, np.int64)
+            at, hit = self._find(known[k][0], keys)
+            weight = np.where(hit, known[k][2][at], np.nan) if len(known[k][0]) else np.full(len(keys), np.nan)
+            context = ~np.isnan(weight)
+            proper = np.where(context, states + np.cumsum(context) - 1, -1)
+            state = np.where(context, proper, tail_state)
+            states += int(context.sum())
+            backoffs.append(weight[context])
+            fails.append(tail_state[context])
+            if k == 1:
+                self.root_next = state
             else:
-                while state:
-                    total += backoff[state]
-                    state = fail[state]
+                source = below_proper[self._find(below_keys, head)[0]] if len(first) else np.empty(0, np.int64)
+                arc_keys.append(source * size + tokens[first + k - 1])
+                arc_logp.append(known[k][1][at])
+                arc_next.append(state)
+            below_keys, below_state, below_proper, previous = keys, state, proper, tokens_keys
+        self.size = size
+        self.fail, self.backoff = np.concatenate(fails), np.concatenate(backoffs)
+        join = lambda parts: np.concatenate(parts).tolist() if parts else []
+        self.arcs = dict(zip(join(arc_keys), zip(join(arc_logp), join(arc_next), strict=True), strict=True))
+        self.lists = tuple(x.tolist() for x in (self.fail, self.backoff, self.root, self.root_next))
+
+    @staticmethod
+    def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(sorted_keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+        return at, sorted_keys[at] == keys
+
+    def score(self, text: list[int]) -> float:
+        """log10 probability of a text, read once from left to right."""
+        fail, backoff, root, root_next = self.lists
+        get, base, state, total = self.arcs.get, self.size, 0, 0.0
+        for w in text:
+            while state:
+                arc = get(state * base + w)
+                if arc is not None:
+                    total += arc[0]
+                    state = arc[1]
+                    break
+                total += backoff[state]
+                state = fail[state]
+            else:
+                total += root[w]
+                state = root_next[w]
         return total
 
 
-def train(texts: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> tuple[DataFrame, dict[bytes, int], Automaton, int]:
-    """(all word counts, listed words, automaton, N) of a one-column table of texts."""
-    counts = cut(word_counts(texts))
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    listed = counts.where((F.col("n") >= word_share * total) & (F.octet_length("word") > 0)).toArrow()
-    by_count = np.argsort(-listed.column("n").to_numpy(), kind="stable")
-    words, numbers = listed.column("word").take(pa.array(by_count)).to_pylist(), listed.column("n").to_numpy()[by_count]
-    ends = counts.where(F.octet_length("word") == 0).first()
-    vocabulary = {END: 1} | {w: i for i, w in enumerate(words, 2)}
-    by_id = np.concatenate([np.array([0, ends.n if ends else 0], dtype=np.int64), numbers])
-    size = len(vocabulary)
-    # A key holds ``order`` ids; the bound on words keeps it within 63 bits.
-    if (size + 1) ** order >= 2**63:
-        raise ValueError(f"{size} listed words are too many for order {order}: raise word_share")
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
-    grams = frequent_grams(texts, shared, order, size, total, gram_share)
-    return counts, vocabulary, Automaton(by_id, total, distinct, grams), total
-
-
-def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> DataFrame:
+def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER, least: int = LEAST, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Rows where ``train_on`` holds are learned from, all are scored; the others are held_out.
+    N-grams of 2 to ``order`` words are learned if they occur ``least`` times; words always.
     A null text is an empty one, which is one end. Null ids and repeated rows are scored like
     others. If there is nothing to learn from, no word is known and all have probability 1
-    (a score of 0 after log10(0.5 / 0.5)). Other columns are not read.
+    (a score of 0 after log10(0.5 / 0.5)). Other columns are not read. A text is never cut: a
+    chunk is as long as its longest text, which a task holds a few times over.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), F.coalesce(train_on, F.lit(False)).alias("_train"))
-    counts, vocabulary, automaton, total = train(rows.where("_train").select("_text"), order, word_share, gram_share)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, automaton))
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"), F.coalesce(train_on, F.lit(False)).alias("_train"))
+    chunks = cut(sequences(rows, chunk_tokens))
+    tokens = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    buckets = max(1, -(-tokens // BUCKET_TOKENS))
+    states, filters, total, distinct = train(chunks, buckets, order, least)
+    told = answers(chunks, states, filters, buckets)
+    denominator = total + SMOOTHING * (distinct + 1)
     kind = docs.schema[id_col].dataType.simpleString()
-    ends = int(automaton.root.size > 1 and total > 0)
 
-    def heads(batches):
-        words, machine = shared.value
-        machine.ready()
-        root = machine.root
-        for b in batches:
-            sums: list[list] = [[], [], [], []]
-            for t in b.column(3):
-                tokens = words_of(t.as_py())
-                ids = list(map(words.get, tokens, repeat(0)))
-                ids.append(1)
-                known = np.array(ids)
-                known = known[known > 0]
-                for column, x in zip(sums, (len(ids), len(known), float(root[known].sum()), machine.score(ids)), strict=True):
-                    column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(x, k) for x, k in zip(sums, kinds, strict=True))], names=["_id", "_t", "_train", "n_tokens", "n_listed", "base_score", "score"])
-
-    def tails(batches):
-        words = shared.value[0]
-        for b in batches:
-            rows_, found, n = [], [], []
-            for i, t in enumerate(b.column(2)):
-                rare = Counter(w for w in words_of(t.as_py()) if w not in words)
-                rows_ += [i] * len(rare)
-                found += rare.keys()
-                n += rare.values()
-            at = pa.array(rows_, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(found, pa.binary()), pa.array(n, pa.int32())], names=["_id", "_t", "word", "m"])
-
-    keyed = rows.withColumn("_t", F.xxhash64("_text"))
-    head = keyed.select("_id", "_t", "_train", "_text").mapInArrow(heads, f"_id {kind}, _t bigint, _train boolean, n_tokens bigint, n_listed bigint, base_score double, score double")
-    tail = keyed.select("_id", "_t", "_text").mapInArrow(tails, f"_id {kind}, _t bigint, word binary, m int")
-    looked = tail.join(counts, "word", "left")
-    value = F.log10((F.coalesce("n", F.lit(0)) + SMOOTHING) / automaton.denominator)
-    sums = looked.groupBy("_id", "_t").agg(F.sum("m").alias("_m"), F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("_known"), F.sum(value * F.col("m")).alias("_rare"))
-    whole = attach(head, sums, ["_id", "_t"])
-    # Rows that repeat an id and a text share one sum; each takes its own part of it.
-    rare = F.col("n_tokens") - F.col("n_listed")
-    part = F.when(rare > 0, rare / F.col("_m")).otherwise(F.lit(0.0))
-    known = F.when(rare > 0, F.round(F.col("_known") * part)).otherwise(F.lit(0.0)).cast("bigint")
-    added = F.when(rare > 0, F.col("_rare") * part).otherwise(F.lit(0.0))
-    # The end of a text counts as known once something was learned.
-    listed = F.col("n_listed") if ends else F.col("n_listed") - 1
-    return whole.select(
-        F.col("_id").alias(id_col),
-        (~F.col("_train")).alias("held_out"),
-        "n_tokens",
-        (listed + known).alias("n_known"),
-        F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base_score") + added).alias("base_score"),
-        (F.col("score") + added).alias("score"),
-    )
+    def read(own: pa.Table, said: pa.Table) -> pa.Table:
+        levels, parts = said["level"].to_numpy(), []
+        known = {}
+        for k in range(1, order + 1):
+            mine = said.filter(pa.array(levels == k))
+            key = _flat(mine["key"]).view(np.uint64)
+            by = np.argsort(key)
+            known[k] = (key[by], _flat(mine["value"])[by], _flat(mine["backoff"])[by].astype(np.float64))
+        for i in range(own.num_rows):
+            words = own["words"][i].values.to_numpy().view(np.uint64)
+            at = _places(own["seq"][i].as_py(), own["tokens"][i].as_py()).astype(np.int64)
+            machine = Automaton(words, at, known, denominator)
+            sizes = own["sizes"][i].values.to_numpy()
+            starts = np.append(0, np.cumsum(sizes))
+            scores = [machine.score(at[s:e].tolist()) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            seen = np.add.reduceat((machine.counts > 0)[at].astype(np.int64), starts[:-1])
+            base = np.add.reduceat(machine.root[at], starts[:-1])
+            flags = own["train"][i].values.to_numpy(zero_copy_only=False)
+            parts.append(pa.table([own["ids"][i].values, pa.array(~flags), pa.array(sizes), pa.array(seen), pa.array(np.full(len(sizes), total)), pa.array(base), pa.array(scores, pa.float64())], names=names))
+        if not parts:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, (own.schema.field("ids").type.value_type, pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2), strict=True)})
+        return pa.concat_tables(parts)
+
+    names = ["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    schema = f"_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(read, schema).withColumnRenamed("_id", id_col)

@@ -181,16 +181,15 @@ def test_token_counts_edges(spark):
 # 5: scores
 
 
-def brute_score(train, texts, order, word_share, gram_share):
+def brute_score(train, texts, order, least):
     split = lambda t: [*(t or "").encode().lower().split(), b""]
     sequences = [split(t) for t in train]
     uni = Counter(w for s in sequences for w in s)
     n, v = sum(uni.values()), len(uni)
-    listed = {w for w, c in uni.items() if c >= word_share * n} | {b""}
     grams = {1: {(w,): c for w, c in uni.items()}}
     for k in range(2, order + 1):
         own = Counter(tuple(s[i : i + k]) for s in sequences for i in range(len(s) - k + 1))
-        grams[k] = {g: c for g, c in own.items() if c >= max(2, gram_share * n) and all(w in listed for w in g)}
+        grams[k] = {g: c for g, c in own.items() if c >= least}
     following = defaultdict(list)
     for k in range(2, order + 1):
         for g in grams[k]:
@@ -211,26 +210,22 @@ def brute_score(train, texts, order, word_share, gram_share):
 
     out = []
     for t in texts:
-        s, total = split(t), 0.0
-        for i, w in enumerate(s):
-            # A word that isn't listed ends every context.
-            start = i
-            while start > 0 and i - start < order - 1 and s[start - 1] in listed:
-                start -= 1
-            total += math.log10(p(tuple(s[start:i]), w))
+        s = split(t)
+        total = sum(math.log10(p(tuple(s[max(0, i - order + 1) : i]), w)) for i, w in enumerate(s))
         out.append((len(s), sum(uni.get(w, 0) > 0 for w in s), n, sum(math.log10(p((), w)) for w in s), total))
     return out
 
 
-@pytest.mark.parametrize("word_share", [5e-7, 0.002])
-def test_scores_equal_brute_force(spark, docs, word_share):
+@pytest.mark.parametrize(("order", "least", "chunk", "bucket"), [(3, 2, 1 << 21, 1 << 21), (3, 3, 500, 3000), (4, 2, 2000, 3000), (2, 10, 2000, 50_000)])
+def test_scores_equal_brute_force(spark, docs, monkeypatch, order, least, chunk, bucket):
+    monkeypatch.setattr(scoring, "BUCKET_TOKENS", bucket)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").orderBy("doc_id").limit(60).collect()]
-    rows = [(i, t[:3000]) for i, t in rows] + [(1000, None), (1001, "the the The"), (None, "of the unseenword of"), (None, "of the unseenword of")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS n", "2 AS word")
+    rows = [(i, t[:3000]) for i, t in rows] + [(1000, None), (1001, "the the The"), (None, "of the unseenword of"), (None, "of the unseenword of"), (1002, " \x0b\x0c "), (1003, "x" * 5_000_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS n", "2 AS word", "3 AS chunk")
     held = langid.remainder("doc_id", 5) == 1
-    got = scoring.score(df, ~held, word_share=word_share, gram_share=1e-6).collect()
+    got = scoring.score(df, ~held, order=order, least=least, chunk_tokens=chunk).collect()
     flags = {r.doc_id: r.h for r in df.select("doc_id", held.alias("h")).collect()}
-    want = brute_score([t for i, t in rows if not flags[i]], [t for _, t in rows], 3, word_share, 1e-6)
+    want = brute_score([t for i, t in rows if not flags[i]], [t for _, t in rows], order, least)
     by = defaultdict(list)
     for r in got:
         by[(r.doc_id, r.n_tokens)].append(r)
@@ -242,28 +237,44 @@ def test_scores_equal_brute_force(spark, docs, word_share):
 
 
 def test_probabilities_after_a_context_sum_to_one(spark, docs):
-    texts = docs.select("text").limit(30)
-    _, vocabulary, machine, _ = scoring.train(texts)
-    machine.ready()
-    unseen = 0.5 / machine.denominator
-    for state in (0, 1, len(machine.fail) - 1):
+    texts = docs.limit(30).selectExpr("doc_id AS _id", "true AS _train", "encode(text, 'utf-8') AS _text").coalesce(1)
+    chunks = scoring.cut(scoring.sequences(texts))
+    states, _, total, distinct = scoring.train(chunks, 2, 3, 2)
+    found = states.toPandas().sort_values("key")
+    found["key"] = found["key"].to_numpy().view("uint64")
+    known = {k: tuple(g.sort_values("key")[c].to_numpy() for c in ("key", "value", "backoff")) for k, g in found.groupby("level")}
+    row = chunks.first()
+    denominator = total + 0.5 * (distinct + 1)
+    machine = scoring.Automaton(np.array(row.words).view("uint64"), scoring._places(bytes(row.seq), row.tokens).astype(np.int64), known, denominator)
+    fail, backoff, root, _ = machine.lists
+    assert len(fail) > 1000
+    for state in (0, 1, len(fail) // 2, len(fail) - 1):
         total = 0.0
-        for w in [*range(1, machine.size + 1), 0]:
+        for w in [*range(machine.size), None]:
             s, p = state, 0.0
             while True:
-                arc = machine.arcs.get(s * (machine.size + 1) + w) if s and w else None
-                if arc is not None:
-                    p += machine.logp[arc]
+                arc = machine.arcs.get(s * machine.size + w) if s and w is not None else None
+                if arc is not None or not s:
+                    p += arc[0] if arc else math.log10(0.5 / denominator) if w is None else root[w]
                     break
-                if not s:
-                    p += machine.root[w] if w else math.log10(unseen)
-                    break
-                p += machine.backoff[s]
-                s = machine.fail[s]
+                p += backoff[s]
+                s = fail[s]
             total += 10**p
         assert abs(total - 1) < 1e-6
 
 
+def test_an_ngram_is_learned_at_every_size(spark):
+    """What occurs ten times is learned, however much else there is."""
+    seen = [(i, "quite rare phrase") for i in range(scoring.LEAST)]
+    for others in (0, 3000):
+        df = spark.createDataFrame(seen + [(100 + i, f"a{i % 97} b{i} c{i % 31} " * 20) for i in range(others)], "doc_id bigint, text string")
+        states, filters, n, v = scoring.train(scoring.sequences(df.selectExpr("doc_id AS _id", "true AS _train", "encode(text, 'utf-8') AS _text")), 3)
+        words = scoring.hashed([b"quite rare phrase"], scoring.Hasher(scoring.SEED))[0]
+        for k, keys in enumerate(scoring.gram_keys(words, 3)[1:], 2):
+            found = {r.key: r.value for r in states.where(f"level = {k}").collect()}
+            assert all(math.isclose(found[int(x)], math.log10((scoring.LEAST - 0.5) / scoring.LEAST)) for x in keys.view("int64"))
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     r = scoring.score(df, langid.remainder("doc_id", 5) == 9).first()
