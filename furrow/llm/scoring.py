@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +30,11 @@ SMOOTHING = 0.5
 END = np.uint64(1)
 SEED = 5
 # Bytes hashed at once, tokens of a chunk (whole texts), entries a task merges or answers.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 CHUNK_TOKENS = 1 << 21
 BUCKET_TOKENS = 1 << 21
+# Last bits of a key that the search for candidates leaves out.
+SHORT = 24
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -64,7 +65,7 @@ def sequences(rows: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        hasher, pack = Hasher(SEED), zstandard.ZstdCompressor(level=1)
+        hasher = Hasher(SEED)
         task, number = TaskContext.get().partitionId(), 0
         tokens: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -79,8 +80,7 @@ def sequences(rows: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
             size = np.concatenate(sizes)
             learned = int(size[flag.to_numpy(zero_copy_only=False)].sum())
             at = at.astype(np.uint32)
-            # Low and high halves apart: the high ones are nearly constant.
-            seq = pack.compress(at.view(np.uint16).reshape(-1, 2).T.tobytes())
+            seq = pack(at)
             ends = lambda n: pa.array(np.array([0, n], np.int32))
             columns = [pa.array([task << 32 | number]), pa.array([len(at)]), pa.array([learned]), pa.ListArray.from_arrays(ends(len(own)), own), pa.ListArray.from_arrays(ends(len(flag)), flag)]
             columns += [_lists(np.array([0, len(x)]), x) for x in (size.astype(np.int64), words.view(np.int64))]
@@ -113,11 +113,6 @@ def sequences(rows: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     return rows.select("_id", "_train", "_text").mapInArrow(run, schema)
 
 
-def _places(seq: bytes, tokens: int) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(seq), np.uint16)
-    return np.ascontiguousarray(raw.reshape(2, tokens).T).view(np.uint32).ravel()
-
-
 def gram_keys(tokens: np.ndarray, order: int) -> list[np.ndarray]:
     """Keys of the n-grams from each place on, of lengths 1 to ``order``: a key joins those of
     the two parts that are shorter by a word. What runs over the end of a text is included."""
@@ -136,55 +131,105 @@ def inner(tokens: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of keys, which are hashes: sorted keys are in the order of their buckets."""
+    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def pack(x: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers of 8 or 4 bytes, byte planes apart, compressed; of ``rising`` ones the steps."""
+    x = np.diff(x, prepend=x.dtype.type(0)) if rising else np.ascontiguousarray(x)
+    return zstandard.compress(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes(), 1)
+
+
+def unpack(data: bytes, kind=np.uint64, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    x = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if rising else x
+
+
 def _dealt(bucket: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[pa.Array]]:
-    """Entries as one row of lists for each bucket; ``bucket`` is in order."""
+    """Entries as one row of packed columns for each bucket, the first column rising in each;
+    ``bucket`` is in order."""
     first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
-    offsets = np.append(first, len(bucket))
-    return bucket[first], [_lists(offsets, c) for c in columns]
+    cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True)) if len(first) else []
+    return bucket[first], [pa.array([pack(c[s:e], i == 0) for s, e in cuts], pa.binary()) for i, c in enumerate(columns)]
 
 
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
-    return pa.chunked_array([c.flatten() for c in column.chunks], column.type.value_type).to_numpy()
+def _all(column: pa.ChunkedArray, kind=np.uint64, rising: bool = False) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *[unpack(x, kind, rising) for x in column.to_pylist()]])
 
 
-def count_grams(chunks: DataFrame, k: int, filter_, buckets: int, least: int) -> DataFrame:
-    """(key, head, tail, n) of the n-grams of length ``k`` that occur ``least`` times in training
-    texts. ``head`` and ``tail`` are the keys of its parts, which must pass ``filter_``.
+def _tokens(batches):
+    """(tokens of a chunk, whether each is of a training text)."""
+    for b in batches:
+        for train, sizes, words, seq in zip(*b.columns, strict=True):
+            tokens = words.values.to_numpy().view(np.uint64)[unpack(seq.as_py(), np.uint32)]
+            yield tokens, np.repeat(train.values.to_numpy(zero_copy_only=False), sizes.values.to_numpy())
 
-    A chunk sends each of its n-grams once, with its count, so a frequent one is no hot key.
+
+def _learned(batches, k: int, parts, wanted):
+    """(key, head, tail, n) of the n-grams in each chunk's training texts that can be frequent."""
+    for tokens, train in _tokens(batches):
+        keep = train[: max(len(tokens) - k + 1, 0)] & inner(tokens, k)
+        keys = gram_keys(tokens, k)
+        if parts is not None:
+            good = passes(keys[k - 2], parts.value)
+            keep &= good[:-1] & good[1:]
+        if wanted is not None:
+            keep &= passes(keys[k - 1] >> np.uint64(SHORT), wanted.value)
+        at = np.flatnonzero(keep)
+        key, first, count = np.unique(keys[k - 1][at], return_index=True, return_counts=True)
+        first = at[first]
+        yield key, keys[k - 2][first] if k > 1 else key, keys[k - 2][first + 1] if k > 1 else key, count.astype(np.uint64)
+
+
+def candidates(chunks: DataFrame, k: int, parts, buckets: int, least: int) -> DataFrame:
+    """Column ``key``: the first 40 bits of keys of n-grams, of those that occur ``least`` times.
+
+    They travel as steps between sorted numbers, in about three bytes; n-grams that share them
+    count as one here, which lets a few more through.
     """
 
     def run(batches):
-        for b in batches:
-            for train, sizes, words, seq, n in zip(b.column(0), b.column(1), b.column(2), b.column(3), b.column(4).to_pylist(), strict=True):
-                tokens = words.values.to_numpy().view(np.uint64)[_places(seq.as_py(), n)]
-                keep = np.repeat(train.values.to_numpy(zero_copy_only=False), sizes.values.to_numpy())[: max(n - k + 1, 0)] & inner(tokens, k)
-                keys = gram_keys(tokens, k)
-                if k > 1:
-                    good = passes(keys[k - 2], filter_.value)
-                    keep &= good[:-1] & good[1:]
-                at = np.flatnonzero(keep)
-                key, first, count = np.unique(keys[k - 1][at], return_index=True, return_counts=True)
-                first = at[first]
-                head, tail = (keys[k - 2][first], keys[k - 2][first + 1]) if k > 1 else (key, key)
-                bucket = key.view(np.int64) % buckets
-                order = np.lexsort((tail, head, bucket))
-                columns = [head, tail, count] if k > 1 else [key, count]
-                mine, lists = _dealt(bucket[order], [c[order].view(np.int64) for c in columns])
-                yield pa.RecordBatch.from_arrays([pa.array(mine), *lists], names=["bucket", *names])
+        for key, _, _, n in _learned(batches, k, parts, None):
+            mine, columns = _dealt(_bucket(key, buckets), [key >> np.uint64(SHORT), n])
+            yield pa.RecordBatch.from_arrays([pa.array(mine), *columns], names=["bucket", "key", "n"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        key, at = np.unique(_all(table["key"], rising=True), return_inverse=True)
+        return pa.table({"key": key[np.bincount(at, _all(table["n"]), minlength=len(key)) >= least].view(np.int64)})
+
+    sent = chunks.select("train", "sizes", "words", "seq").mapInArrow(run, "bucket bigint, key binary, n binary")
+    return sent.groupBy("bucket").applyInArrow(merge, "key bigint")
 
+
+def count_grams(chunks: DataFrame, k: int, parts, buckets: int, least: int) -> DataFrame:
+    """(key, head, tail, n) of the n-grams of length ``k`` that occur ``least`` times in training
+    texts. ``head`` and ``tail`` are the keys of its parts, which must pass the filter ``parts``.
+
+    A chunk sends each of its n-grams once, with its count, so a frequent one is no hot key.
+    """
+    wanted = chunks.sparkSession.sparkContext.broadcast(bitmap(candidates(chunks, k, parts, buckets, least), FILTER_BITS)) if k > 1 else None
     names = ["head", "tail", "n"] if k > 1 else ["head", "n"]
-    sent = chunks.select("train", "sizes", "words", "seq", "tokens").mapInArrow(run, "bucket bigint, " + ", ".join(f"{c} array<bigint>" for c in names))
+
+    def run(batches):
+        for key, head, tail, n in _learned(batches, k, parts, wanted):
+            bucket = _bucket(key, buckets)
+            order = np.lexsort((tail, head, bucket)) if k > 1 else slice(None)
+            mine, columns = _dealt(bucket[order], [c[order] for c in ([head, tail, n] if k > 1 else [key, n])])
+            yield pa.RecordBatch.from_arrays([pa.array(mine), *columns], names=["bucket", *names])
 
     def merge(table: pa.Table) -> pa.Table:
-        head, n = _flat(table["head"]).view(np.uint64), _flat(table["n"])
-        tail = _flat(table["tail"]).view(np.uint64) if k > 1 else head
+        head, n = _all(table["head"], rising=True), _all(table["n"])
+        tail = _all(table["tail"]) if k > 1 else head
         key, first, at = np.unique(joined(head, tail) if k > 1 else head, return_index=True, return_inverse=True)
         sums = np.bincount(at, n, minlength=len(key)).astype(np.int64)
         keep = sums >= least
         first = first[keep]
         return pa.table({"key": key[keep].view(np.int64), "head": head[first].view(np.int64), "tail": tail[first].view(np.int64), "n": sums[keep]})
 
+    sent = chunks.select("train", "sizes", "words", "seq").mapInArrow(run, "bucket bigint, " + ", ".join(f"{c} binary" for c in names))
     return sent.groupBy("bucket").applyInArrow(merge, "key bigint, head bigint, tail bigint, n bigint")
 
 
@@ -224,44 +269,79 @@ def train(chunks: DataFrame, buckets: int, order: int = ORDER, least: int = LEAS
     return states, filters, total, distinct
 
 
+def find(own: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted array ``own``, whether it is there) of each key."""
+    if not len(own):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+    return at, own[at] == keys
+
+
 def answers(chunks: DataFrame, states: DataFrame, filters: list, buckets: int) -> DataFrame:
-    """(chunk, level, key, value, backoff), lists: what the states say of the n-grams of each chunk.
+    """(chunk, level, bucket, hit, value, backoff): what the states say of the n-grams of each chunk.
 
-    A chunk asks once for each distinct n-gram. Requests and states meet by bucket of keys.
+    A chunk asks once for each distinct n-gram, in order of keys; a packed answer tells for
+    each whether it is known and, of those that are, the numbers. Requests and states meet by
+    ranges of keys. Numbers of n-grams travel in 4 bytes; counts of words are exact.
     """
 
     def ask(batches):
         for b in batches:
-            for chunk, words, seq, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3).to_pylist(), strict=True):
-                tokens = words.values.to_numpy().view(np.uint64)[_places(seq.as_py(), n)]
-                for k, keys in enumerate(gram_keys(tokens, len(filters) + 1), 1):
-                    if k > 1:
-                        keys = keys[inner(tokens, k)]
-                        keys = keys[passes(keys, filters[k - 2].value)]
-                    own = np.unique(keys).view(np.int64)
-                    bucket = own % buckets
-                    order = np.argsort(bucket, kind="stable")
-                    mine, (lists,) = _dealt(bucket[order], [own[order]])
+            for chunk, words, seq in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                tokens = words.values.to_numpy().view(np.uint64)[unpack(seq.as_py(), np.uint32)]
+                for k, own in enumerate(asked_keys(tokens, [f.value for f in filters]), 1):
+                    mine, (lists,) = _dealt(_bucket(own, buckets), [own])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), chunk)), pa.array(np.full(len(mine), k, np.int32)), pa.array(mine), lists], names=["chunk", "level", "bucket", "keys"])
 
     def tell(asked: pa.Table, known: pa.Table) -> pa.Table:
-        own = known["key"].to_numpy()
+        own = known["key"].to_numpy().view(np.uint64)
         order = np.argsort(own)
-        own, value, backoff = own[order], known["value"].to_numpy()[order], known["backoff"].cast(pa.float64()).to_numpy()[order]
-        keys, sizes = _flat(asked["keys"]), pc.list_value_length(asked["keys"]).to_numpy()
-        at = np.minimum(np.searchsorted(own, keys), max(len(own) - 1, 0))
-        hit = own[at] == keys if len(own) else np.zeros(len(keys), bool)
-        row = np.repeat(np.arange(len(sizes)), sizes)[hit]
-        offsets = np.append(0, np.cumsum(np.bincount(row, minlength=len(sizes))))
-        at = at[hit]
-        return pa.table({"chunk": asked["chunk"], "level": asked["level"], "key": _lists(offsets, keys[hit]), "value": _lists(offsets, value[at]), "backoff": _lists(offsets, backoff[at])})
-
-    requests = chunks.select("chunk", "words", "seq", "tokens").mapInArrow(ask, "chunk bigint, level int, bucket bigint, keys array<bigint>")
-    dealt = states.withColumn("bucket", F.pmod("key", F.lit(buckets)))
-    schema = "chunk bigint, level int, key array<bigint>, value array<double>, backoff array<double>"
+        own, value, backoff = own[order], known["value"].to_numpy()[order], known["backoff"].to_numpy()[order].astype(np.float32)
+        hits, values, backoffs = [], [], []
+        for level, data in zip(asked["level"].to_pylist(), asked["keys"].to_pylist(), strict=True):
+            at, hit = find(own, unpack(data, rising=True))
+            hits.append(zstandard.compress(np.packbits(hit).tobytes(), 1))
+            values.append(pack(value[at[hit]].astype(np.float32 if level > 1 else np.float64)))
+            backoffs.append(pack(backoff[at[hit]]))
+        return pa.table({"chunk": asked["chunk"], "level": asked["level"], "bucket": asked["bucket"], "hit": hits, "value": values, "backoff": backoffs}, schema=told)
+
+    told = pa.schema([("chunk", pa.int64()), ("level", pa.int32()), ("bucket", pa.int64()), ("hit", pa.binary()), ("value", pa.binary()), ("backoff", pa.binary())])
+    requests = chunks.select("chunk", "words", "seq").mapInArrow(ask, "chunk bigint, level int, bucket bigint, keys binary")
+    dealt = states.withColumn("bucket", F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(buckets).cast("bigint"), 32))
+    schema = "chunk bigint, level int, bucket bigint, hit binary, value binary, backoff binary"
     return requests.groupBy("level", "bucket").cogroup(dealt.groupBy("level", "bucket")).applyInArrow(tell, schema)
 
 
+def asked_keys(tokens: np.ndarray, filters: list[np.ndarray]) -> list[np.ndarray]:
+    """The distinct n-grams of a chunk that can be known, by length."""
+    out = []
+    for k, keys in enumerate(gram_keys(tokens, len(filters) + 1), 1):
+        if k > 1:
+            keys = keys[inner(tokens, k)]
+            keys = keys[passes(keys, filters[k - 2])]
+        out.append(np.unique(keys))
+    return out
+
+
+def known_of(asked: list[np.ndarray], said: pa.Table, buckets: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """{length: (keys, values, backoffs)} from a chunk's requests and the answers to them."""
+    levels, numbers = said["level"].to_numpy(), said["bucket"].to_numpy()
+    out = {}
+    for k, keys in enumerate(asked, 1):
+        bucket = _bucket(keys, buckets)
+        mine = np.flatnonzero(levels == k)
+        mine = mine[np.argsort(numbers[mine])]
+        parts: list[list[np.ndarray]] = [[keys[:0]], [np.empty(0)], [np.empty(0)]]
+        for i in mine.tolist():
+            start, end = np.searchsorted(bucket, [numbers[i], numbers[i] + 1])
+            hit = np.unpackbits(np.frombuffer(zstandard.decompress(said["hit"][i].as_py()), np.uint8), count=end - start).astype(bool)
+            parts[0].append(keys[start:end][hit])
+            parts[1].append(unpack(said["value"][i].as_py(), np.float32 if k > 1 else np.float64))
+            parts[2].append(unpack(said["backoff"][i].as_py(), np.float32))
+        out[k] = tuple(np.concatenate(p) for p in parts)
+    return out
+
+
 class Automaton:
     """The part of the machine that texts over some words can reach.
 
@@ -275,7 +355,7 @@ class Automaton:
 
     def __init__(self, words: np.ndarray, tokens: np.ndarray, known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], denominator: float):
         size, order = len(words), max(known)
-        at, hit = self._find(known[1][0], words)
+        at, hit = find(known[1][0], words)
         self.counts = np.where(hit, known[1][1][at], 0.0) if len(known[1][0]) else np.zeros(size)
         self.root = np.log10((self.counts + SMOOTHING) / denominator)
         states, backoffs, fails = 1, [np.zeros(1)], [np.zeros(1, np.int64)]
@@ -292,12 +372,12 @@ class Automaton:
                 n = len(tokens) - k + 1
                 tokens_keys = joined(tokens_keys[:-1], tokens_keys[1:]) if len(tokens_keys) else tokens_keys
                 place = np.flatnonzero(inner(hashes, k)) if n > 0 else np.empty(0, np.int64)
-                _, hit = self._find(known[k][0], tokens_keys[place])
+                _, hit = find(known[k][0], tokens_keys[place])
                 keys, own = np.unique(tokens_keys[place[hit]], return_index=True)
                 first = place[hit][own]
                 head, tail = previous[first], previous[first + 1]
-                tail_state = below_state[self._find(below_keys, tail)[0]] if len(first) else np.empty(0, np.int64)
-            at, hit = self._find(known[k][0], keys)
+                tail_state = below_state[find(below_keys, tail)[0]] if len(first) else np.empty(0, np.int64)
+            at, hit = find(known[k][0], keys)
             weight = np.where(hit, known[k][2][at], np.nan) if len(known[k][0]) else np.full(len(keys), np.nan)
             context = ~np.isnan(weight)
             proper = np.where(context, states + np.cumsum(context) - 1, -1)
@@ -308,7 +388,7 @@ class Automaton:
             if k == 1:
                 self.root_next = state
             else:
-                source = below_proper[self._find(below_keys, head)[0]] if len(first) else np.empty(0, np.int64)
+                source = below_proper[find(below_keys, head)[0]] if len(first) else np.empty(0, np.int64)
                 arc_keys.append(source * size + tokens[first + k - 1])
                 arc_logp.append(known[k][1][at])
                 arc_next.append(state)
@@ -319,13 +399,6 @@ class Automaton:
         self.arcs = dict(zip(join(arc_keys), zip(join(arc_logp), join(arc_next), strict=True), strict=True))
         self.lists = tuple(x.tolist() for x in (self.fail, self.backoff, self.root, self.root_next))
 
-    @staticmethod
-    def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(sorted_keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-        return at, sorted_keys[at] == keys
-
     def score(self, text: list[int]) -> float:
         """log10 probability of a text, read once from left to right."""
         fail, backoff, root, root_next = self.lists
@@ -365,16 +438,11 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def read(own: pa.Table, said: pa.Table) -> pa.Table:
-        levels, parts = said["level"].to_numpy(), []
-        known = {}
-        for k in range(1, order + 1):
-            mine = said.filter(pa.array(levels == k))
-            key = _flat(mine["key"]).view(np.uint64)
-            by = np.argsort(key)
-            known[k] = (key[by], _flat(mine["value"])[by], _flat(mine["backoff"])[by].astype(np.float64))
+        parts = []
         for i in range(own.num_rows):
             words = own["words"][i].values.to_numpy().view(np.uint64)
-            at = _places(own["seq"][i].as_py(), own["tokens"][i].as_py()).astype(np.int64)
+            at = unpack(own["seq"][i].as_py(), np.uint32).astype(np.int64)
+            known = known_of(asked_keys(words[at], [f.value for f in filters]), said, buckets)
             machine = Automaton(words, at, known, denominator)
             sizes = own["sizes"][i].values.to_numpy()
             starts = np.append(0, np.cumsum(sizes))
