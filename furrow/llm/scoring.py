@@ -32,6 +32,8 @@ SEED = 5
 # Bytes hashed at once, tokens of a chunk (whole texts), entries a task merges or answers.
 BLOCK_BYTES = 1 << 21
 CHUNK_TOKENS = 1 << 21
+# Tokens whose automaton is compiled at once.
+MACHINE_TOKENS = 1 << 18
 BUCKET_TOKENS = 1 << 21
 # Last bits of a key that the search for candidates leaves out.
 SHORT = 24
@@ -53,10 +55,6 @@ def hashed(texts: list[bytes], hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
     return out, np.bincount(text, minlength=len(texts)) + 1
 
 
-def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
-
-
 def sequences(rows: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """Chunks of whole texts of a table (_id, _train, _text): ids, flags and sizes of the texts,
     the distinct word hashes and, compressed, the place of each token's word among them."""
@@ -83,7 +81,7 @@ def sequences(rows: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
             seq = pack(at)
             ends = lambda n: pa.array(np.array([0, n], np.int32))
             columns = [pa.array([task << 32 | number]), pa.array([len(at)]), pa.array([learned]), pa.ListArray.from_arrays(ends(len(own)), own), pa.ListArray.from_arrays(ends(len(flag)), flag)]
-            columns += [_lists(np.array([0, len(x)]), x) for x in (size.astype(np.int64), words.view(np.int64))]
+            columns += [pa.ListArray.from_arrays(ends(len(size)), pa.array(size.astype(np.int64))), pa.array([pack(words, True)], pa.binary())]
             for x in (tokens, sizes, ids, flags):
                 x.clear()
             return pa.RecordBatch.from_arrays([*columns, pa.array([seq], pa.binary())], names=["chunk", "tokens", "learned", "ids", "train", "sizes", "words", "seq"])
@@ -109,7 +107,7 @@ def sequences(rows: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
         if tokens:
             yield chunk()
 
-    schema = f"chunk bigint, tokens bigint, learned bigint, ids array<{kind}>, train array<boolean>, sizes array<bigint>, words array<bigint>, seq binary"
+    schema = f"chunk bigint, tokens bigint, learned bigint, ids array<{kind}>, train array<boolean>, sizes array<bigint>, words binary, seq binary"
     return rows.select("_id", "_train", "_text").mapInArrow(run, schema)
 
 
@@ -164,7 +162,7 @@ def _tokens(batches):
     """(tokens of a chunk, whether each is of a training text)."""
     for b in batches:
         for train, sizes, words, seq in zip(*b.columns, strict=True):
-            tokens = words.values.to_numpy().view(np.uint64)[unpack(seq.as_py(), np.uint32)]
+            tokens = unpack(words.as_py(), rising=True)[unpack(seq.as_py(), np.uint32)]
             yield tokens, np.repeat(train.values.to_numpy(zero_copy_only=False), sizes.values.to_numpy())
 
 
@@ -242,7 +240,7 @@ def train(chunks: DataFrame, buckets: int, order: int = ORDER, least: int = LEAS
     broadcast bitmaps of the keys of levels 2 to ``order``.
     """
     context = chunks.sparkSession.sparkContext
-    level = cut(count_grams(chunks, 1, None, buckets, 1))
+    level = cut(count_grams(chunks, 1, None, buckets, 1).select("key", "n"))
     total, distinct = level.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     denominator = total + SMOOTHING * (distinct + 1)
     # What is known of the n-grams that are one word shorter.
@@ -251,7 +249,7 @@ def train(chunks: DataFrame, buckets: int, order: int = ORDER, least: int = LEAS
     backoffs, filters = [], []
     filter_ = context.broadcast(bitmap(shorter.select("key"), FILTER_BITS))
     for k in range(2, order + 1):
-        grams = cut(count_grams(chunks, k, filter_, buckets, least))
+        grams = count_grams(chunks, k, filter_, buckets, least)
         heads = shorter.select(F.col("key").alias("head"), F.col("n").alias("seen"))
         tails = shorter.select(F.col("key").alias("tail"), F.col("p").alias("less"))
         joint = cut(grams.join(heads, "head").join(tails, "tail").select("key", "head", "n", ((F.col("n") - DISCOUNT) / F.col("seen")).alias("p"), "less"))
@@ -288,7 +286,7 @@ def answers(chunks: DataFrame, states: DataFrame, filters: list, buckets: int) -
     def ask(batches):
         for b in batches:
             for chunk, words, seq in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                tokens = words.values.to_numpy().view(np.uint64)[unpack(seq.as_py(), np.uint32)]
+                tokens = unpack(words.as_py(), rising=True)[unpack(seq.as_py(), np.uint32)]
                 for k, own in enumerate(asked_keys(tokens, [f.value for f in filters]), 1):
                     mine, (lists,) = _dealt(_bucket(own, buckets), [own])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), chunk)), pa.array(np.full(len(mine), k, np.int32)), pa.array(mine), lists], names=["chunk", "level", "bucket", "keys"])
@@ -440,13 +438,18 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text: str =
     def read(own: pa.Table, said: pa.Table) -> pa.Table:
         parts = []
         for i in range(own.num_rows):
-            words = own["words"][i].values.to_numpy().view(np.uint64)
+            words = unpack(own["words"][i].as_py(), rising=True)
             at = unpack(own["seq"][i].as_py(), np.uint32).astype(np.int64)
             known = known_of(asked_keys(words[at], [f.value for f in filters]), said, buckets)
-            machine = Automaton(words, at, known, denominator)
             sizes = own["sizes"][i].values.to_numpy()
             starts = np.append(0, np.cumsum(sizes))
-            scores = [machine.score(at[s:e].tolist()) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            scores, first = [], 0
+            while first < len(sizes):
+                # One machine for the texts of some tokens at a time.
+                last = max(first + 1, int(np.searchsorted(starts, starts[first] + MACHINE_TOKENS, side="right")) - 1)
+                machine = Automaton(words, at[starts[first] : starts[last]], known, denominator)
+                scores += [machine.score(at[s:e].tolist()) for s, e in zip(starts[first:last].tolist(), starts[first + 1 : last + 1].tolist(), strict=True)]
+                first = last
             seen = np.add.reduceat((machine.counts > 0)[at].astype(np.int64), starts[:-1])
             base = np.add.reduceat(machine.root[at], starts[:-1])
             flags = own["train"][i].values.to_numpy(zero_copy_only=False)

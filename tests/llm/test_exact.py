@@ -245,7 +245,7 @@ def test_probabilities_after_a_context_sum_to_one(spark, docs):
     known = {k: tuple(g.sort_values("key")[c].to_numpy() for c in ("key", "value", "backoff")) for k, g in found.groupby("level")}
     row = chunks.first()
     denominator = total + 0.5 * (distinct + 1)
-    machine = scoring.Automaton(np.array(row.words).view("uint64"), scoring.unpack(bytes(row.seq), np.uint32).astype(np.int64), known, denominator)
+    machine = scoring.Automaton(scoring.unpack(bytes(row.words), rising=True), scoring.unpack(bytes(row.seq), np.uint32).astype(np.int64), known, denominator)
     fail, backoff, root, _ = machine.lists
     assert len(fail) > 200
     for state in (0, 1, len(fail) // 2, len(fail) - 1):
