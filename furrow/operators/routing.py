@@ -47,26 +47,32 @@ def pair_values(df: DataFrame, features: Sequence[str], anchors: Sequence[str],
     """(key, anchor, variable, value, side, w): value counts of both sides of every pair.
 
     Values are counted per variety before they meet: a variety's counts go to the anchors,
-    an anchor's counts to the varieties, so no row pairs are formed.
+    an anchor's counts to the varieties, so no row pairs are formed. The counts are written
+    once, so ``df`` is read once.
     """
-    counts = melt(df, [key], features).groupBy(key, "variable", "value").agg(F.count(F.lit(1)).alias("w"))
+    every = cut(melt(df, [key], features, drop_null=False).groupBy(key, "variable", "value").agg(F.count(F.lit(1)).alias("w")))
+    counts = every.where(F.col("value").isNotNull() & ~F.isnan("value"))
     names = F.array(*[F.lit(a) for a in anchors])
     own = counts.where(~F.col(key).isin(list(anchors))).withColumn("anchor", F.explode(names)).withColumn("side", F.lit("a"))
-    pairs = pairwise_groups(df, anchors, key)
+    pairs = pairwise_groups(every, anchors, key)
     donor = counts.where(F.col(key).isin(list(anchors))).withColumnRenamed(key, "anchor")
     donor = pairs.join(donor, "anchor").withColumn("side", F.lit("b"))
     cols = [key, "anchor", "variable", "value", "side", "w"]
     return own.select(*cols).unionByName(donor.select(*cols))
 
 
-def pair_distances(df: DataFrame, features: Sequence[str], anchors: Sequence[str], key: str = VARIETY) -> DataFrame:
-    """Per pair: mean W1, max and mean |Cliff's delta|."""
+def pair_counts(df: DataFrame, features: Sequence[str], anchors: Sequence[str], key: str = VARIETY) -> DataFrame:
+    """Running counts of both sides of every pair, which all statistics of the pairs read."""
     values = pair_values(df, features, anchors, key)
+    return cut(two_sample(values, [key, "anchor", "variable"], "value", "side", "w"))
+
+
+def pair_distances(df: DataFrame, features: Sequence[str], anchors: Sequence[str], key: str = VARIETY, cum: DataFrame | None = None) -> DataFrame:
+    """Per pair: mean W1, max and mean |Cliff's delta|."""
     keys = [key, "anchor", "variable"]
-    # Both statistics read the same running counts.
-    cum = cut(two_sample(values, keys, "value", "side", "w"))
-    w1 = wasserstein(values, keys, "value", "side", cum=cum).where((F.col("n_a") > 0) & (F.col("n_b") > 0))
-    delta = mann_whitney(values, keys, "value", "side", cum=cum).select(*keys, "delta")
+    cum = pair_counts(df, features, anchors, key) if cum is None else cum
+    w1 = wasserstein(cum, keys, "value", "side", cum=cum).where((F.col("n_a") > 0) & (F.col("n_b") > 0))
+    delta = mann_whitney(cum, keys, "value", "side", cum=cum).select(*keys, "delta")
     return attach(w1, delta, keys).groupBy(key, "anchor").agg(
         F.avg("w1").alias("w1"), F.max(F.abs("delta")).alias("max_cliff"), F.avg(F.abs("delta")).alias("mean_cliff")
     )
@@ -83,9 +89,9 @@ def assign_to_anchor(distances: DataFrame, by: str = "effect", key: str = VARIET
     )
 
 
-def mann_whitney_pairs(df: DataFrame, features: Sequence[str], anchors: Sequence[str], key: str = VARIETY) -> DataFrame:
-    values = cut(pair_values(df, features, anchors, key))
-    return mann_whitney(values, [key, "anchor", "variable"], "value", "side", weight="w")
+def mann_whitney_pairs(df: DataFrame, features: Sequence[str], anchors: Sequence[str], key: str = VARIETY, cum: DataFrame | None = None) -> DataFrame:
+    cum = pair_counts(df, features, anchors, key) if cum is None else cum
+    return mann_whitney(cum, [key, "anchor", "variable"], "value", "side", cum=cum)
 
 
 def validate_mann_whitney(tests: DataFrame, assigned: DataFrame, key: str = VARIETY, alpha: float = 0.05) -> DataFrame:
