@@ -55,6 +55,11 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], col: str, side: str, least:
         F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("a") * rank).alias("_r"),
         F.sum(t.cast("double") * t * t - t).alias("_ties"),
     )
+    return mann_whitney_of(out, keys, least)
+
+
+def mann_whitney_of(out: DataFrame, keys: Sequence[str], least: int = 3) -> DataFrame:
+    """The test from sizes, the rank sum ``_r`` of side a and the tie sum ``_ties``."""
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     n = na + nb
     u = F.col("_r") - na * (na + 1) / 2.0

@@ -18,7 +18,7 @@ from furrow.functions.scalar import hash_bucket, replicate_weights
 from furrow.functions.stats import binomial_tail, melt
 from furrow.operators.groups import attach, quantiles
 from furrow.operators.ordered import sliced
-from furrow.operators.ranks import holm, mann_whitney, two_sample, wasserstein
+from furrow.operators.ranks import holm, mann_whitney_of
 from furrow.session import cut
 
 EFFECT_SMALL, EFFECT_MEDIUM, MIN_VALIDATE = 0.33, 0.474, 20
@@ -43,37 +43,82 @@ def pairwise_groups(df: DataFrame, anchors: Sequence[str], key: str = VARIETY) -
     return df.select(key).where(~F.col(key).isin(list(anchors)) & F.col(key).isNotNull()).distinct().withColumn("anchor", F.explode(names))
 
 
-def pair_values(df: DataFrame, features: Sequence[str], anchors: Sequence[str], key: str = VARIETY) -> DataFrame:
-    """(key, anchor, variable, value, side, w): value counts of both sides of every pair.
+def pair_sums(df: DataFrame, features: Sequence[str], anchors: Sequence[str], key: str = VARIETY) -> DataFrame:
+    """(key, anchor, variable, n_a, n_b, w1, _r, _ties): what every statistic of a pair is made of.
 
-    Values are counted per variety before they meet: a variety's counts go to the anchors,
-    an anchor's counts to the varieties, so no row pairs are formed. The counts are written
-    once, so ``df`` is read once.
+    Values are counted per variety, which reads ``df`` once, and lie in order on one axis a
+    feature, cut into slices. What each variety has before a slice comes from the slices'
+    totals, so a slice is walked by itself for all pairs: a variety's counts are neither copied
+    to the anchors nor an anchor's to the varieties. Nulls and NaN are left out.
     """
-    every = cut(melt(df, [key], features, drop_null=False).groupBy(key, "variable", "value").agg(F.count(F.lit(1)).alias("w")))
+    anchors = list(anchors)
+    every = cut(melt(df, [key], features, drop_null=False).groupBy(key, "variable", "value").agg(F.count(F.lit(1)).alias("w")).where(F.col(key).isNotNull()))
     counts = every.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    names = F.array(*[F.lit(a) for a in anchors])
-    own = counts.where(~F.col(key).isin(list(anchors))).withColumn("anchor", F.explode(names)).withColumn("side", F.lit("a"))
-    pairs = pairwise_groups(every, anchors, key)
-    donor = counts.where(F.col(key).isin(list(anchors))).withColumnRenamed(key, "anchor")
-    donor = pairs.join(donor, "anchor").withColumn("side", F.lit("b"))
-    cols = [key, "anchor", "variable", "value", "side", "w"]
-    return own.select(*cols).unionByName(donor.select(*cols))
-
-
-def pair_counts(df: DataFrame, features: Sequence[str], anchors: Sequence[str], key: str = VARIETY) -> DataFrame:
-    """Running counts of both sides of every pair, which all statistics of the pairs read."""
-    values = pair_values(df, features, anchors, key)
-    return cut(two_sample(values, [key, "anchor", "variable"], "value", "side", "w"))
-
-
-def pair_distances(df: DataFrame, features: Sequence[str], anchors: Sequence[str], key: str = VARIETY, cum: DataFrame | None = None) -> DataFrame:
+    # Equal values of all varieties are in one slice.
+    parts = sliced(counts, ["variable"], [F.col("value")])
+    kind = every.schema[key].dataType.simpleString()
+    totals = cut(parts.groupBy("variable", "_slice", key).agg(F.sum("w").alias("_w"), F.min("value").alias("_first")))
+    # A row a slice and variety from here on, whether or not it has values there.
+    edges = totals.groupBy("variable", "_slice").agg(F.min("_first").alias("_first"))
+    edges = edges.withColumn("_end", F.lead("_first").over(Window.partitionBy("variable").orderBy("_slice")))
+    full = attach(edges.join(every.select("variable", key).distinct(), "variable"), totals.select("variable", "_slice", key, "_w"), ["variable", "_slice", key])
+    whole = Window.partitionBy("variable", key)
+    before = F.coalesce(F.sum("_w").over(whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marks = full.select("variable", "_slice", "_first", "_end", key, before.alias("_before"), F.coalesce(F.sum("_w").over(whole), F.lit(0)).alias("_total"))
+
+    def walk(data: pa.Table, mark: pa.Table) -> pa.Table:
+        schema = pa.schema([(key, mark.schema.field(key).type), ("anchor", pa.string()), ("variable", pa.string()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("_part", pa.float64()), ("_r", pa.float64()), ("_ties", pa.float64())])
+        names = mark[key].to_pylist()
+        base, total = ({n: int(v) for n, v in zip(names, mark[c].to_pylist(), strict=True)} for c in ("_before", "_total"))
+        first, end = mark["_first"][0].as_py(), mark["_end"][0].as_py()
+        coded = data[key].combine_chunks().dictionary_encode()
+        code, x, w = coded.indices.to_numpy(), data["value"].to_numpy(), data["w"].to_numpy()
+        order = np.lexsort((x, code))
+        x, w = x[order], w[order]
+        bounds = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
+        span = {n: slice(bounds[i], bounds[i + 1]) for i, n in enumerate(coded.dictionary.to_pylist())}
+        none = slice(0, 0)
+        donors = np.unique(np.concatenate([x[span.get(a, none)] for a in anchors]))
+        cube = lambda t: t * t * t - t
+        side = []  # of each anchor: its values, running counts from before the slice, ties by itself
+        for a in anchors:
+            wa = w[span.get(a, none)]
+            side.append((x[span.get(a, none)], np.append(0, np.cumsum(wa)) + base.get(a, 0), wa, cube(wa.astype(float)).sum()))
+        out = []
+        for n in names:
+            if n in anchors:
+                continue
+            xs, ws = x[span.get(n, none)], w[span.get(n, none)]
+            run = np.append(0, np.cumsum(ws)) + base[n]
+            axis = np.union1d(np.union1d(xs, donors), [first])
+            step = np.diff(axis, append=axis[-1] if end is None else end)
+            mine = run[np.searchsorted(xs, axis, "right")]
+            for a, (xa, runs, wa, alone) in zip(anchors, side, strict=True):
+                n_a, n_b = total[n], total.get(a, 0)
+                if not (n_a or n_b):
+                    continue
+                area = float(np.abs(mine / n_a - runs[np.searchsorted(xa, axis, "right")] / n_b) @ step) if n_a and n_b else 0.0
+                low, high = np.searchsorted(xa, xs, "left"), np.searchsorted(xa, xs, "right")
+                same = np.where(high > low, wa[np.minimum(low, len(wa) - 1)], 0) if len(wa) else np.zeros(len(xs), np.int64)
+                t = (ws + same).astype(float)
+                ranks = run[1:] + runs[high] - (t - 1) / 2.0
+                out.append((n, a, n_a, n_b, area, float(ws @ ranks), float(cube(t).sum() - cube(same.astype(float)).sum() + alone)))
+        if not out:
+            return schema.empty_table()
+        cols = list(zip(*out, strict=True))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((*cols[:2], [mark["variable"][0].as_py()] * len(out), *cols[2:]), schema, strict=True)], schema=schema)
+
+    schema = f"`{key}` {kind}, anchor string, variable string, n_a bigint, n_b bigint, _part double, _r double, _ties double"
+    walked = parts.groupBy("variable", "_slice").cogroup(marks.groupBy("variable", "_slice")).applyInArrow(walk, schema)
+    return cut(walked.groupBy(key, "anchor", "variable").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("_part").alias("w1"), F.sum("_r").alias("_r"), F.sum("_ties").alias("_ties")))
+
+
+def pair_distances(df: DataFrame, features: Sequence[str], anchors: Sequence[str], key: str = VARIETY, sums: DataFrame | None = None) -> DataFrame:
     """Per pair: mean W1, max and mean |Cliff's delta|."""
     keys = [key, "anchor", "variable"]
-    cum = pair_counts(df, features, anchors, key) if cum is None else cum
-    w1 = wasserstein(cum, keys, "value", "side", cum=cum).where((F.col("n_a") > 0) & (F.col("n_b") > 0))
-    delta = mann_whitney(cum, keys, "value", "side", cum=cum).select(*keys, "delta")
-    return attach(w1, delta, keys).groupBy(key, "anchor").agg(
+    sums = pair_sums(df, features, anchors, key) if sums is None else sums
+    delta = mann_whitney_of(sums, keys).select(*keys, "delta")
+    return attach(sums.where((F.col("n_a") > 0) & (F.col("n_b") > 0)), delta, keys).groupBy(key, "anchor").agg(
         F.avg("w1").alias("w1"), F.max(F.abs("delta")).alias("max_cliff"), F.avg(F.abs("delta")).alias("mean_cliff")
     )
 
@@ -89,9 +134,9 @@ def assign_to_anchor(distances: DataFrame, by: str = "effect", key: str = VARIET
     )
 
 
-def mann_whitney_pairs(df: DataFrame, features: Sequence[str], anchors: Sequence[str], key: str = VARIETY, cum: DataFrame | None = None) -> DataFrame:
-    cum = pair_counts(df, features, anchors, key) if cum is None else cum
-    return mann_whitney(cum, [key, "anchor", "variable"], "value", "side", cum=cum)
+def mann_whitney_pairs(df: DataFrame, features: Sequence[str], anchors: Sequence[str], key: str = VARIETY, sums: DataFrame | None = None) -> DataFrame:
+    sums = pair_sums(df, features, anchors, key) if sums is None else sums
+    return mann_whitney_of(sums, [key, "anchor", "variable"])
 
 
 def validate_mann_whitney(tests: DataFrame, assigned: DataFrame, key: str = VARIETY, alpha: float = 0.05) -> DataFrame:

@@ -1,5 +1,6 @@
 """Exact quantiles of huge groups without sorting, holding or shuffling their values."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +55,40 @@ def test_outliers_of_huge_groups(spark, rows, unsorted):
 def test_a_missed_bracket_falls_back(rows, monkeypatch):
     monkeypatch.setattr(G, "_bracketed_quantiles", lambda *_: None)
     assert G.quantiles(rows, [], {"q": ("x", 0.25)}, hot=True).first()["q"] == pytest.approx(G.quantiles(rows, [], {"q": ("x", 0.25)}, hot=False).first()["q"])
+
+
+def test_pairs_copy_no_counts(spark, monkeypatch):
+    """Statistics of all pairs come from one axis a feature: no count is copied for a pair."""
+    from furrow.operators import routing as RO
+
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 9 != 2, F.concat(F.lit("v"), (F.col("id") % 9).cast("string"))).alias("variedad"),
+        (F.hash("id") % 40).cast("double").alias("u"),
+        F.when(F.col("id") % 11 == 0, float("nan")).when(F.col("id") % 13 != 0, F.hash(F.col("id") * 3) / 1e7).alias("v"),
+    )
+    sizes = []
+    whole = RO.sliced
+
+    def counted(df, *more):
+        sizes.append(df.count())
+        return whole(df, *more)
+
+    monkeypatch.setattr(RO, "sliced", counted)
+    anchors = ["v0", "v1", "absent"]
+    sums = RO.pair_sums(rows, ["u", "v"], anchors)
+    data = rows.where("variedad IS NOT NULL").toPandas()
+    distinct = sum(data[[f, "variedad"]].dropna().drop_duplicates().shape[0] for f in ("u", "v"))
+    assert sizes == [distinct]
+    found = {(r["variedad"], r["anchor"], r["variable"]): r for r in RO.mann_whitney_pairs(rows, ["u", "v"], anchors, sums=sums).collect()}
+    w1 = {(r["variedad"], r["anchor"], r["variable"]): r["w1"] for r in sums.collect()}
+    assert len(found) == 6 * 3 * 2
+    for (own, anchor, f), r in found.items():
+        a, b = (data.loc[data.variedad == n, f].dropna().to_numpy() for n in (own, anchor))
+        assert (r["n_a"], r["n_b"]) == (len(a), len(b))
+        if not len(b):
+            assert r["delta"] is None and r["p"] is None
+            continue
+        assert r["u"] == ((a[:, None] > b).sum() + 0.5 * (a[:, None] == b).sum())
+        axis = np.unique(np.concatenate([a, b]))
+        gap = np.abs(np.searchsorted(np.sort(a), axis, "right") / len(a) - np.searchsorted(np.sort(b), axis, "right") / len(b))
+        assert w1[own, anchor, f] == pytest.approx((gap[:-1] * np.diff(axis)).sum())
