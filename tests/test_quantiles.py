@@ -92,3 +92,18 @@ def test_pairs_copy_no_counts(spark, monkeypatch):
         axis = np.unique(np.concatenate([a, b]))
         gap = np.abs(np.searchsorted(np.sort(a), axis, "right") / len(a) - np.searchsorted(np.sort(b), axis, "right") / len(b))
         assert w1[own, anchor, f] == pytest.approx((gap[:-1] * np.diff(axis)).sum())
+
+
+def test_rows_are_not_dealt_out_by_a_small_state(spark):
+    """Three huge groups would be three tasks: rows meet the states of their groups where they lie."""
+    from furrow.operators import evaluation as E
+    from furrow.operators import hypothesis as T
+
+    df = spark.range(50_000).select("id", (F.col("id") % 3).cast("string").alias("formato"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+    rows, fit = T.ols(df, "y", ["x"], ["formato"])
+    levels = (("formato",),)
+    predicted = E.predict_baseline(df, E.fit_baseline(df, "y", levels), levels=levels)
+    for out in (rows, T._residual(rows, fit, "y", 1, ["formato"]), predicted):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert fit.count() == 3 and predicted.where("baseline_pred IS NULL").count() == 0
