@@ -215,3 +215,24 @@ def test_a_window_costs_what_enters_and_leaves_it():
 
     took(10_000)
     assert took(800_000) < 16 * max(took(100_000), 0.05)
+
+
+def test_small_models_grow_in_their_own_task(spark, points, monkeypatch):
+    """The number of jobs does not depend on the trees, and passes over large models give the same trees."""
+    _, df = points
+    uneven = df.where("k IS NOT NULL OR i < 60")  # two models of 134 and 133 rows, one of 20
+
+    def jobs(trees):
+        spark.sparkContext.setJobGroup(f"grow-{trees}", "")
+        forest = B.fit_forest(uneven, ["k"], ["x", "z"], "y", B.TreeParams(trees=trees, depth=3, loss="absolute"), "w")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return forest, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"grow-{trees}"))
+
+    jobs(1)
+    (_, many), (forest, few) = jobs(6), jobs(2)
+    assert many == few
+    for limit in (0, 100 * (B.ROW_BYTES + 2)):  # all in passes, the two large ones in passes
+        monkeypatch.setattr(B, "MODEL_BYTES", limit)
+        passes, _ = jobs(2)
+        assert (passes.feature == forest.feature).all() and (passes.threshold == forest.threshold).all()
+        assert np.allclose(passes.value, forest.value) and np.allclose(passes.gain, forest.gain)
