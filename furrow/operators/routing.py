@@ -12,6 +12,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from furrow.columns import ROW_ID, VARIETY
 from furrow.functions.scalar import hash_bucket, replicate_weights
@@ -168,116 +169,165 @@ def validate_effect_size(assigned: DataFrame, sizes: DataFrame, key: str = VARIE
 def bootstrap_distances(df: DataFrame, features: Sequence[str], anchors: Sequence[str], key: str = VARIETY, replicates: int = 100, seed: int = 42, row_id: str = ROW_ID) -> DataFrame:
     """(key, _rep, anchor, _w1): mean W1 over the features between each resample and each anchor.
 
-    A row has one Poisson(1) weight a replicate for all its features. Tasks add the weights of
-    equal values up, as one vector of all replicates; these meet the anchors' value counts on
-    one ordered axis for each variety and feature. The axis is cut into slices; slice totals
-    say where each one begins, so every slice is walked by itself, all replicates at once.
-    Values are exact: nothing is snapped or capped. Nulls and NaN are left out.
+    A row has one Poisson(1) weight a replicate for all its features, drawn from its hash, which
+    is what travels; only where a task meets many equal values of a variety does it add their
+    weights up first. Values lie in order on one axis a feature, cut into slices. Slice totals
+    say where each variety begins, so every slice is walked by itself, for all varieties and
+    replicates. Values are exact: nothing is snapped or capped. Nulls and NaN are left out.
     """
     anchors, features = list(anchors), list(features)
-    group = [key, "variable"]
     is_anchor = F.col(key).isin(anchors)
-    rows = df.where(~is_anchor).select(key, hash_bucket(F.col(row_id), seed).alias("_hx"), hash_bucket(F.col(row_id), seed + 1).alias("_hy"), *[F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)])
+    hashes = [F.when(~is_anchor, hash_bucket(F.col(row_id), s)).alias(n) for s, n in ((seed, "_hx"), (seed + 1, "_hy"))]
+    rows = df.where(F.col(key).isNotNull()).select(key, is_anchor.alias("_a"), *hashes, *[F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)])
     kind = rows.schema[key].dataType.simpleString()
+    columns = ["variable", key, "x", "h", "c", "w"]
 
-    def draw(batches):
+    def pack(batches):
+        held, size = [], 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                b = batch.slice(start, 4096)
-                names = b.column(0).dictionary_encode()
-                code = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                weights = replicate_weights(b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False), replicates).astype(np.int32)
-                for i, name in enumerate(features):
-                    x = b.column(3 + i).to_numpy(zero_copy_only=False)
-                    at = np.flatnonzero(~np.isnan(x))
-                    if not len(at):
-                        continue
-                    at = at[np.lexsort((x[at], code[at]))]
-                    first = np.flatnonzero(np.append(True, (x[at][1:] != x[at][:-1]) | (code[at][1:] != code[at][:-1])))
-                    total = np.add.reduceat(weights[at], first, axis=0)
-                    offsets = pa.array(np.arange(0, total.size + 1, replicates, dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [names.dictionary.take(pa.array(code[at][first])), pa.array([name] * len(first)), pa.array(x[at][first]), pa.ListArray.from_arrays(offsets, pa.array(total.astype(np.int32).ravel()))],
-                        names=[*group, "x", "w"],
-                    )
-
-    own = cut(rows.mapInArrow(draw, f"`{key}` {kind}, variable string, x double, w array<int>"))
-    counts = melt(df.where(is_anchor), [key], features).groupBy("variable", F.col("value").cast("double").alias("x")).agg(
-        F.array(*[F.count_if(F.col(key) == a).cast("bigint") for a in anchors]).alias("b")
-    )
-    donors = own.select(*group).distinct().join(counts.where(F.col("x").isNotNull() & ~F.isnan("x")), "variable")
-    none = lambda t: F.lit(None).cast(t)
-    axis = own.select(*group, "x", "w", none("array<bigint>").alias("b")).unionByName(donors.select(*group, "x", none("array<int>").alias("w"), "b"))
-    parts = sliced(axis, group, [F.col("x")])
-
-    # One row a slice and group.
-    sums = {**{f"_w{i}": F.get("w", F.lit(i)) for i in range(replicates)}, **{f"_b{j}": F.get("b", F.lit(j)) for j in range(len(anchors))}}
-    totals = cut(parts.groupBy(*group, "_slice").agg(F.min("x").alias("_first"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()]))
-    whole = Window.partitionBy(*group)
-    order = whole.orderBy("_slice")
-    pick = lambda kind_, how: F.array(*[how(n) for n in sums if n.startswith(kind_)])
-    before = lambda n: F.coalesce(F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    everything = lambda n: F.sum(n).over(whole)
-    marks = totals.select(*group, "_slice", F.lit(0).alias("kind"), F.lead("_first").over(order).alias("x"), pick("_w", before).alias("w"), pick("_b", before).alias("b"), pick("_w", everything).alias("nw"), pick("_b", everything).alias("nb"))
-    data = parts.select(*group, "_slice", F.lit(1).alias("kind"), "x", F.col("w").cast("array<bigint>").alias("w"), "b", none("array<bigint>").alias("nw"), none("array<bigint>").alias("nb"))
-    walk = marks.unionByName(data).repartition(*group, "_slice").sortWithinPartitions(*group, "_slice", "kind", "x")
-    n_anchors = len(anchors)
-
-    def dense(column, width):
-        out = np.zeros((len(column), width))
-        ok = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-        if len(ok):
-            out[ok] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            held.append(batch)
+            size += batch.num_rows
+            if size >= PACKED_ROWS:
+                yield from packed(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held, size = [], 0
+        if size:
+            yield from packed(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    def packed(b):
+        names = b.column(0).dictionary_encode()
+        code = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        donor = b.column(1).to_numpy(zero_copy_only=False)
+        hx, hy = (b.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (2, 3))
+        h = (hx << 32) | hy
+        for i, name in enumerate(features):
+            x = b.column(4 + i).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(~np.isnan(x))
+            if not len(at):
+                continue
+            at = at[np.lexsort((x[at], code[at]))]
+            first = np.flatnonzero(np.append(True, (x[at][1:] != x[at][:-1]) | (code[at][1:] != code[at][:-1])))
+            times = np.diff(first, append=len(at))
+            own = ~donor[at[first]].astype(bool)
+            many = own & (times >= PACKED_LEAST)
+            # Anchors' values are counted, equal values of a variety added up, others go as they are.
+            single = np.repeat(own & ~many, times)
+            kept = at[single]
+            sums = [replicate_weights(hx[at[f : f + n]], hy[at[f : f + n]], replicates).sum(axis=0).astype(np.int32).tobytes() for f, n in zip(first[many], times[many], strict=True)]
+            picks = np.concatenate([at[first[~own]], at[first[many]], kept])
+            n_donor, n_many = int((~own).sum()), int(many.sum())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([name] * len(picks), pa.string()), names.dictionary.take(pa.array(code[picks])), pa.array(x[picks]), pa.array(h[picks]),
+                pa.array(np.append(times[~own], np.zeros(len(picks) - n_donor, np.int64)).astype(np.int64)),
+                pa.array([None] * n_donor + sums + [None] * (len(picks) - n_donor - n_many), pa.binary()),
+            ], names=columns)
+
+    def weights(h, w, start, end):
+        out = replicate_weights((h[start:end] >> 32) & 0xFFFFFFFF, h[start:end] & 0xFFFFFFFF, replicates)
+        for i in np.flatnonzero(w[start:end].is_valid().to_numpy(zero_copy_only=False)):
+            out[i] = np.frombuffer(w[start + int(i)].as_buffer(), np.int32)
         return out
 
-    def area(batches):
-        state = None  # of the slice at hand: labels, end, totals, running counts, last place, areas
-
-        def done(s):
-            label, end, nw, nb, cw, cb, last, sums_ = s
-            if last is not None and end is not None:
-                sums_ += np.abs(cw[:, None] - cb[None, :]) * (end - last)
-            r, a = np.nonzero((nw[:, None] > 0) & (nb[None, :] > 0))
-            k = len(r)
-            return pa.RecordBatch.from_arrays([pa.array([label[0]] * k, label[2]), pa.array([label[1]] * k, pa.string()), pa.array(r.astype(np.int32) + 1), pa.array([anchors[j] for j in a], pa.string()), pa.array(sums_[r, a])], names=[*group, "_rep", "anchor", "_part"])
+    schema = f"variable string, `{key}` {kind}, x double, h bigint, c bigint, w binary"
+    # Equal values of all varieties are in one slice.
+    parts = sliced(cut(rows.mapInArrow(pack, schema)), ["variable"], [F.col("x")])
 
+    def add(batches):
+        total: dict = {}
         for b in batches:
-            kinds = b.column(3).to_numpy()
-            x = b.column(4).to_numpy(zero_copy_only=False)
-            w, c = dense(b.column(5), replicates), dense(b.column(6), n_anchors)
-            edges = [0, *np.flatnonzero(kinds == 0).tolist(), b.num_rows]
-            for start, end in zip(edges[:-1], edges[1:], strict=True):
-                if start == end:
-                    continue
-                if kinds[start] == 0:
-                    if state is not None:
-                        yield done(state)
-                    nw, nb = (np.array(b.column(i)[start].as_py(), float) for i in (7, 8))
-                    stop = None if np.isnan(x[start]) else float(x[start])
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        cw, cb = np.nan_to_num(w[start] / nw), np.nan_to_num(c[start] / nb)
-                    state = [(b.column(0)[start].as_py(), b.column(1)[start].as_py(), b.column(0).type), stop, nw, nb, cw, cb, None, np.zeros((replicates, n_anchors))]
-                    start += 1
-                if start == end:
-                    continue
-                _, _, nw, nb, cw, cb, last, sums_ = state
-                own_x = x[start:end]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    runs = cw + np.cumsum(np.nan_to_num(w[start:end] / nw), axis=0), cb + np.cumsum(np.nan_to_num(c[start:end] / nb), axis=0)
-                if last is not None:
-                    sums_ += np.abs(cw[:, None] - cb[None, :]) * (own_x[0] - last)
-                step = np.diff(own_x)
-                for j in range(n_anchors):
-                    sums_[:, j] += step @ np.abs(runs[0][:-1] - runs[1][:-1, j : j + 1])
-                state[4], state[5], state[6] = runs[0][-1], runs[1][-1], float(own_x[-1])
-        if state is not None:
-            yield done(state)
-
-    pieces = walk.mapInArrow(area, f"`{key}` {kind}, variable string, _rep int, anchor string, _part double")
-    each = pieces.groupBy(*group, "_rep", "anchor").agg(F.sum("_part").alias("_w1"))
+            labels = [b.column(i).dictionary_encode() for i in (0, 1)]
+            codes = [c.indices.to_numpy(zero_copy_only=False).astype(np.int64) for c in labels]
+            where = b.column(6).to_numpy(zero_copy_only=False).astype(np.int64)
+            label = (where * len(labels[0].dictionary) + codes[0]) * len(labels[1].dictionary) + codes[1]
+            order = np.argsort(label, kind="stable")
+            ends = np.flatnonzero(np.append(label[order][1:] != label[order][:-1], True)) + 1
+            x, h, c, w = (b.column(i).to_numpy(zero_copy_only=False) if i < 5 else b.column(i) for i in (2, 3, 4, 5))
+            for start, end in zip(np.append(0, ends[:-1]), ends, strict=True):
+                at = order[start:end]
+                name, group = (labels[i].dictionary[int(codes[i][at[0]])].as_py() for i in (0, 1))
+                own = np.array([c[at].sum()], float) if c[at[0]] else sum(weights(h[at[s : s + 4096]], w.take(pa.array(at[s : s + 4096])), 0, 4096).sum(axis=0) for s in range(0, len(at), 4096))
+                place = (name, int(where[at[0]]), group)
+                low, before = total.get(place, (np.inf, 0.0))
+                total[place] = (min(low, float(x[at].min())), before + own)
+        if total:
+            names, slices, groups = zip(*total, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(slices, pa.int32()), pa.array(groups, key_type), pa.array([v[0] for v in total.values()]), pa.array([v[1].tolist() for v in total.values()], pa.list_(pa.float64()))], names=["variable", "_slice", key, "_first", "t"])
+
+    key_type = to_arrow_type(rows.schema[key].dataType)
+    totals = cut(parts.select(*columns, "_slice").mapInArrow(add, f"variable string, _slice int, `{key}` {kind}, _first double, t array<double>"))
+    # A row a slice and variety from here on, whether or not it has values there.
+    edges = totals.groupBy("variable", "_slice").agg(F.min("_first").alias("_first"))
+    edges = edges.withColumn("_end", F.lead("_first").over(Window.partitionBy("variable").orderBy("_slice")))
+    everywhere = edges.join(totals.select("variable", key).distinct(), "variable")
+    full = everywhere.join(totals.select("variable", "_slice", key, "t"), ["variable", "_slice", key], "left")
+
+    def begin(t: pa.Table) -> pa.Table:
+        """What a variety has before each slice, and in all."""
+        t = t.sort_by("_slice")
+        width = 1 if t[key][0].as_py() in anchors else replicates
+        before, total = [], np.zeros(width)
+        for v in t["t"]:
+            before.append(total.tolist())
+            if v.is_valid:  # tasks that shared a slice have a row each
+                total = total + np.array(v.as_py())
+        slices = t["_slice"].to_pylist()
+        first = [i for i in range(len(slices)) if i == 0 or slices[i] != slices[i - 1]]
+        out = t.select(["variable", "_slice", key, "_first", "_end"]).take(pa.array(first))
+        return out.append_column("before", pa.array([before[i] for i in first], pa.list_(pa.float64()))).append_column("total", pa.array([total.tolist()] * len(first), pa.list_(pa.float64())))
+
+    marks = full.groupBy("variable", key).applyInArrow(begin, f"variable string, _slice int, `{key}` {kind}, _first double, _end double, before array<double>, total array<double>")
+
+    def walk(data: pa.Table, mark: pa.Table) -> pa.Table:
+        names = mark[key].to_pylist()
+        before, total = ({n: np.array(v) for n, v in zip(names, mark[c].to_pylist(), strict=True)} for c in ("before", "total"))
+        first, end = mark["_first"][0].as_py(), mark["_end"][0].as_py()
+        coded = data[key].combine_chunks().dictionary_encode()
+        code, x, h, c = coded.indices.to_numpy(), data["x"].to_numpy(), data["h"].to_numpy(), data["c"].to_numpy()
+        order = np.lexsort((x, code))
+        x, h, c, w = x[order], h[order], c[order], data["w"].combine_chunks().take(pa.array(order))
+        bounds = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
+        span = {n: slice(int(bounds[i]), int(bounds[i + 1])) for i, n in enumerate(coded.dictionary.to_pylist())}
+        none = slice(0, 0)
+        here = [a for a in anchors if a in total]
+        donors = np.unique(np.concatenate([[first], *[x[span.get(a, none)] for a in here]]))
+        shares = [(before[a][0] + np.append(0, np.cumsum(c[span.get(a, none)])))[np.searchsorted(x[span.get(a, none)], donors, side="right")] / total[a][0] for a in here]
+        found = []
+        for n in names:
+            if n in anchors or not here:
+                continue
+            own = span.get(n, none)
+            # Both in order; equal places are a step of length 0 apart.
+            axis = np.concatenate([donors, x[own]])
+            merged = np.argsort(axis, kind="stable")
+            axis = axis[merged]
+            step = np.diff(axis, append=axis[-1] if end is None else end)
+            place = np.searchsorted(donors, axis, side="right") - 1
+            all_ = total[n]
+            run, area, done = before[n], np.zeros((replicates, len(here))), 0
+            for start in range(0, len(axis), 4096):
+                is_own = merged[start : start + 4096] >= len(donors)
+                more = np.zeros((len(is_own), replicates))
+                upto = done + int(is_own.sum())
+                if upto > done:
+                    more[is_own] = weights(h[own], w.slice(own.start, own.stop - own.start), done, upto)
+                runs = run + np.cumsum(more, axis=0)
+                run, done = runs[-1], upto
+                share = runs / np.maximum(all_, 1)
+                for j, of_anchor in enumerate(shares):
+                    area[:, j] += step[start : start + 4096] @ np.abs(share - of_anchor[place[start : start + 4096], None])
+            r, a = np.nonzero(np.broadcast_to((all_ > 0)[:, None], area.shape))
+            found.append(pa.table({key: pa.array([n] * len(r), key_type), "variable": pa.array([mark["variable"][0].as_py()] * len(r), pa.string()), "_rep": pa.array(r.astype(np.int32) + 1), "anchor": pa.array([here[j] for j in a], pa.string()), "_part": pa.array(area[r, a])}))
+        empty = pa.table({key: pa.array([], key_type), "variable": pa.array([], pa.string()), "_rep": pa.array([], pa.int32()), "anchor": pa.array([], pa.string()), "_part": pa.array([], pa.float64())})
+        return pa.concat_tables(found) if found else empty
+
+    pieces = parts.groupBy("variable", "_slice").cogroup(marks.groupBy("variable", "_slice")).applyInArrow(walk, f"`{key}` {kind}, variable string, _rep int, anchor string, _part double")
+    each = pieces.groupBy(key, "variable", "_rep", "anchor").agg(F.sum("_part").alias("_w1"))
     return each.groupBy(key, "_rep", "anchor").agg(F.avg("_w1").alias("_w1"))
 
 
+# Rows that a task looks at together for equal values, and how many of them are added up.
+PACKED_ROWS, PACKED_LEAST = 1 << 18, 8
+
+
 def bootstrap_stability(df: DataFrame, assigned: DataFrame, features: Sequence[str], anchors: Sequence[str], key: str = VARIETY, replicates: int = 100, seed: int = 42, alpha: float = 0.05, row_id: str = ROW_ID) -> DataFrame:
     """Share of resamples whose nearest anchor (by W1) is the assigned one, tested against chance."""
     dist = bootstrap_distances(df, features, anchors, key, replicates, seed, row_id)

@@ -181,6 +181,15 @@ def test_resampled_distances_equal_brute_force_on_exact_values(spark, hot):
                 assert got[(v, r + 1, a)] == pytest.approx(np.mean(total), rel=1e-9)
 
 
+def test_resampling_writes_no_vector_of_replicates_for_each_row(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"{i:05d}", ["A", "B", "v1", "v2"][i % 4], float(rng.normal())) for i in range(6000)]
+    monkeypatch.setattr("furrow.session.shared_root", lambda _: str(tmp_path))
+    assert bootstrap_distances(spark.createDataFrame(rows, "row_id string, variedad string, p double"), ["p"], ["A", "B"]).count() == 2 * 100 * 2
+    tables = [sum(x.stat().st_size for x in f.glob("*.parquet")) for f in tmp_path.glob("furrow/*/*")]
+    assert tables and max(tables) < 6000 * 30
+
+
 def test_sliding_medians_equal_sorting_each_band(spark):
     from furrow.operators import lags as L
 
