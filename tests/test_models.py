@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow.operators.evaluation import fit_baseline, predict_baseline
+from furrow.operators import folds as F_
 from furrow.plans import training as T
 from furrow.session import cut
 from furrow.streaming import streams as ST
@@ -95,3 +96,32 @@ def test_rows_without_a_model_or_group_stay(spark):
     assert len(got) == 91 and sum(r.y_pred is None and r.score_reason == "no model" for r in got) == 31
     scores = isolation_scores(df, ["x", "w"], "variedad", trees=5).collect()
     assert len(scores) == 91 and all(r.iso_score is not None for r in scores)
+
+
+def test_folds_of_huge_groups_write_counts_alone(spark, monkeypatch, tmp_path):
+    rows = [(None if i % 500 == 7 else f"r{i}", "ab"[i % 3 == 0], float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_id string, g string, x double").repartition(7)
+    for by in ([], ["g"]):
+        plain = {r.x: r.fold_id for r in F_.kfold(df, 5, by=by).where("row_id IS NOT NULL").collect()}
+        with monkeypatch.context() as m:
+            m.setattr("furrow.operators.folds.hot_rows", lambda _: 300)
+            m.setattr("furrow.operators.ordered.hot_rows", lambda _: 300)
+            m.setattr("furrow.session.shared_root", lambda _: str(tmp_path))
+            split = F_.kfold(df, 5, by=by).collect()
+        assert len(split) == 3000 and plain == {r.x: r.fold_id for r in split if r.row_id is not None}
+    assert all("x" not in spark.read.parquet(str(f)).columns for f in tmp_path.glob("furrow/*/*"))
+
+
+def test_a_fold_is_prepared_once_for_all_candidates(spark, monkeypatch):
+    rows = [(f"r{i}", float(i % 17), float(i % 5), float(i % 17 + i % 5), "wide") for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id string, a double, b double, kg_jr_h double, other string")
+    written = []
+    monkeypatch.setattr(T, "cut", lambda d, real=T.cut: written.append(d.columns) or real(d))
+    grid = [{"maxDepth": d, "maxIter": 1} for d in (1, 2, 3)]
+    got = T.inner_search(df, ["a", "b"], "gbt", grid, 2)
+    assert len(written) == 3 and "other" not in written[0]
+    # As each candidate fitted by itself on each fold.
+    folds = F_.kfold(df, 2, 7, name="_inner")
+    for g in got:
+        each = [T.score_frame(T.train(folds.where(f"_inner <> {f}"), ["a", "b"], "gbt", g["params"]).predict(folds.where(f"_inner = {f}"))) for f in (0, 1)]
+        assert g["score"] == pytest.approx(sum(each) / 2, rel=1e-9)
