@@ -83,3 +83,27 @@ def test_pair_counts_read_the_rows_once(spark):
     got = {(x["variedad"], x["anchor"]): x["w1"] for x in RO.pair_distances(df, ["u", "v"], ["a"]).collect()}
     assert seen.value == len(rows)
     assert set(got) == {("b", "a")} and got["b", "a"] == pytest.approx((0.5 + 3.0) / 2)
+
+
+@pytest.mark.parametrize("limit", ["40", "1000000"])
+def test_row_medians_cross_batches_without_an_array_a_row(spark, limit):
+    rng = np.random.default_rng(3)
+    n = 260
+    value = np.round(rng.normal(size=n), 1)
+    value[::9] = np.nan
+    rows = pd.DataFrame({"row_id": [f"{i:04d}" for i in range(n)], "fundo": rng.choice(["a", "b", "b", "b"], n), "fecha": pd.to_datetime("2020-01-01") + pd.to_timedelta(rng.integers(0, 90, n), unit="D"), "v": value})
+    df = spark.createDataFrame(rows).selectExpr("row_id", "fundo", "cast(fecha AS date) AS fecha", "if(isnan(v), null, v) AS v")
+    spec = {"m7": ("v", 7), "m30": ("v", 30)}
+    spark.conf.set("spark.furrow.hotGroupRows", limit)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        out = L.rolling_medians(df, ["fundo"], L.row_order(), spec, first="fecha")
+        assert "collect_list" not in out._jdf.queryExecution().toString()
+        got = out.toPandas().set_index("row_id")
+    finally:
+        spark.conf.unset("spark.furrow.hotGroupRows")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for _, group in rows.sort_values(["fecha", "row_id"]).groupby("fundo"):
+        for name, (_, k) in spec.items():
+            want = group["v"].shift(1).rolling(k, min_periods=3).median()
+            np.testing.assert_allclose(got.loc[group["row_id"], name].to_numpy(float), want.to_numpy(float))
