@@ -107,3 +107,16 @@ def test_row_medians_cross_batches_without_an_array_a_row(spark, limit):
         for name, (_, k) in spec.items():
             want = group["v"].shift(1).rolling(k, min_periods=3).median()
             np.testing.assert_allclose(got.loc[group["row_id"], name].to_numpy(float), want.to_numpy(float))
+
+
+def test_thin_seasonal_bands_join_nothing_and_equal_sliding_ones(spark):
+    rng = np.random.default_rng(4)
+    n = 500
+    rows = pd.DataFrame({"row_id": [f"{i:04d}" for i in range(n)], "fundo": rng.choice(["a", "b"], n), "d": rng.integers(0, 800, n), "v": np.round(rng.normal(size=n), 1)})
+    df = spark.createDataFrame(rows).selectExpr("row_id", "nullif(fundo, 'b') AS fundo", "if(d > 5, date_add(DATE'2020-01-01', cast(d AS int)), null) AS fecha", "if(row_id > '0490', null, if(row_id > '0480', double('nan'), v)) AS v")
+    spec = {"year": ("v", 365), "near": ("v", 4), "again": ("v", 365)}
+    thin = L.seasonal_median(df, ["fundo"], spec, tol=10)
+    assert "Join" not in thin._jdf.queryExecution().optimizedPlan().toString()
+    got, want = (x.orderBy("row_id").toPandas() for x in (thin, L.seasonal_median(df, ["fundo"], spec, tol=10, hot=True)))
+    assert got["year"].notna().sum() > 50
+    pd.testing.assert_frame_equal(got, want)
