@@ -120,3 +120,13 @@ def test_thin_seasonal_bands_join_nothing_and_equal_sliding_ones(spark):
     got, want = (x.orderBy("row_id").toPandas() for x in (thin, L.seasonal_median(df, ["fundo"], spec, tol=10, hot=True)))
     assert got["year"].notna().sum() > 50
     pd.testing.assert_frame_equal(got, want)
+
+
+def test_flagship_computes_lags_and_baseline_once(spark, monkeypatch):
+    from furrow.catalog import models as M
+
+    written = []
+    monkeypatch.setattr(M, "cut", lambda df, real=M.cut: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    out = M.flagship(spark, "/root/testdata/sf0.001")
+    assert sum("Window" in plan for plan in written) == 1
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
