@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ from furrow.operators.groups import attach, quantiles
 TREES, SAMPLE = 100, 256
 # Nodes of trees that one scoring pass may carry to the tasks.
 NODE_BUDGET = 4_000_000
+# Rows that are scored at a time.
+BATCH_ROWS = 200_000
 
 
 def _depth_of(n):
@@ -90,6 +92,19 @@ def _paths(x: np.ndarray, tree: dict) -> np.ndarray:
         at[rows] = np.where(goes_left, tree["left"][at[rows]], tree["right"][at[rows]])
 
 
+def gathered(batches: Iterable[pd.DataFrame], least: int = BATCH_ROWS) -> Iterator[list[pd.DataFrame]]:
+    """Batches in lists of about ``least`` rows, so that a tree meets many rows of its group at once."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= least:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def isolation_scores(df: DataFrame, cols: Sequence[str], by: str, seed: int = 42, trees: int = TREES, row_id: str = ROW_ID) -> DataFrame:
     """Isolation score in (0, 1] of every row; higher is more isolated. Rows without a
     group form a group of their own.
@@ -121,7 +136,8 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], by: str, seed: int = 42
             )
 
         def score(batches, held=held):
-            for pdf in batches:
+            for parts in gathered(batches):
+                pdf = pd.concat([p[list(dict.fromkeys([by, *cols]))] for p in parts], ignore_index=True)
                 result = np.full(len(pdf), np.nan)
                 for name, idx in pdf.groupby(by, dropna=False).indices.items():
                     forest_of = held.get(None if pd.isna(name) else name)
@@ -131,7 +147,9 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], by: str, seed: int = 42
                     total = sum(_paths(x, t) for t in forest_of) / len(forest_of)
                     usual = float(_depth_of([np.mean([t["size"] for t in forest_of])])[0])
                     result[idx] = 2.0 ** (-total / usual) if usual > 0 else 1.0
-                yield pdf.assign(iso_score=result)
+                ends = np.cumsum([len(p) for p in parts])
+                for p, end in zip(parts, ends, strict=True):
+                    yield p.assign(iso_score=result[end - len(p) : end])
 
         part = df.where(mine).mapInPandas(score, schema)
         out = part if out is None else out.unionByName(part)

@@ -85,3 +85,20 @@ def test_isolation_finds_the_planted_row_and_keeps_small_groups(spark):
     kept = isolation_filter(df, ["a", "b"], "variedad", 0.05, trees=40)
     ids = {r["row_id"] for r in kept.collect()}
     assert "odd" not in ids and {f"s{i}" for i in range(4)} <= ids and 370 < len(ids) < 400
+
+
+def test_isolation_scores_gather_batches_and_keep_rows(spark, monkeypatch):
+    from furrow.operators import isolation as ISO
+
+    rng = np.random.default_rng(8)
+    rows = [(f"r{i}", ["a", "b", None][i % 3], float(v), 2**60 + i if i % 5 else None) for i, v in enumerate(rng.normal(size=90))]
+    df = spark.createDataFrame(rows, "row_id string, g string, x double, big bigint").coalesce(1)
+    sizes = [sum(map(len, parts)) for parts in ISO.gathered(iter([pd.DataFrame({"x": range(7)})] * 5), 20)]
+    assert sizes == [21, 14]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        small = {r["row_id"]: (r["iso_score"], r["x"]) for r in isolation_scores(df, ["x"], "g", trees=5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = {r["row_id"]: (r["iso_score"], r["x"]) for r in isolation_scores(df, ["x"], "g", trees=5).collect()}
+    assert len(small) == 90 and small == whole
