@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from furrow.functions.stats import chi2_tail, ks_tail, normal_two_sided
 from furrow.operators.groups import attach
 from furrow.operators.ordered import running
+from furrow.session import cut
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], col: str, sums: dict | None = None) -> DataFrame:
@@ -38,8 +39,10 @@ def two_sample(df: DataFrame, keys: Sequence[str], col: str, side: str, weight:
 
 def ks_two_sample(df: DataFrame, keys: Sequence[str], col: str, side: str, least: int = 30) -> DataFrame:
     """Largest gap of the two distribution functions and its asymptotic p-value."""
-    cum = two_sample(df, keys, col, side)
-    n = cum.groupBy(*keys).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    # Values are counted and written once: sizes, running counts and totals read the counts.
+    counts = cut(df.where(F.col(col).isNotNull()).groupBy(*keys, col, side).agg(F.count(F.lit(1)).alias("_w")))
+    cum = two_sample(counts, keys, col, side, "_w")
+    n = counts.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col(side) == s, F.col("_w"))), F.lit(0)).cast("bigint").alias(f"n_{s}") for s in ("a", "b")])
     gap = F.abs(F.try_divide(F.col("cum_a"), F.col("n_a")) - F.try_divide(F.col("cum_b"), F.col("n_b")))
     out = attach(cum, n, keys).groupBy(*keys).agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.max(gap).alias("ks"))
     enough = (F.col("n_a") >= least) & (F.col("n_b") >= least)

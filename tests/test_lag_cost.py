@@ -130,3 +130,20 @@ def test_flagship_computes_lags_and_baseline_once(spark, monkeypatch):
     out = M.flagship(spark, "/root/testdata/sf0.001")
     assert sum("Window" in plan for plan in written) == 1
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profile_and_business_rows_are_written_once(spark, monkeypatch):
+    from furrow.operators import evaluation as E
+    from furrow.operators import ranks as R
+    from furrow.plans import chain as CH
+
+    rows = spark.createDataFrame([("a", float(i), float(i + 1), 2.0, "a" if i % 2 else "b", "wide") for i in range(80)], "g string, real double, p double, h double, side string, other string")
+    seen = []
+    for module in (E, R, CH):
+        monkeypatch.setattr(module, "cut", lambda df, real=module.cut: seen.append(df.columns) or real(df))
+    got = E.business_validation(rows, {"oof": "p"}, ["g"], "h", "real").collect()
+    assert seen == [["g", "h", "real", "p"]] and got[0]["n"] == 80 and got[0]["n_dropped"] == 0
+    seen.clear()
+    got = R.ks_two_sample(rows, ["g"], "real", "side").collect()
+    assert seen == [["g", "real", "side", "_w"]] and (got[0]["n_a"], got[0]["n_b"]) == (40, 40)
+    assert abs(got[0]["ks"] - 1 / 40) < 1e-12
