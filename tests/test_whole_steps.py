@@ -24,3 +24,14 @@ def test_pacf_solves_the_yule_walker_equations(spark):
     for k in (1, 2, 7, 20):
         m = np.array([[rho[abs(i - j)] for j in range(k)] for i in range(k)])
         assert got[k - 1]["pacf"] == pytest.approx(np.linalg.solve(m, rho[1 : k + 1])[-1])
+
+
+def test_profile_of_many_levels_keeps_its_association_and_top_levels(spark):
+    rows = [(f"{i % 250:03d}", float(i % 250 + i % 2)) for i in range(1000)] + [(None, 5.0)] * 6 + [("top", None)] * 9
+    got = P.profile_categorical(spark.createDataFrame(rows, "farm string, y double"), "farm", "y").first()
+    assert (got["cardinality"], got["n"], got["n_missing"]) == (252, 1015, 6) and got["miss_ratio"] == pytest.approx(6 / 1015)
+    assert got["dof"] == 250 and got["cramers_v"] > 0.8 and got["chi2_p"] < 1e-6 and got["advice"] == "alta_cardinalidad"
+    top = got["top_categories"]
+    assert [(t["value"], t["count"]) for t in top[:3]] == [("top", 9), ("nan", 6), ("000", 4)] and len(top) == 10
+    assert top[0]["target_mean"] is None and top[1]["target_mean"] == 5.0 and top[1]["cum_pct"] == pytest.approx(15 / 1015)
+    assert top[2]["target_count"] == 4 and top[2]["target_mean"] is None
