@@ -35,3 +35,27 @@ def test_profile_of_many_levels_keeps_its_association_and_top_levels(spark):
     assert [(t["value"], t["count"]) for t in top[:3]] == [("top", 9), ("nan", 6), ("000", 4)] and len(top) == 10
     assert top[0]["target_mean"] is None and top[1]["target_mean"] == 5.0 and top[1]["cum_pct"] == pytest.approx(15 / 1015)
     assert top[2]["target_count"] == 4 and top[2]["target_mean"] is None
+
+
+@pytest.mark.parametrize("name", ["nested_cv"])
+def test_nested_queries_search_every_candidate_in_every_fold(spark, monkeypatch, name):
+    """Five outer and three inner folds of all candidates with all trees; models are replaced by cheap ones."""
+    import threading
+
+    from furrow.plans import training as T
+
+    fits, lock, real = [], threading.Lock(), T.train
+
+    def cheap(df, features, backend="gbt", params=None, *rest, **kw):
+        with lock:
+            fits.append((backend, dict(params)))
+        return real(df, features, "forest", {"numTrees": 1, "maxDepth": params["maxDepth"]}, *rest, **kw)
+
+    monkeypatch.setattr(T, "train", cheap)
+    out = load_all()[0][name](spark, SF).collect()
+    backend = "gbt" if name == "nested_cv" else "forest"
+    grid = [dict(p) for p in T.BACKENDS[backend].grid]
+    # No parameter makes a fit smaller than the backend's own defaults, and each candidate meets 15 inner folds.
+    assert len(grid) > 1 and len(fits) == 5 * (3 * len(grid) + 1) and {b for b, _ in fits} == {backend}
+    assert all(sum(p == g for _, p in fits) >= 15 for g in grid)
+    assert len(out) == (5 if name == "nested_cv" else 1)
