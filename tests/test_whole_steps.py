@@ -37,7 +37,7 @@ def test_profile_of_many_levels_keeps_its_association_and_top_levels(spark):
     assert top[2]["target_count"] == 4 and top[2]["target_mean"] is None
 
 
-@pytest.mark.parametrize("name", ["nested_cv"])
+@pytest.mark.parametrize("name", ["nested_cv", "pick_final_params"])
 def test_nested_queries_search_every_candidate_in_every_fold(spark, monkeypatch, name):
     """Five outer and three inner folds of all candidates with all trees; models are replaced by cheap ones."""
     import threading
