@@ -59,3 +59,35 @@ def test_nested_queries_search_every_candidate_in_every_fold(spark, monkeypatch,
     assert len(grid) > 1 and len(fits) == 5 * (3 * len(grid) + 1) and {b for b, _ in fits} == {backend}
     assert all(sum(p == g for _, p in fits) >= 15 for g in grid)
     assert len(out) == (5 if name == "nested_cv" else 1)
+
+
+def test_dummies_of_many_levels_are_one_vector(spark, monkeypatch, tmp_path):
+    """The vector has an entry for each column there would be, is saved with its chain, and trains a model."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    from furrow.operators import features as FE
+    from furrow.plans import training as T
+
+    farm = F.when(F.col("id") % 11 != 7, F.format_string("f%03d", F.col("id") % 13))
+    df = spark.range(600).select(
+        F.format_string("r%03d", "id").alias("row_id"), farm.alias("fundo"), F.when(F.col("id") % 5 > 0, "A").otherwise("B").alias("formato"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 400).cast("int")).alias("fecha"), (F.col("id") % 7 + 1).cast("double").alias("kg_ha"), (F.col("id") % 13 * 10.0).alias("kg_jr_h"),
+    )
+    train, new = df.where("fundo <> 'f003' OR fundo IS NULL"), df
+    dense = FE.FeatureGenerator().fit(train).transform(new)
+    assert "fundo__f001" in dense.columns
+    monkeypatch.setattr(FE, "DENSE_LEVELS", 5)
+    model = FE.FeatureGenerator().fit(train)
+    PipelineModel([model]).write().save(str(tmp_path / "m"))
+    for m in (model, PipelineModel.load(str(tmp_path / "m"))):
+        out = m.transform(new)
+        assert "formato__A" in out.columns and not any(c.startswith("fundo__f") for c in out.columns)
+        for col, prefix in (("fundo__levels", "fundo__"), ("fundo_formato__levels", "fundo_formato__")):
+            names = sorted(c for c in dense.columns if c.startswith(prefix))
+            want = {r["row_id"]: [r[n] for n in names] for r in dense.select("row_id", *names).collect()}
+            got = {r["row_id"]: [int(v) for v in r["v"]] for r in out.select("row_id", vector_to_array(col).alias("v")).collect()}
+            assert len(names) > 5 and got == want
+    fitted = T.train(model.transform(train), None, "forest", {"numTrees": 3, "maxDepth": 3})
+    assert "fundo__levels" in fitted.features and any(n.startswith("fundo__levels[") and v > 0 for n, v in T.importances(fitted))
+    assert fitted.predict(model.transform(new)).where("y_pred IS NULL").isEmpty()
